@@ -1,0 +1,6 @@
+"""Names of the queries, their programs and their oracle SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
