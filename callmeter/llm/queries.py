@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import decontaminate, near_dedup, toxicity
 
-QUERIES = {"op7_near_dedup": near_dedup.op7_near_dedup}
+QUERIES = {
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
+}
 ORACLES = {"op7_near_dedup": near_dedup.ORACLE}
