@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, toxicity
+from . import decontaminate, near_dedup, pii, toxicity
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op9_pii": pii.op9_pii,
 }
 ORACLES = {"op7_near_dedup": near_dedup.ORACLE}
