@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, pii, toxicity
+from . import decontaminate, mixing, near_dedup, pii, toxicity
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op9_pii": pii.op9_pii,
 }
-ORACLES = {"op7_near_dedup": near_dedup.ORACLE}
+ORACLES = {
+    "op5_mixing": mixing.ORACLE,
+    "op7_near_dedup": near_dedup.ORACLE,
+}
