@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_dedup, pii, toxicity
+from . import decontaminate, mixing, near_dedup, pii, toxicity, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
@@ -12,6 +13,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
 }
 ORACLES = {
+    "op2_warc": warc.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op7_near_dedup": near_dedup.ORACLE,
 }
