@@ -6,7 +6,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,11 +90,17 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 
-@lru_cache(maxsize=2)
+_CACHE: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _ODD), np.full(n, _INVERSE)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """Powers of _ODD and of its inverse; the largest so far is kept."""
+    if not _CACHE or max(_CACHE) < n:
+        up, down = np.full(n, _ODD), np.full(n, _INVERSE)
+        up[0] = down[0] = 1
+        _CACHE.clear()
+        _CACHE[n] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return next(iter(_CACHE.values()))
 
 
 SPACE = np.zeros(256, bool)

@@ -4,12 +4,13 @@ Signature: PERMUTATIONS multiplicative permutations of the shingle hashes; the m
 each are kept, so 32 evaluations give 64 values. BANDS bands of ROWS values: a pair of similarity 0.85
 misses all 16 bands of 4 with probability (1 - 0.85^4)^16 = 7e-6, one of 0.9 with 2e-8.
 
-A bucket is never expanded into pairs. Its smallest set is the hub, and each member is compared with the
-hub on full sets. With D(x) = x minus/plus hub (symmetric difference), two members x and y differ in
-|D(x)| + |D(y)| - 2 |D(x) n D(y)| shingles. Pairs that are near even if their differences are disjoint are all
-near the member with the smallest |D|-margin, so one more star links them; all other near pairs share a
-difference, within a prefix of it. Members that share one and are still in different components form the
-next, smaller buckets, until none is left. Hubs grow from level to level, so this ends, and it loses no link.
+A bucket is never expanded into pairs. First its smallest set is the hub, and each member is compared with the hub on
+full sets. Where that leaves more than one component, the members are compared with a centre: the shingles that most
+members of a bounded sample hold. With D(x) = x minus/plus centre (symmetric difference), two members x and y differ in
+|D(x)| + |D(y)| - 2 |D(x) n D(y)| shingles, exactly. So pairs that are near even if their differences are disjoint are
+all near the member with the smallest margin, and one star links them; any other near pair shares an element of
+D within a prefix of it. Members that share one and are still in different components are the next, smaller groups (a centre
+leaves an element of D to a minority), until none has more than PAIRWISE members; in those, sets of fitting size are compared. This loses no link, whatever the centre is.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; texts of fewer words than
 a shingle are one shingle; equal sets are one class; repeated rows each get their class's component; a null
@@ -29,6 +30,10 @@ from pyspark.sql import functions as F
 from .common import bit_set, components, cut, in_bits, shingle_sets, small, with_columns
 
 PERMUTATIONS, BANDS, ROWS = 32, 16, 4
+#: Members of a group that its centre is taken from; any number gives right results.
+SAMPLE = 16
+#: Groups of up to so many members are compared pair by pair (120 pairs at most); larger ones are split by their centre.
+PAIRWISE = 16
 
 
 def minmax_signature(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
@@ -45,12 +50,13 @@ def _multipliers(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _key(hashes: np.ndarray) -> bytes | None:
-    return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
+def _key(hashes: np.ndarray) -> int | None:
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63) if len(hashes) else None
 
 
 def signatures(docs: DataFrame, shingle: int, seed: int = 7) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, key, bands): key names the shingle set in 128 bits."""
+    """(doc_id, text_hash, n_shingles, key, bands): key names the shingle set; under 6 billion distinct
+    sets, less than one pair of them is expected to share a 64-bit key."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = _multipliers(seed)
@@ -64,9 +70,9 @@ def signatures(docs: DataFrame, shingle: int, seed: int = 7) -> DataFrame:
                     bands.append([xxhash.xxh3_64_intdigest(r.tobytes(), b) - (1 << 63) for b, r in enumerate(rows)])
                 else:
                     bands.append([])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "key", "bands"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, key binary, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, key long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -87,29 +93,85 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 sets.append(hashes.view(np.int64))
                 held += len(hashes)
                 if held > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["key", "s"])
                     keys, sets, held = [], [], 0
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["key", "s"])
 
     texts = docs.select("text", F.xxhash64("text").alias("text_hash")).mapInArrow(likely, "text string, text_hash long")
     once = texts.groupBy("text_hash").agg(F.first("text").alias("text")).join(wanted, "text_hash", "left_semi")
-    return once.select("text").mapInArrow(build, "key binary, s array<long>")
+    return once.select("text").mapInArrow(build, "key long, s array<long>")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, need: tuple[int, int]) -> DataFrame:
-    """pairs (x, hub) with size, |D| and D. a is the margin: the link to a set whose D is disjoint holds if a + a' <= 0."""
+def _centres(groups: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
+    """(g, c): the shingles of most of up to SAMPLE members of each group."""
+    sample = groups.groupBy("g", F.pmod(F.xxhash64("x", F.lit(seed)), F.lit(SAMPLE)).alias("part")).agg(F.min("x").alias("key"))
+    held = sample.join(sets, "key").select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("n"))
+    sizes = sample.groupBy("g").agg(F.count("*").alias("of"))
+    return held.join(sizes, "g").filter("2 * n > of").groupBy("g").agg(F.collect_list("e").alias("c"))
+
+
+def _compared(groups: DataFrame, sets: DataFrame, centres: DataFrame, need: tuple[int, int]) -> DataFrame:
+    """groups (g, x) with n = |x|, m = |centre|, size = |D|, d = the part of D that a partner can share first, and the
+    margin a: x and y of disjoint D are linked if a + a' <= 0."""
     p, q = need
-    x = pairs.join(sets.select(F.col("key").alias("x"), F.col("s").alias("sx")), "x")
-    both = x.join(sets.select(F.col("key").alias("hub"), F.col("s").alias("sh")), "hub")
-    d = F.concat(F.array_except("sx", "sh"), F.array_except("sh", "sx"))
-    return both.select("x", "hub", F.size("sx").cast("long").alias("n"), F.size("sh").cast("long").alias("m"), d.alias("d")).withColumn("a", (p + q) * F.size("d") - (q - p) * F.col("n"))
+    both = groups.join(sets.select(F.col("key").alias("x"), F.col("s").alias("sx")), "x").join(centres, "g")
+    # what the centre lacks comes first: it is rarer
+    d = F.concat(F.array_except("sx", "c"), F.array_except("c", "sx"))
+    diff = both.select("g", "x", F.size("sx").cast("long").alias("n"), F.size("c").cast("long").alias("m"), d.alias("d")).withColumn("size", F.size("d")).withColumn("a", (p + q) * F.col("size") - (q - p) * F.col("n"))
+    # a partner's D is at most (q - p) / (p + q) (n + n q / p) smaller, so at most so many elements of D need a look, and one more
+    return diff.withColumn("d", F.slice("d", 1, F.least(F.col("size"), F.floor(F.lit((q - p) / (p + q) * (1 + q / p)) * F.col("n") + F.lit(1e-6)).cast("int") + 2)))
+
+
+def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct groups (g, x, n) whose members are in more than one component, with each one's root and the number of
+    members; g becomes a hash of the members."""
+    rooted = groups.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    still = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.xxhash64(F.bit_xor(F.xxhash64("x")), F.count("*")).alias("f"), F.count("*").alias("members")).filter("lo <> hi").select("g", "f", "members")
+    return rooted.join(still, "g").select(F.col("f").alias("g"), "x", "n", "root", "members").distinct()
+
+
+def _direct(pairs: DataFrame, sets: DataFrame, need: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) that full sets confirm."""
+    p, q = need
+    inter = F.size(F.array_intersect("su", "sv"))
+    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("sv")), "v")
+    return both.filter(q * inter >= p * (F.size("su") + F.size("sv") - inter)).select("u", "v")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, need: tuple[int, int]) -> DataFrame:
+    """(node, root) of the components of all links among members of the same group; pairs (x, hub), sets (key, s)."""
+    p, q = need
+    sized = sets.select(F.col("key").alias("x"), F.size("s").cast("long").alias("n"))
+    labels = components(_direct(pairs.select(F.col("x").alias("u"), F.col("hub").alias("v")), sets, need))
+    members = pairs.select(F.col("hub").alias("g"), "x").unionByName(pairs.select(F.col("hub").alias("g"), F.col("hub").alias("x"))).distinct().join(sized, "x")
+    groups, level = cut(_open(members, labels), "groups"), 0
+    while not groups.isEmpty():
+        level += 1
+        # groups of at most PAIRWISE members: what can be near by size, pair by pair
+        few = groups.filter(F.col("members") <= PAIRWISE)
+        one, two = few.select("g", *[F.col(c).alias(f"{c}1") for c in ("x", "n", "root")]), few.select("g", *[F.col(c).alias(f"{c}2") for c in ("x", "n", "root")])
+        near = one.join(two, "g").filter(f"x1 < x2 and root1 <> root2 and {q} * n1 >= {p} * n2 and {q} * n2 >= {p} * n1").select(F.col("x1").alias("u"), F.col("x2").alias("v")).distinct()
+        links = _direct(cut(near, "few"), sets, need)
+        many, shared = groups.filter(F.col("members") > PAIRWISE).select("g", "x"), None
+        if not many.isEmpty():
+            seen = cut(_compared(many, sets, _centres(many, sets, level), need), "compared")
+            best = seen.groupBy("g").agg(F.min_by("x", F.struct("a", "x")).alias("star"), F.min("a").alias("least"))
+            margins = seen.join(best, "g")
+            links = links.unionByName(margins.filter("x <> star and a + least <= 0").select(F.col("x").alias("u"), F.col("star").alias("v")))
+            overlap = F.greatest(F.lit(1), F.ceil((F.col("a") + F.col("least")) / F.lit(2.0 * (p + q))).cast("int"))
+            prefix = F.slice("d", 1, F.greatest(F.least(F.size("d"), F.col("size") - overlap + 1), F.lit(0)))
+            shared = margins.select("x", "n", "g", F.explode(prefix).alias("e")).select("x", "n", F.xxhash64("g", "e").alias("g"))
+        labels = components(links.unionByName(labels.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        if shared is None:
+            break
+        groups = cut(_open(shared, labels), "groups")
+    return labels
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, need: tuple[int, int] = (80, 100)) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text). Linked: need[1] * |intersection| >=
     need[0] * |union| of the sets of `shingle`-word shingles; components are those of all links."""
-    p, q = need
     docs = with_columns(docs, {"doc_id": "long", "text": "string"})
     sig = cut(signatures(docs, shingle), "signatures")
     bands = sig.filter("key is not null").select(F.explode("bands").alias("band"), "key")
@@ -120,26 +182,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, need: tuple[int, int] = (
         members = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("hub").alias("key"))).distinct()
         wanted = cut(sig.filter("key is not null").groupBy("key").agg(F.min("text_hash").alias("text_hash")).join(members, "key", "left_semi").select("text_hash").distinct(), "wanted")
         sets = cut(full_sets(docs, wanted, shingle), "sets")
-        edges = []
-        while True:
-            # 37 |D| <= 3 (|x| + |hub|) for 0.85: the intersection is (|x| + |hub| - |D|) / 2, the union (|x| + |hub| + |D|) / 2
-            seen = cut(_compared(pairs, sets, need), "compared")
-            near = seen.filter((p + q) * F.size("d") <= (q - p) * (F.col("n") + F.col("m"))).select(F.col("x").alias("u"), F.col("hub").alias("v"))
-            best = seen.groupBy("hub").agg(F.min_by(F.struct("x", "a"), F.struct("a", "x")).alias("best"), F.count("*").alias("rows")).filter("rows > 1").select("hub", F.col("best.x").alias("star"), F.col("best.a").alias("least"))
-            best = cut(best, "best")
-            margins = seen.join(best, "hub").select("hub", "x", "d", "a", "star", F.least("least", -(q - p) * F.col("m")).alias("low"), F.col("least"))
-            stars = margins.filter("x <> star and a + least <= 0").select(F.col("x").alias("u"), F.col("star").alias("v"))
-            edges.append(cut(near.unionByName(stars).distinct(), "links"))
-            if len(edges) > 1:
-                edges = [cut(edges[0].unionByName(edges[1]), "links")]
-            labels = components(edges[0])
-            overlap = F.greatest(F.lit(1), F.ceil((F.col("a") + F.col("low")) / F.lit(2.0 * (p + q))).cast("int"))
-            prefix = F.slice(F.array_sort("d"), 1, F.greatest(F.size("d") - overlap + 1, F.lit(0)))
-            shared = margins.select("hub", "x", F.explode(prefix).alias("e")).join(labels.withColumnRenamed("node", "x"), "x", "left").select(F.xxhash64("hub", "e").alias("g"), "x", F.coalesce("root", "x").alias("root"))
-            open_groups = shared.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("x").alias("hub")).filter("lo <> hi").select("g", "hub")
-            pairs = cut(shared.join(open_groups, "g").filter("x <> hub").select("x", "hub").distinct(), "pairs")
-            if pairs.isEmpty():
-                break
+        labels = linked(pairs, sets, need)
     classes = sig.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     classes = classes.withColumn("root", F.col("key")) if labels is None else classes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = cut(classes, "classes")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_dedup, pii, toxicity, warc
+from . import decontaminate, media, mixing, near_dedup, pii, toxicity, url_lists, warc
 
 QUERIES = {
+    "op1_media": media.op1_media,
     "op2_warc": warc.op2_warc,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op9_pii": pii.op9_pii,
+    "op10_url_lists": url_lists.op10_url_lists,
 }
 ORACLES = {
+    "op10_url_lists": url_lists.ORACLE,
     "op2_warc": warc.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op7_near_dedup": near_dedup.ORACLE,
