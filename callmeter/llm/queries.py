@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, mixing, near_dedup, pii, toxicity, url_lists, warc
+from . import decontaminate, licenses, media, mixing, near_dedup, pii, quality, toxicity, url_lists, warc
 
 QUERIES = {
     "op1_media": media.op1_media,
     "op2_warc": warc.op2_warc,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_licenses": licenses.op4_licenses,
     "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op8_quality": quality.op8_quality,
     "op9_pii": pii.op9_pii,
     "op10_url_lists": url_lists.op10_url_lists,
 }
