@@ -9,8 +9,9 @@ full sets. Where that leaves more than one component, the members are compared w
 members of a bounded sample hold. With D(x) = x minus/plus centre (symmetric difference), two members x and y differ in
 |D(x)| + |D(y)| - 2 |D(x) n D(y)| shingles, exactly. So pairs that are near even if their differences are disjoint are
 all near the member with the smallest margin, and one star links them; any other near pair shares an element of
-D within a prefix of it. Members that share one and are still in different components are the next, smaller groups (a centre
-leaves an element of D to a minority), until none has more than PAIRWISE members; in those, sets of fitting size are compared. This loses no link, whatever the centre is.
+D within a prefix of it. Members that share one and are still in different components are smaller groups (a centre leaves an
+element of D to a minority): a join on that element compares their differences, and gives only links; while such a group has
+more than MANY members, it gets a centre of its own. This loses no link, whatever the centre is.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; texts of fewer words than
 a shingle are one shingle; equal sets are one class; repeated rows each get their class's component; a null
@@ -32,8 +33,9 @@ from .common import bit_set, components, cut, in_bits, shingle_sets, small, with
 PERMUTATIONS, BANDS, ROWS = 32, 16, 4
 #: Members of a group that its centre is taken from; any number gives right results.
 SAMPLE = 16
-#: Groups of up to so many members are compared pair by pair (120 pairs at most); larger ones are split by their centre.
-PAIRWISE = 16
+#: Members of a group up to which its pairs of fitting size and different components are compared on full sets (120 pairs
+#: at most), and of a group around a centre up to which differences are compared in the join; larger ones are split.
+FEW, MANY = 16, 256
 
 
 def minmax_signature(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
@@ -112,61 +114,71 @@ def _centres(groups: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
 
 
 def _compared(groups: DataFrame, sets: DataFrame, centres: DataFrame, need: tuple[int, int]) -> DataFrame:
-    """groups (g, x) with n = |x|, m = |centre|, size = |D|, d = the part of D that a partner can share first, and the
-    margin a: x and y of disjoint D are linked if a + a' <= 0."""
+    """groups (g, x) with n = |x|, d = D(x), size = |D| and the margin a: x and y of disjoint D are linked if a + a' <= 0."""
     p, q = need
     both = groups.join(sets.select(F.col("key").alias("x"), F.col("s").alias("sx")), "x").join(centres, "g")
     # what the centre lacks comes first: it is rarer
     d = F.concat(F.array_except("sx", "c"), F.array_except("c", "sx"))
-    diff = both.select("g", "x", F.size("sx").cast("long").alias("n"), F.size("c").cast("long").alias("m"), d.alias("d")).withColumn("size", F.size("d")).withColumn("a", (p + q) * F.col("size") - (q - p) * F.col("n"))
-    # a partner's D is at most (q - p) / (p + q) (n + n q / p) smaller, so at most so many elements of D need a look, and one more
-    return diff.withColumn("d", F.slice("d", 1, F.least(F.col("size"), F.floor(F.lit((q - p) / (p + q) * (1 + q / p)) * F.col("n") + F.lit(1e-6)).cast("int") + 2)))
+    diff = both.select("g", "x", F.size("sx").cast("long").alias("n"), d.alias("d")).withColumn("size", F.size("d"))
+    return diff.withColumn("a", (p + q) * F.col("size") - (q - p) * F.col("n"))
 
 
 def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct groups (g, x, n) whose members are in more than one component, with each one's root and the number of
-    members; g becomes a hash of the members."""
+    """Distinct groups (g, p, x, n, root, members) of groups (g, p, x, n) whose members are in more than one component;
+    p: the group that it is part of; root: the member's component; g becomes a hash of p and the members."""
     rooted = groups.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-    still = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.xxhash64(F.bit_xor(F.xxhash64("x")), F.count("*")).alias("f"), F.count("*").alias("members")).filter("lo <> hi").select("g", "f", "members")
-    return rooted.join(still, "g").select(F.col("f").alias("g"), "x", "n", "root", "members").distinct()
+    still = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.xxhash64(F.min("p"), F.bit_xor(F.xxhash64("x")), F.count("*")).alias("f"), F.count("*").alias("members")).filter("lo <> hi").select("g", "f", "members")
+    return rooted.join(still, "g").select(F.col("f").alias("g"), "p", "x", "n", "root", "members").distinct()
+
+
+def _pairs(groups: DataFrame, condition: str, *more: str) -> DataFrame:
+    """Pairs (u, v) of members of the same group and of different components that meet the condition on n1, n2, ..."""
+    one, two = (groups.select("g", *[F.col(c).alias(f"{c}{i}") for c in ("x", "n", "root", *more)]) for i in (1, 2))
+    return one.join(two, "g").filter(f"x1 < x2 and root1 <> root2 and {condition}").select(F.col("x1").alias("u"), F.col("x2").alias("v")).distinct()
 
 
 def _direct(pairs: DataFrame, sets: DataFrame, need: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) that full sets confirm."""
+    """The pairs (u, v) that full sets confirm. pairs: a written table."""
     p, q = need
+    keys = small(cut(pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct(), "keys"))
+    held = sets.join(keys, "key", "left_semi")
     inter = F.size(F.array_intersect("su", "sv"))
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("sv")), "v")
+    both = pairs.join(held.select(F.col("key").alias("u"), F.col("s").alias("su")), "u").join(held.select(F.col("key").alias("v"), F.col("s").alias("sv")), "v")
     return both.filter(q * inter >= p * (F.size("su") + F.size("sv") - inter)).select("u", "v")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, need: tuple[int, int]) -> DataFrame:
     """(node, root) of the components of all links among members of the same group; pairs (x, hub), sets (key, s)."""
     p, q = need
+    as_edges = lambda labels: labels.select(F.col("node").alias("u"), F.col("root").alias("v"))
     sized = sets.select(F.col("key").alias("x"), F.size("s").cast("long").alias("n"))
     labels = components(_direct(pairs.select(F.col("x").alias("u"), F.col("hub").alias("v")), sets, need))
     members = pairs.select(F.col("hub").alias("g"), "x").unionByName(pairs.select(F.col("hub").alias("g"), F.col("hub").alias("x"))).distinct().join(sized, "x")
-    groups, level = cut(_open(members, labels), "groups"), 0
-    while not groups.isEmpty():
+    groups = cut(_open(members.withColumn("p", F.col("g")), labels), "groups")
+    if groups.isEmpty():
+        return labels
+    few = cut(_pairs(groups.filter(F.col("members") <= FEW), f"{q} * n1 >= {p} * n2 and {q} * n2 >= {p} * n1"), "few")
+    links = _direct(few, sets, need)
+    many, level = groups.filter(F.col("members") > FEW).select("g", "x"), 0
+    while not many.isEmpty():
         level += 1
-        # groups of at most PAIRWISE members: what can be near by size, pair by pair
-        few = groups.filter(F.col("members") <= PAIRWISE)
-        one, two = few.select("g", *[F.col(c).alias(f"{c}1") for c in ("x", "n", "root")]), few.select("g", *[F.col(c).alias(f"{c}2") for c in ("x", "n", "root")])
-        near = one.join(two, "g").filter(f"x1 < x2 and root1 <> root2 and {q} * n1 >= {p} * n2 and {q} * n2 >= {p} * n1").select(F.col("x1").alias("u"), F.col("x2").alias("v")).distinct()
-        links = _direct(cut(near, "few"), sets, need)
-        many, shared = groups.filter(F.col("members") > PAIRWISE).select("g", "x"), None
-        if not many.isEmpty():
-            seen = cut(_compared(many, sets, _centres(many, sets, level), need), "compared")
-            best = seen.groupBy("g").agg(F.min_by("x", F.struct("a", "x")).alias("star"), F.min("a").alias("least"))
-            margins = seen.join(best, "g")
-            links = links.unionByName(margins.filter("x <> star and a + least <= 0").select(F.col("x").alias("u"), F.col("star").alias("v")))
-            overlap = F.greatest(F.lit(1), F.ceil((F.col("a") + F.col("least")) / F.lit(2.0 * (p + q))).cast("int"))
-            prefix = F.slice("d", 1, F.greatest(F.least(F.size("d"), F.col("size") - overlap + 1), F.lit(0)))
-            shared = margins.select("x", "n", "g", F.explode(prefix).alias("e")).select("x", "n", F.xxhash64("g", "e").alias("g"))
-        labels = components(links.unionByName(labels.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-        if shared is None:
-            break
+        held = sets.join(small(cut(many.select(F.col("x").alias("key")).distinct(), "keys")), "key", "left_semi")
+        seen = cut(_compared(many, held, _centres(many, held, level), need), "compared")
+        best = seen.groupBy("g").agg(F.min_by("x", F.struct("a", "x")).alias("star"), F.min("a").alias("least"))
+        margins = seen.join(best, "g")
+        stars = margins.filter("x <> star and a + least <= 0").select(F.col("x").alias("u"), F.col("star").alias("v"))
+        labels = components(links.unionByName(stars).unionByName(as_edges(labels)))
+        # a partner's D is at most (q - p) / (p + q) (n + n q / p) smaller, so it shares the rest of D(x) but for one element less
+        slack = F.floor(F.lit((q - p) / (p + q) * (1 + q / p)) * F.col("n") + F.lit(1e-6)).cast("int") + 2
+        overlap = F.greatest(F.lit(1), F.ceil((F.col("a") + F.col("least")) / F.lit(2.0 * (p + q))).cast("int"))
+        prefix = F.slice("d", 1, F.greatest(F.least(slack, F.col("size") - overlap + 1), F.lit(0)))
+        shared = margins.select("x", "n", F.col("g").alias("p"), F.explode(prefix).alias("e")).select("x", "n", "p", F.xxhash64("p", "e").alias("g"))
         groups = cut(_open(shared, labels), "groups")
-    return labels
+        # |x1 minus/plus x2| = |D1| + |D2| - 2 |D1 n D2| decides at once, in groups of at most MANY members
+        near = groups.filter(F.col("members") <= MANY).join(seen.select(F.col("g").alias("p"), "x", "d", "size"), ["p", "x"])
+        links = cut(_pairs(near, f"{p + q} * (size1 + size2 - 2 * size(array_intersect(d1, d2))) <= {q - p} * (n1 + n2)", "d", "size"), "links")
+        many = groups.filter(F.col("members") > MANY).select("g", "x")
+    return components(links.unionByName(as_edges(labels)))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, need: tuple[int, int] = (80, 100)) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import LOWER, spans, text_slices, with_columns, word_hashes
 
 BUCKETS = 18
-TRAIN_ROWS, TRAIN_CHARS = 2000, 20_000
+TRAIN_ROWS, TRAIN_CHARS = 1500, 20_000
 PREFIXES = (3, 4, 5, 6)
 #: Standard errors by which a feature's document rates in the two classes differ at least.
 APART = 4.0
@@ -69,24 +69,39 @@ def _logits(model: Model, features: np.ndarray, first: np.ndarray) -> np.ndarray
 
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int = 80, rate: float = 0.15, shrink: float = 1e-5) -> Model:
     """Maximises the weighted noisy-or likelihood of the labels. texts: a bounded sample."""
-    features, first, text, _, _ = sentences([t.encode() for t in texts])
     model = Model(np.zeros(1 << BUCKETS, np.float32), -5.0)
-    if not len(first) or labels.min() == labels.max():
+    if not len(texts) or labels.min() == labels.max():
         return Model(model.weights, -np.inf)
-    n, owner = len(texts), np.repeat(np.arange(len(first)), np.diff(np.append(first, len(features))))
-    pairs = np.unique(text[owner].repeat(features.shape[1]).astype(np.int64) << BUCKETS | features.ravel())
-    bucket, positive = pairs & ((1 << BUCKETS) - 1), labels[pairs >> BUCKETS] == 1
-    ones, zeros = (np.bincount(bucket[x], minlength=1 << BUCKETS) for x in (positive, ~positive))
-    n1, n0 = (labels == 1).sum(), (labels == 0).sum()
+    n, n1, n0 = len(texts), (labels == 1).sum(), (labels == 0).sum()
+    blocks = [range(at, min(at + 100, n)) for at in range(0, n, 100)]
+    ones, zeros = np.zeros(1 << BUCKETS), np.zeros(1 << BUCKETS)  # documents of each class that have a feature
+    for block in blocks:
+        features, first, text, _, _ = sentences([texts[i].encode() for i in block])
+        owner = text[np.repeat(np.arange(len(first)), np.diff(np.append(first, len(features))))] if len(first) else text
+        pairs = np.unique(owner.repeat(features.shape[1]).astype(np.int64) << BUCKETS | features.ravel())
+        positive = labels[block.start :][pairs >> BUCKETS] == 1
+        for x, held in ((ones, positive), (zeros, ~positive)):
+            x += np.bincount(pairs[held] & ((1 << BUCKETS) - 1), minlength=1 << BUCKETS)
     rate_of = (ones + zeros + 1) / (n + 2)  # a feature as frequent in both classes, by a two-sample test, is left out
     apart = np.abs(ones / n1 - zeros / n0) / np.sqrt(rate_of * (1 - rate_of) * (1 / n1 + 1 / n0))
     usable = (ones + zeros >= 3) & (apart >= APART)
-    flat, held_by = features.ravel(), owner.repeat(features.shape[1])
-    flat, held_by = flat[usable[flat]], held_by[usable[flat]]
+    flats, holders, owners, count = [], [], [], 0
+    for block in blocks:
+        features, first, text, _, _ = sentences([texts[i].encode() for i in block])
+        if len(first):
+            sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(features)))).repeat(features.shape[1])
+            on = usable[features.ravel()]
+            flats.append(features.ravel()[on])
+            holders.append(sentence[on] + count)
+            owners.append(text + block.start)
+            count += len(first)
+    if not count:
+        return Model(model.weights, -np.inf)
+    flat, held_by, text = np.concatenate(flats), np.concatenate(holders), np.concatenate(owners)
     m, v, mb, vb = np.zeros(1 << BUCKETS), np.zeros(1 << BUCKETS), 0.0, 0.0
     sums = weights.sum()
     for step in range(1, steps + 1):
-        z = np.bincount(held_by, model.weights[flat], len(first)) + model.bias
+        z = np.bincount(held_by, model.weights[flat], count) + model.bias
         total = np.bincount(text, np.logaddexp(0, z), n)
         pull = weights / sums * np.where(labels == 1, -1 / np.expm1(np.clip(total, 1e-9, 60)), 1.0)
         down = pull[text] / (1 + np.exp(-np.clip(z, -60, 60)))
