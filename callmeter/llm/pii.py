@@ -123,16 +123,16 @@ def discovered(found: DataFrame, row: str) -> DataFrame:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, base, found): base spans and the spans that bootstrapping adds, for each row of docs(doc_id, text).
-    row numbers the rows of docs as they are stored, so docs is to be a table, not a shuffle."""
+    """(doc_id, text_key, base, found): base spans and the spans that bootstrapping adds, for each row of docs(doc_id, text).
+    text_key is a hash of the text; rows of equal doc_id and text have equal spans."""
     docs = with_columns(docs, {"doc_id": "long", "text": "string"}).withColumn("row", F.monotonically_increasing_id())
     with_base = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("base", base_spans(F.col("text")))
     # one pass over the texts: mentions stay beside their row as an array, texts are not written
-    listed = cut(with_base.select("row", "doc_id", "base", _mention_array().alias("mentions")), "mentions")
+    listed = cut(with_base.select("row", "doc_id", F.xxhash64("text").alias("text_key"), "base", _mention_array().alias("mentions")), "mentions")
     found = discovered(listed.select("row", F.explode("mentions").alias("m")).select("row", "m.*"), "row")
     spans = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), F.lit("id").alias("kind"), "end"))).alias("found"))
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    return listed.select("row", "doc_id", "base").join(spans, "row", "left").select("row", "doc_id", "base", F.coalesce("found", none).alias("found"))
+    return listed.select("row", "doc_id", "text_key", "base").join(spans, "row", "left").select("doc_id", "text_key", "base", F.coalesce("found", none).alias("found"))
 
 
 def _mention_array() -> Column:
@@ -156,12 +156,13 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with every base and found span of text replaced by its kind in brackets; other columns unchanged.
     Overlapping spans are one, of the first kind by start."""
     names = docs.columns
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    spans = find(docs).withColumn("spans", F.array_sort(F.concat("base", "found"))).filter(F.size("spans") > 0).select(F.col("row").alias("__row"), "spans")
+    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    spans = find(docs).withColumn("__spans", F.array_sort(F.concat("base", "found"))).filter(F.size("__spans") > 0)
+    spans = spans.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("text_key").alias("__text")).agg(F.first("__spans").alias("__spans"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
     walked = F.aggregate(
-        "spans",
+        "__spans",
         start,
         lambda s, x: F.struct(
             F.greatest(s["at"], x["end"]).alias("at"),
@@ -169,9 +170,9 @@ def redact(docs: DataFrame) -> DataFrame:
         ),
     )
     rest = F.substring(text, walked["at"] + 1, F.length(text))
-    changed = rows.join(spans, "__row", "left").withColumn("text", F.when(F.col("spans").isNull(), text).otherwise(F.concat(walked["out"], rest)))
+    changed = rows.join(spans, ["__id", "__text"], "left").withColumn("text", F.when(F.col("__spans").isNull(), text).otherwise(F.concat(walked["out"], rest)))
     if "n_chars" in names:
-        changed = changed.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        changed = changed.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return changed.select(*names)
 
 
