@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side with a few narrow columns is broadcast; beyond, joins shuffle.
@@ -45,6 +45,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """As cut(), and the number of rows, counted while they are written."""
+    seen = Observation()
+    table = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return table, seen.get["n"]
+
+
+def small_cut(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """As small(cut(df)) without a job for the count."""
+    table, n = counted(df, name)
+    return F.broadcast(table) if n <= rows else table
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a written table of narrow rows for broadcast if it has at most `rows` rows; else Spark shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

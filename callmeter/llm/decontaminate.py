@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bit_set, cut, in_bits, shingled, small, spans, text_slices, with_columns, word_hashes
+from .common import LOWER, bit_set, cut, in_bits, shingled, small_cut, spans, text_slices, with_columns, word_hashes
 
 WINDOW, LITERALS, COVER = 5, 3, 0.8
 #: Units that may follow a number.
@@ -116,8 +116,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated documents."""
-    bad = cut(contaminated(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(small(bad), "doc_id", "left_anti").select(*docs.columns)
+    bad = small_cut(contaminated(docs, benchmark).select("doc_id").distinct(), "contaminated")
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, small_cut
 
 SEED, MAX_EPOCHS, RANGE_ROWS = 11, 2, 4096
 LEVELS = ("domain", "lang", "source")
@@ -91,13 +91,13 @@ def mix(docs: DataFrame, domain: Column, share: float, weights: dict[str, dict[s
     sums = placed.groupBy("leaf", "range", "rest").agg(F.sum("n_tokens").alias("t"))
     upto = W.partitionBy("leaf").orderBy("range").rowsBetween(W.unboundedPreceding, 0)
     edge = sums.withColumn("upto", F.sum("t").over(upto)).filter("upto > rest").groupBy("leaf").agg(F.min_by(F.struct("range", (F.col("upto") - F.col("t")).alias("before")), F.col("range")).alias("e")).select("leaf", F.col("e.range").alias("edge"), F.col("e.before").alias("before"))
-    edge = cut(edge, "edge")
-    within = placed.select("leaf", "range", "rest", "o", "n_tokens").join(small(edge), "leaf").filter(F.col("range") == F.col("edge"))
+    edge = small_cut(edge, "edge")
+    within = placed.select("leaf", "range", "rest", "o", "n_tokens").join(edge, "leaf").filter(F.col("range") == F.col("edge"))
     run = F.sum("n_tokens").over(W.partitionBy("leaf").orderBy("o").rangeBetween(W.unboundedPreceding, 0))
     last = within.withColumn("run", run + F.col("before")).filter("run <= rest").groupBy("leaf").agg(F.max("o").alias("last"))
     # a leaf without an edge takes the whole prefix epoch; one whose edge range has no document within the budget stops before it
     limits = plan.select("leaf", "epochs", "ranges").join(edge, "leaf", "left").join(last, "leaf", "left").withColumn("none", F.col("edge").isNotNull() & F.col("last").isNull())
-    limits = small(cut(limits.select("leaf", F.col("epochs").alias("__e"), F.col("ranges").alias("__r"), F.col("edge").alias("__edge"), F.col("last").alias("__last")), "limits"))
+    limits = small_cut(limits.select("leaf", F.col("epochs").alias("__e"), F.col("ranges").alias("__r"), F.col("edge").alias("__edge"), F.col("last").alias("__last")), "limits")
     o = _order(F.col("__e"), F.col("doc_id"), seed)
     found = rows.withColumn("leaf", leaf).join(limits, "leaf").withColumn("__o", o)
     at = F.floor(F.conv(F.substring("__o", 1, 7), 16, 10).cast("long") * F.col("__r") / F.lit(1 << 28)).cast("long")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_set, components, cut, in_bits, shingle_sets, small, with_columns
+from .common import bit_set, components, counted, cut, in_bits, shingle_sets, small, small_cut, with_columns
 
 PERMUTATIONS, BANDS, ROWS = 32, 16, 4
 #: Members of a group that its centre is taken from; any number gives right results.
@@ -123,10 +123,14 @@ def _compared(groups: DataFrame, sets: DataFrame, centres: DataFrame, need: tupl
     return diff.withColumn("a", (p + q) * F.col("size") - (q - p) * F.col("n"))
 
 
-def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct groups (g, p, x, n, root, members) of groups (g, p, x, n) whose members are in more than one component;
-    p: the group that it is part of; root: the member's component; g becomes a hash of p and the members."""
-    rooted = groups.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+def _rooted(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members (x, ...) with root: the member's component."""
+    return members.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+
+
+def _open(rooted: DataFrame) -> DataFrame:
+    """Distinct groups (g, p, x, n, root, members) of groups (g, p, x, n, root) whose members are in more than one component;
+    p: the group that it is part of; g becomes a hash of p and the members. rooted is read twice: a written table."""
     still = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.xxhash64(F.min("p"), F.bit_xor(F.xxhash64("x")), F.count("*")).alias("f"), F.count("*").alias("members")).filter("lo <> hi").select("g", "f", "members")
     return rooted.join(still, "g").select(F.col("f").alias("g"), "p", "x", "n", "root", "members").distinct()
 
@@ -140,7 +144,7 @@ def _pairs(groups: DataFrame, condition: str, *more: str) -> DataFrame:
 def _direct(pairs: DataFrame, sets: DataFrame, need: tuple[int, int]) -> DataFrame:
     """The pairs (u, v) that full sets confirm. pairs: a written table."""
     p, q = need
-    keys = small(cut(pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct(), "keys"))
+    keys = small_cut(pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct(), "keys")
     held = sets.join(keys, "key", "left_semi")
     inter = F.size(F.array_intersect("su", "sv"))
     both = pairs.join(held.select(F.col("key").alias("u"), F.col("s").alias("su")), "u").join(held.select(F.col("key").alias("v"), F.col("s").alias("sv")), "v")
@@ -154,30 +158,31 @@ def linked(pairs: DataFrame, sets: DataFrame, need: tuple[int, int]) -> DataFram
     sized = sets.select(F.col("key").alias("x"), F.size("s").cast("long").alias("n"))
     labels = components(_direct(pairs.select(F.col("x").alias("u"), F.col("hub").alias("v")), sets, need))
     members = pairs.select(F.col("hub").alias("g"), "x").unionByName(pairs.select(F.col("hub").alias("g"), F.col("hub").alias("x"))).distinct().join(sized, "x")
-    groups = cut(_open(members.withColumn("p", F.col("g")), labels), "groups")
-    if groups.isEmpty():
+    groups, n = counted(_open(cut(_rooted(members.withColumn("p", F.col("g")), labels), "members")), "groups")
+    if not n:
         return labels
     few = cut(_pairs(groups.filter(F.col("members") <= FEW), f"{q} * n1 >= {p} * n2 and {q} * n2 >= {p} * n1"), "few")
     links = _direct(few, sets, need)
-    many, level = groups.filter(F.col("members") > FEW).select("g", "x"), 0
-    while not many.isEmpty():
+    (many, left), level = counted(groups.filter(F.col("members") > FEW).select("g", "x"), "many"), 0
+    while left:
         level += 1
-        held = sets.join(small(cut(many.select(F.col("x").alias("key")).distinct(), "keys")), "key", "left_semi")
+        held = sets.join(small_cut(many.select(F.col("x").alias("key")).distinct(), "keys"), "key", "left_semi")
         seen = cut(_compared(many, held, _centres(many, held, level), need), "compared")
         best = seen.groupBy("g").agg(F.min_by("x", F.struct("a", "x")).alias("star"), F.min("a").alias("least"))
         margins = seen.join(best, "g")
         stars = margins.filter("x <> star and a + least <= 0").select(F.col("x").alias("u"), F.col("star").alias("v"))
         labels = components(links.unionByName(stars).unionByName(as_edges(labels)))
+        margins = _rooted(margins, labels)
         # a partner's D is at most (q - p) / (p + q) (n + n q / p) smaller, so it shares the rest of D(x) but for one element less
         slack = F.floor(F.lit((q - p) / (p + q) * (1 + q / p)) * F.col("n") + F.lit(1e-6)).cast("int") + 2
         overlap = F.greatest(F.lit(1), F.ceil((F.col("a") + F.col("least")) / F.lit(2.0 * (p + q))).cast("int"))
         prefix = F.slice("d", 1, F.greatest(F.least(slack, F.col("size") - overlap + 1), F.lit(0)))
-        shared = margins.select("x", "n", F.col("g").alias("p"), F.explode(prefix).alias("e")).select("x", "n", "p", F.xxhash64("p", "e").alias("g"))
-        groups = cut(_open(shared, labels), "groups")
+        shared = margins.select("x", "n", "root", F.col("g").alias("p"), F.explode(prefix).alias("e")).select("x", "n", "root", "p", F.xxhash64("p", "e").alias("g"))
+        groups = cut(_open(cut(shared, "shared")), "groups")
         # |x1 minus/plus x2| = |D1| + |D2| - 2 |D1 n D2| decides at once, in groups of at most MANY members
         near = groups.filter(F.col("members") <= MANY).join(seen.select(F.col("g").alias("p"), "x", "d", "size"), ["p", "x"])
         links = cut(_pairs(near, f"{p + q} * (size1 + size2 - 2 * size(array_intersect(d1, d2))) <= {q - p} * (n1 + n2)", "d", "size"), "links")
-        many = groups.filter(F.col("members") > MANY).select("g", "x")
+        many, left = counted(groups.filter(F.col("members") > MANY).select("g", "x"), "many")
     return components(links.unionByName(as_edges(labels)))
 
 
@@ -188,9 +193,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, need: tuple[int, int] = (
     sig = cut(signatures(docs, shingle), "signatures")
     bands = sig.filter("key is not null").select(F.explode("bands").alias("band"), "key")
     hubs = bands.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("top")).filter("hub <> top").select("band", "hub")
-    pairs = cut(bands.join(hubs, "band").filter("key <> hub").select(F.col("key").alias("x"), "hub").distinct(), "pairs")
+    pairs, n = counted(bands.join(hubs, "band").filter("key <> hub").select(F.col("key").alias("x"), "hub").distinct(), "pairs")
     labels = None
-    if not pairs.isEmpty():
+    if n:
         members = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("hub").alias("key"))).distinct()
         wanted = cut(sig.filter("key is not null").groupBy("key").agg(F.min("text_hash").alias("text_hash")).join(members, "key", "left_semi").select("text_hash").distinct(), "wanted")
         sets = cut(full_sets(docs, wanted, shingle), "sets")
@@ -207,9 +212,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, need: tuple[int, int] = (
 def one_of_each(docs: DataFrame, shingle: int = 3, need: tuple[int, int] = (85, 100)) -> DataFrame:
     """docs with one document of each component. Rows repeated whole (same doc_id, same text) become one."""
     found = cut(near_duplicates(docs, shingle, need), "near")
-    rest = docs.join(small(cut(found.filter("not kept").select("doc_id").distinct(), "dropped")), "doc_id", "left_anti")
-    again = cut(found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
-    if again.isEmpty():
+    rest = docs.join(small_cut(found.filter("not kept").select("doc_id").distinct(), "dropped"), "doc_id", "left_anti")
+    again, n = counted(found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    if not n:
         return rest
     again = small(again)
     return rest.join(again, "doc_id", "left_anti").unionByName(rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))

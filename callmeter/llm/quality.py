@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small, with_columns
+from .common import cut, small_cut, with_columns
 
 TRAIN_ROWS, STRENGTH = 20_000, (1.0, 1e4)
 
@@ -62,7 +62,7 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> Dat
     """(doc_id, doc_score, host_rate, path_rate, score, keep) for each row of docs(doc_id, text, ...)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
     labels = with_columns(labels, {"doc_id": "long", "quality": "int"}).filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("y"))
-    labels = small(cut(labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0), "labels"))
+    labels = small_cut(labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0), "labels")
     known = rows.select("doc_id", "host", "path").join(labels, "doc_id")
     paths = cut(known.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("y").alias("k")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -74,7 +74,7 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> Dat
     paths = paths.join(hosts, "host")
     strong_path = _strength(paths, "host_rate")
     paths = paths.select("host", "path", ((F.col("k") + strong_path * F.col("host_rate")) / (F.col("n") + strong_path)).alias("path_rate"))
-    site_paths, site_hosts = small(cut(paths, "path_rates")), small(cut(hosts, "host_rates"))
+    site_paths, site_hosts = small_cut(paths, "path_rates"), small_cut(hosts, "host_rates")
 
     x = F.array(*evidence(F.col("text")))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
