@@ -73,7 +73,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int =
     if not len(texts) or labels.min() == labels.max():
         return Model(model.weights, -np.inf)
     n, n1, n0 = len(texts), (labels == 1).sum(), (labels == 0).sum()
-    blocks = [range(at, min(at + 100, n)) for at in range(0, n, 100)]
+    blocks = [range(at, min(at + 25, n)) for at in range(0, n, 25)]
     ones, zeros = np.zeros(1 << BUCKETS), np.zeros(1 << BUCKETS)  # documents of each class that have a feature
     for block in blocks:
         features, first, text, _, _ = sentences([texts[i].encode() for i in block])
@@ -124,12 +124,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     for y in (0, 1):
         part = own.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id").select("text", "toxic").limit(4 * TRAIN_ROWS).toPandas()
-    y = rows["toxic"].to_numpy()
+    rows = docs.filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id").select("text", "toxic").limit(4 * TRAIN_ROWS).collect()
+    rows.sort(key=lambda r: (r.toxic, r.text))  # however tasks ended, the sums are the same
+    y = np.array([r.toxic for r in rows], np.int64)
     if not len(rows) or y.min() == y.max():
         return Model(np.zeros(1 << BUCKETS, np.float32), -np.inf)
     weight = np.where(y == 1, rates[1] / max(1, (y == 1).sum()), rates[0] / max(1, (y == 0).sum()))
-    return fit(rows["text"].tolist(), y, weight)
+    return fit([r.text for r in rows], y, weight)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
