@@ -178,6 +178,42 @@ def test_license_templates_by_brute_force(spark):
         assert found[i] | {"gpl", "apache", "cc-by", "mit"} == expected | {"gpl", "apache", "cc-by", "mit"}, text
 
 
+WRAPPED = [
+    ("bsd", " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n"),
+    ("isc", "# Permission to use, copy, modify, and/or distribute this software for any\r\n# purpose with or without fee is hereby granted, provided that\r\n"),
+    ("mpl-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n"),
+]
+
+
+def test_wrapped_license_notices(spark):
+    rows = [(i, "word " * before + "\n" + text + "more " * 70) for i, (_, text) in enumerate(WRAPPED) for before in (0, 1, 40, 51, 52, 53, 103, 104, 150)]
+    rows += [(100 + i, text.replace(" ", " filler " * 12)) for i, (_, text) in enumerate(WRAPPED)]  # words of a notice far apart on several lines
+    for r in licenses.scan(table(spark, rows)).collect():
+        assert (r.labels, r.score) == ((WRAPPED[r.doc_id][0], 1.0) if r.doc_id < 100 else ("", 0.0)), r
+
+
+def test_wrapped_license_templates_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    sets = [(label, set(licenses.template_words(t)), 2 * len(re.findall("[A-Za-z0-9]+", t))) for label, t in licenses.TEMPLATES]
+    rows = []
+    for i in range(150):
+        base = re.findall("[a-z0-9]+", licenses.TEMPLATES[rng.integers(len(sets))][1].lower())
+        base = [w for w in base if rng.random() > 0.1] + ["alpha"] * rng.integers(0, 20)
+        base = list(rng.permutation(base)) if rng.random() < 0.5 else base
+        rows.append((i, "".join(w + rng.choice(["\n", " "]) for w in ["x"] * rng.integers(120) + base + ["y"] * rng.integers(120))))
+    found = {r.doc_id: (set(r.labels.split(",")) - set(r.base_labels.split(",")) - {""}, r.score, r.n_base) for r in licenses.scan(table(spark, rows)).collect()}
+    base = {"gpl", "apache", "cc-by", "mit"}
+    for i, text in rows:
+        ws, expected, best = text.split(), set(), 0
+        blocks = [(line.split(), 10**9) for line in text.split("\n")]
+        for label, s, width in sets:
+            most = max(len(s & set(b[:w])) for b, w in [*blocks, *((ws[k : k + width], width) for k in range(len(ws)))])
+            if most >= np.ceil(licenses.CONTAIN * len(s) - 1e-9):
+                expected, best = expected | {label}, max(best, most / len(s))
+        assert found[i][0] | base == expected | base and found[i][1] == (1 if found[i][2] else best), text
+
+
 # 5 Mixing ---------------------------------------------------------------------------------------
 
 
