@@ -3,9 +3,11 @@
 Words are runs of letters, digits and non-ASCII bytes. A number becomes <num>, a unit after a number <unit>, a
 capitalised word inside a sentence <name>; other words are lower-cased. Windows of WINDOW canonical words with at least
 LITERALS words that are not placeholders are hash-joined with those of the benchmark. Within one alignment (document,
-item, offset) the placeholders must be consistent: one value in the document for each value in the item and the other way
-round. Thus a copy with other numbers or names is caught, and unrelated texts that share a frame are not. A document is
-contaminated by an item if aligned consistent windows cover at least COVER of the item's windows.
+item, offset) the placeholders are judged slot by slot: a value that stands verbatim always counts; of the changed ones each
+value of the item has one value in the document and the other way round, those of the most windows first. Windows with a
+slot that conflicts with this are left out, the others stay. Thus a copy with other numbers or names is caught, and
+unrelated texts that share a frame are not. A document is contaminated by an item if the windows that stay cover at least
+COVER of the item's windows.
 
 A bounded bit set of the benchmark's window hashes lets tasks pass on only windows that can join, so the join does not
 shuffle the corpus; a benchmark of any size stays right, as the join decides.
@@ -100,6 +102,25 @@ def windows(texts: DataFrame, key: str, bits: bytes | None = None) -> DataFrame:
     return texts.select(key, "text").mapInArrow(run, f"{key} long, pos long, h long, slots array<long>, of long")
 
 
+def agreeing(found: list[tuple[int, list[tuple[int, int]]]]) -> set[int]:
+    """Positions of the windows (position, (item value, document value) of each slot) of one alignment whose slots agree."""
+    seen: dict[tuple[int, int], set[int]] = {}
+    for pos, slots in found:
+        for pair in slots:
+            seen.setdefault(pair, set()).add(pos)
+    there, back = {}, {}
+    for item, doc in sorted(seen, key=lambda p: (p[0] != p[1], -len(seen[p]), min(seen[p]), p)):
+        if item not in there and doc not in back:
+            there[item], back[doc] = doc, item
+    return {pos for pos, slots in found if all(there.get(item) == doc for item, doc in slots)}
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = [sorted(agreeing([(w["item_pos"], list(zip(w["item_slots"], w["slots"], strict=True))) for w in found.as_py()])) for found in batch.column("found")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "item_id", "of", "changed")), pa.array(at, pa.list_(pa.int64()))], ["doc_id", "item_id", "of", "changed", "at"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, changed): changed if a number, unit or name differs from the item's."""
     docs = with_columns(docs, {"doc_id": "long", "text": "string"})
@@ -107,10 +128,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = windows(docs, "doc_id", bit_set(items, "h"))
     right = items.select("item_id", "h", "of", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     met = found.select("doc_id", "h", "pos", "slots").join(right, "h").withColumn("offset", F.col("pos") - F.col("item_pos"))
-    aligned = met.groupBy("doc_id", "item_id", "offset", "of").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots")))).alias("pairs"))
-    distinct = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    consistent = aligned.filter((distinct("item_slots") == F.size("pairs")) & (distinct("slots") == F.size("pairs")))
-    whole = consistent.groupBy("doc_id", "item_id", "of").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"), F.max(F.exists("pairs", lambda p: p["item_slots"] != p["slots"])).alias("changed"))
+    differs = F.col("item_slots") != F.col("slots")
+    aligned = met.groupBy("doc_id", "item_id", "offset", "of").agg(F.collect_set(F.struct("item_pos", "item_slots", "slots")).alias("found"), F.max(differs).alias("changed"))
+    judged = aligned.select("doc_id", "item_id", "of", "changed", "found").mapInArrow(_judged, "doc_id long, item_id long, of long, changed boolean, at array<long>").filter(F.size("at") > 0)
+    whole = judged.groupBy("doc_id", "item_id", "of").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"), F.max("changed").alias("changed"))
     return whole.filter(F.col("n_windows") >= COVER * F.col("of")).select("doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("of")).alias("coverage"), "changed")
 
 

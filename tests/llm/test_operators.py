@@ -134,6 +134,28 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6] and kept.columns == ["doc_id", "text", "h"]
 
 
+def test_decontamination_by_slot(spark):
+    frame = "Early in the morning {} apples were put into the wooden box that stood behind the door of the old barn and later on that day {} pears were laid beside them by the farmer who had gathered these in the garden near the river"
+    more = " while the children who lived there kept looking for any nuts which the wind might have thrown down over the long wet grass"
+    bench = table(spark, [(1, frame.format(12, 12) + more), (2, frame.format(45, 3).replace("apples", "plums") + more)], "item_id long, text string")
+    docs = [
+        (1, frame.format(7, 9) + more),  # one number of the item in two slots, changed apart
+        (2, frame.format(12, 9) + more),  # word for word but for one of two equal numbers
+        (3, frame.format(80, 80).replace("apples", "plums") + more),  # new values that coincide
+        (4, frame.format(7, 7) + more),
+        (5, "Each of {} words here stands in another order, and {} pears were not meant by any of them".format(7, 9)),
+    ]
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(table(spark, docs, "doc_id long, text string"), bench).collect()}
+    assert set(found) >= {(1, 1), (2, 1), (3, 2), (4, 1)} and all(d != 5 for d, _ in found)
+    assert found[4, 1].coverage == 1 > found[1, 1].coverage and found[2, 1].changed
+
+
+def test_agreeing_windows():
+    assert decontaminate.agreeing([(0, [(12, 12)]), (1, []), (2, [(12, 9)])]) == {0, 1}  # verbatim before changed
+    assert decontaminate.agreeing([(0, [(12, 7)]), (1, [(12, 7)]), (2, [(12, 9)])]) == {0, 1}  # most windows first
+    assert decontaminate.agreeing([(0, [(1, 2)]), (1, [(2, 1)]), (2, [(3, 2)])]) == {0, 1}
+
+
 def test_decontamination_odd(spark, odd, empty):
     bench = table(spark, [(1, QUESTION)], "item_id long, text string")
     assert decontaminate.contaminated(odd, bench).count() == 0
