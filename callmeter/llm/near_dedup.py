@@ -1,8 +1,9 @@
 """Near-duplicates by min-max hashing, confirmed on full shingle sets.
 
-Signature: PERMUTATIONS multiplicative permutations of the shingle hashes; the minimum and the maximum of
-each are kept, so 32 evaluations give 64 values. BANDS bands of ROWS values: a pair of similarity 0.85
-misses all 16 bands of 4 with probability (1 - 0.85^4)^16 = 7e-6, one of 0.9 with 2e-8.
+Signature: multiplicative permutations of the shingle hashes; the minimum and the maximum of each are kept, so 32
+evaluations give 64 values. Bands of ROWS values, as many as a pair at the threshold needs to miss them all with
+probability MISS at most: at 0.85 16 bands (32 permutations, (1 - 0.85^4)^16 = 7e-6), at 0.8 23 bands (46
+permutations, (1 - 0.8^4)^23 = 5e-6). Nearer pairs miss less often, at 0.9 16 bands with 2e-8.
 
 A bucket is never expanded into pairs. First its smallest set is the hub, and each member is compared with the hub on
 full sets. Where that leaves more than one component, the members are compared with a centre: the shingles that most
@@ -21,6 +22,7 @@ doc_id takes part and is never a component's id unless the component has no othe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import bit_set, components, counted, cut, in_bits, shingle_sets, small, small_cut, with_columns
 
-PERMUTATIONS, BANDS, ROWS = 32, 16, 4
+ROWS, MISS = 4, 7.5e-6
 #: Members of a group that its centre is taken from; any number gives right results.
 SAMPLE = 16
 #: Members of a group up to which its pairs of fitting size and different components are compared on full sets (120 pairs
@@ -48,27 +50,31 @@ def minmax_signature(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return np.stack([lows, highs], 1).ravel()
 
 
-def _multipliers(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def bands_for(need: tuple[int, int]) -> int:
+    return max(1, ceil(log(MISS) / log1p(-((need[0] / need[1]) ** ROWS)))) if need[0] < need[1] else 1
+
+
+def _multipliers(seed: int, permutations: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _key(hashes: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63) if len(hashes) else None
 
 
-def signatures(docs: DataFrame, shingle: int, seed: int = 7) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int, n_bands: int, seed: int = 7) -> DataFrame:
     """(doc_id, text_hash, n_shingles, key, bands): key names the shingle set; under 6 billion distinct
     sets, less than one pair of them is expected to share a 64-bit key."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        multipliers = _multipliers(seed)
+        multipliers = _multipliers(seed, -(-n_bands * ROWS // 2))
         for batch in batches:
             counts, keys, bands = [], [], []
             for hashes in shingle_sets(batch.column("text"), shingle):
                 counts.append(len(hashes))
                 keys.append(_key(hashes))
                 if len(hashes):
-                    rows = minmax_signature(hashes, multipliers)[: BANDS * ROWS].reshape(BANDS, ROWS)
+                    rows = minmax_signature(hashes, multipliers)[: n_bands * ROWS].reshape(n_bands, ROWS)
                     bands.append([xxhash.xxh3_64_intdigest(r.tobytes(), b) - (1 << 63) for b, r in enumerate(rows)])
                 else:
                     bands.append([])
@@ -190,7 +196,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, need: tuple[int, int] = (
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text). Linked: need[1] * |intersection| >=
     need[0] * |union| of the sets of `shingle`-word shingles; components are those of all links."""
     docs = with_columns(docs, {"doc_id": "long", "text": "string"})
-    sig = cut(signatures(docs, shingle), "signatures")
+    sig = cut(signatures(docs, shingle, bands_for(need)), "signatures")
     bands = sig.filter("key is not null").select(F.explode("bands").alias("band"), "key")
     hubs = bands.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("top")).filter("hub <> top").select("band", "hub")
     pairs, n = counted(bands.join(hubs, "band").filter("key <> hub").select(F.col("key").alias("x"), "hub").distinct(), "pairs")
@@ -209,7 +215,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, need: tuple[int, int] = (
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, need: tuple[int, int] = (85, 100)) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, need: tuple[int, int] = (80, 100)) -> DataFrame:
     """docs with one document of each component. Rows repeated whole (same doc_id, same text) become one."""
     found = cut(near_duplicates(docs, shingle, need), "near")
     rest = docs.join(small_cut(found.filter("not kept").select("doc_id").distinct(), "dropped"), "doc_id", "left_anti")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from callmeter.llm import common, decontaminate, licenses, media, mixing, near_dedup, pii, quality, toxicity, url_lists, warc
 
 LONG = "Numbers such as 12 km and words " * 20_000
@@ -343,6 +344,20 @@ def test_near_duplicates_odd(odd, empty):
     assert kept.columns == odd.columns and kept.filter("doc_id in (5, 6, 7)").count() == 1
 
 
+def test_pipeline_stage_links_at_080_on_five_words(spark):
+    base = [f"w{i}" for i in range(200)]
+    block = [f"b{i}" for i in range(45)]
+    edited = [f"e{i}" if i % 40 == 7 else f"q{i}" for i in range(200)]
+    rows = [(1, " ".join(base)), (2, " ".join(base + block)), (3, " ".join(f"q{i}" for i in range(200))), (4, " ".join(edited))]
+    kept = corpus_pipeline._near_dedup(spark, table(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]  # a block added: 196 of 241; scattered edits: 171 of 221
+
+
+def test_bands_follow_the_threshold():
+    assert near_dedup.bands_for((85, 100)) == 16
+    assert all((1 - (p / 100) ** near_dedup.ROWS) ** near_dedup.bands_for((p, 100)) <= near_dedup.MISS for p in (50, 80, 85, 90, 99))
+
+
 # 8 Quality --------------------------------------------------------------------------------------
 
 
