@@ -2,9 +2,13 @@
 
 A sentence's probability is the logistic of the summed weights of its words and of their first 3 to 6 bytes
 (hashed into 2^BUCKETS weights); a document's is the noisy-or of its sentences. Both the weights and the bias
-come from document labels alone, by full-batch Adam on the noisy-or likelihood, over a documented bounded sample:
-at most TRAIN_ROWS labelled rows of each class with texts of at most TRAIN_CHARS characters. Class weights undo the
-sampling, so that scores follow the labelled rates. Scoring reads every whole text in Arrow batches.
+come from document labels alone, by full-batch Adam on the noisy-or likelihood, over a documented bounded sample of each
+class: its LONG_ROWS longest labelled texts, up to LONG_BYTES of them, and TRAIN_ROWS of the others, up to TRAIN_BYTES. Class
+weights undo the sampling, so that scores follow the labelled rates. Scoring reads every whole text in Arrow batches.
+
+When scoring, the floor (the bias, which a sentence without a suspicious word has) counts once for a document and each
+sentence counts for what it has above the floor, the same words once: a text of neutral sentences scores the same whatever its
+length, and a sentence said again is no new evidence.
 
 Defined results: null and empty texts have no sentence and score 0; a document labelled more than once has its
 largest label; null labels count for nothing; without both classes every score is 0; repeated rows score alike; extra
@@ -22,10 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, spans, text_slices, with_columns, word_hashes
+from .common import LOWER, cut, mix, spans, text_slices, with_columns, word_hashes
 
 BUCKETS = 18
-TRAIN_ROWS, TRAIN_CHARS = 1500, 20_000
+#: Of each class: rows and UTF-8 bytes of the sample.
+TRAIN_ROWS, TRAIN_BYTES = 1500, 12 << 20
+#: Of each class: how many of the longest texts are in the sample, and their UTF-8 bytes; a longer text than that is not learned from.
+LONG_ROWS, LONG_BYTES = 50, 4 << 20
 PREFIXES = (3, 4, 5, 6)
 #: Standard errors by which a feature's document rates in the two classes differ at least.
 APART = 4.0
@@ -67,6 +74,20 @@ def _logits(model: Model, features: np.ndarray, first: np.ndarray) -> np.ndarray
     return np.add.reduceat(model.weights[features].sum(1), first) + model.bias if len(first) else np.empty(0)
 
 
+def _documents(model: Model, z: np.ndarray, features: np.ndarray, first: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """Scores of n texts: noisy-or of one floor and of what each sentence has above it; sentences of the same words count once."""
+    floor = np.logaddexp(0, model.bias)
+    over = np.logaddexp(0, z) - floor
+    total = floor * (np.bincount(text, minlength=n) > 0)
+    at = np.flatnonzero(over > 0)
+    if len(at):
+        words = mix((features.astype(np.uint64) * np.arange(1, 2 * features.shape[1], 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(1))
+        bags = np.add.reduceat(words, first)[at]
+        _, once = np.unique(np.stack([text[at].astype(np.uint64), bags], 1), axis=0, return_index=True)
+        total = total + np.bincount(text[at[once]], over[at[once]], n)
+    return -np.expm1(-total)
+
+
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int = 80, rate: float = 0.15, shrink: float = 1e-5) -> Model:
     """Maximises the weighted noisy-or likelihood of the labels. texts: a bounded sample."""
     model = Model(np.zeros(1 << BUCKETS, np.float32), -5.0)
@@ -113,23 +134,41 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int =
     return model
 
 
+def _fitting(rows: list, most_bytes: int, most_rows: int) -> set[int]:
+    """The ids of rows (doc_id, n) in their order, without those that do not fit into the bytes that are left."""
+    out, left = set(), most_bytes
+    for r in rows:
+        if r.n <= left and len(out) < most_rows:
+            out.add(r.doc_id)
+            left -= r.n
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from labels(doc_id, toxic) whose crc32(doc_id as text) mod 5 is not 0."""
     docs, labels = with_columns(docs, {"doc_id": "long", "text": "string"}), with_columns(labels, {"doc_id": "long", "toxic": "int"})
     own = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    chosen = None
     rates = {r.toxic: r["count"] for r in own.groupBy("toxic").count().collect()}  # two rows
     if len(rates) < 2:
         return Model(np.zeros(1 << BUCKETS, np.float32), -np.inf)
+    sizes = docs.filter("text is not null").select("doc_id", F.octet_length("text").cast("long").alias("n")).join(own, "doc_id").groupBy("doc_id", "toxic").agg(F.sum("n").alias("n"))
+    sizes, chosen = cut(sizes, "sizes"), {}
     for y in (0, 1):
-        part = own.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id").select("text", "toxic").limit(4 * TRAIN_ROWS).collect()
-    rows.sort(key=lambda r: (r.toxic, r.text))  # however tasks ended, the sums are the same
-    y = np.array([r.toxic for r in rows], np.int64)
-    if not len(rows) or y.min() == y.max():
+        part = sizes.filter(F.col("toxic") == y)
+        longest = part.orderBy(F.desc("n"), "doc_id").limit(LONG_ROWS).collect()
+        others = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS + LONG_ROWS).collect()
+        long = _fitting(longest, LONG_BYTES, LONG_ROWS)
+        chosen |= {d: (y, True) for d in long} | {d: (y, False) for d in _fitting([r for r in others if r.doc_id not in long], TRAIN_BYTES, TRAIN_ROWS)}
+    if len({y for y, _ in chosen.values()}) < 2:
         return Model(np.zeros(1 << BUCKETS, np.float32), -np.inf)
-    weight = np.where(y == 1, rates[1] / max(1, (y == 1).sum()), rates[0] / max(1, (y == 0).sum()))
+    picked = docs.sparkSession.createDataFrame([(d,) for d in chosen], "doc_id long")
+    rows = docs.filter("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "text").limit(4 * TRAIN_ROWS).collect()
+    rows.sort(key=lambda r: (chosen[r.doc_id][0], r.text))  # however tasks ended, the sums are the same
+    y = np.array([chosen[r.doc_id][0] for r in rows], np.int64)
+    long = np.array([chosen[r.doc_id][1] for r in rows])
+    # each of the longest stands for itself, the others for the rest of their class
+    rest = np.array([max(0, rates[c] - (long & (y == c)).sum()) / max(1, (~long & (y == c)).sum()) for c in (0, 1)])
+    weight = np.where(long, 1.0, rest[y])
     return fit([r.text for r in rows], y, weight)
 
 
@@ -146,7 +185,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for _, held in text_slices(batch.column("text")):
                 features, first, text, start, end = sentences(held)
                 z = _logits(model, features, first)
-                scores.append(-np.expm1(-np.bincount(text, np.logaddexp(0, z), len(held))))
+                scores.append(_documents(model, z, features, first, text, len(held)))
                 found: list[list[dict]] = [[] for _ in held]
                 at = np.cumsum([0] + [len(b) + 1 for b in held])
                 for i in np.flatnonzero(z >= 0):

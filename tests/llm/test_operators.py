@@ -283,6 +283,24 @@ def test_toxicity_spots_the_sentence(spark):
     assert [bad.text[s.start : s.end] for s in bad.tox_sentences] == ["You zorg grumble vile"]
 
 
+def test_toxicity_of_long_texts(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    clean = [r.text for r in toxicity.score(docs, model).filter("tox_score < 0.1 and length(text) > 200").orderBy("doc_id").limit(20).collect()]
+    neutral = " ".join(f"Qx{i % 97} zq{i % 101} kj{i % 103}." for i in range(60_000))  # no sentence twice
+    rows = [(i, (t + "\n") * (1_000_000 // len(t) + 1)) for i, t in enumerate(clean)] + [(100, neutral)]
+    assert len(clean) == 20 and all(r.tox_score < 0.5 for r in toxicity.score(table(spark, rows), model).collect())
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    calm = "The river is calm today. We walk to the market. " * 500
+    docs = [(i, calm + ("You zorg grumble vile. " if i % 2 else "") + calm) for i in range(60)]
+    labels = table(spark, [(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    found = toxicity.score(table(spark, docs), toxicity.train(table(spark, docs), labels)).collect()
+    assert all((r.tox_score >= 0.5) == (r.doc_id % 2 == 1) for r in found)
+
+
 def test_toxicity_odd(spark, odd, empty):
     none = table(spark, [], "doc_id long, toxic int")
     assert [r.tox_score for r in toxicity.score(odd, toxicity.train(odd, none)).collect()] == [0.0] * odd.count()
