@@ -192,9 +192,9 @@ def linked(pairs: DataFrame, sets: DataFrame, need: tuple[int, int]) -> DataFram
     return components(links.unionByName(as_edges(labels)))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, need: tuple[int, int] = (80, 100)) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text). Linked: need[1] * |intersection| >=
-    need[0] * |union| of the sets of `shingle`-word shingles; components are those of all links."""
+def _found(docs: DataFrame, shingle: int, need: tuple[int, int]) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, root, component_id) for each row of docs; root: null without shingles, else the
+    component's smallest set key."""
     docs = with_columns(docs, {"doc_id": "long", "text": "string"})
     sig = cut(signatures(docs, shingle, bands_for(need)), "signatures")
     bands = sig.filter("key is not null").select(F.explode("bands").alias("band"), "key")
@@ -210,20 +210,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, need: tuple[int, int] = (
     classes = classes.withColumn("root", F.col("key")) if labels is None else classes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = cut(classes, "classes")
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(ids, "root").select("key", "component_id")
-    out = sig.select("doc_id", "n_shingles", "key").join(named, "key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    named = classes.join(ids, "root").select("key", "root", "component_id")
+    out = sig.select("doc_id", "text_hash", "n_shingles", "key").join(named, "key", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, need: tuple[int, int] = (80, 100)) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text). Linked: need[1] * |intersection| >=
+    need[0] * |union| of the sets of `shingle`-word shingles; components are those of all links."""
+    return _found(docs, shingle, need).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, need: tuple[int, int] = (80, 100)) -> DataFrame:
-    """docs with one document of each component. Rows repeated whole (same doc_id, same text) become one."""
-    found = cut(near_duplicates(docs, shingle, need), "near")
-    rest = docs.join(small_cut(found.filter("not kept").select("doc_id").distinct(), "dropped"), "doc_id", "left_anti")
-    again, n = counted(found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    """docs with one document of each component: of its smallest doc_id, there of the smallest text hash. Rows repeated whole
+    (same doc_id, same text) become one. A document is known by its doc_id, which may be null or repeated, and its text's hash."""
+    found = cut(_found(docs, shingle, need), "near")
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = found.filter(same & F.col("root").isNotNull())
+    tied = cut(first.groupBy("root").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).filter("lo <> hi"), "tied")
+    others = found.filter(~same).select("doc_id", "text_hash").unionByName(first.join(small(tied), "root").filter("text_hash <> lo").select("doc_id", "text_hash"))
+    rows = lambda keys, name: small_cut(keys.select(F.col("doc_id").alias("near_id"), F.col("text_hash").alias("near_hash")).distinct(), name)
+    met = F.col("doc_id").cast("long").eqNullSafe(F.col("near_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("near_hash"))
+    rest = docs.join(rows(others, "dropped"), met, "left_anti")
+    again, n = counted(found.groupBy("doc_id", "text_hash").count().filter("count > 1").select("doc_id", "text_hash"), "again")
     if not n:
         return rest
-    again = small(again)
-    return rest.join(again, "doc_id", "left_anti").unionByName(rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    again = rows(again, "repeated")
+    return rest.join(again, met, "left_anti").unionByName(rest.join(again, met, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

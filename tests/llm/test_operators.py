@@ -371,6 +371,16 @@ def test_pipeline_stage_links_at_080_on_five_words(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]  # a block added: 196 of 241; scattered edits: 171 of 221
 
 
+def test_stages_know_rows_by_id_and_text(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (None, text("c")), (None, text("C")), (None, text("d")), (5, text("e")), (5, text("E")), (5, text("e")), (7, None), (None, None), (1, text("f"))]
+    kept = near_dedup.one_of_each(table(spark, rows)).collect()
+    assert sorted((repr(r.doc_id), (r.text or "").lower()[:1]) for r in kept) == [("1", "a"), ("1", "f"), ("2", "b"), ("5", "e"), ("7", ""), ("None", ""), ("None", "c"), ("None", "d")]
+    bench = table(spark, [(1, QUESTION)], "item_id long, text string")
+    left = decontaminate.keep_clean(table(spark, [(None, QUESTION), (None, text("a")), (3, QUESTION), (3, text("b")), (4, None)]), bench).collect()
+    assert sorted((repr(r.doc_id), (r.text or "")[:1]) for r in left) == [("3", "b"), ("4", ""), ("None", "a")]
+
+
 def test_bands_follow_the_threshold():
     assert near_dedup.bands_for((85, 100)) == 16
     assert all((1 - (p / 100) ** near_dedup.ROWS) ** near_dedup.bands_for((p, 100)) <= near_dedup.MISS for p in (50, 80, 85, 90, 99))
