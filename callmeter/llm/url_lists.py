@@ -1,7 +1,7 @@
 """URL lists with dates: each capture is judged by the entries that were active when it was fetched.
 
 List events (kind, value, action, day) become validity intervals: an add opens one, the next event of the same kind and
-value closes it. A capture's keys are its URL without scheme, query and fragment, cut at each of its first PATHS path steps, and
+value closes it. A capture's keys are its URL without scheme, query and fragment, cut at each of its path steps, and
 its host's suffixes of at least two labels. Keys and intervals meet in an as-of join: equal key and
 valid_from <= fetched < valid_to. Intervals and captures are also cut into spans of DAYS days, so an entry that changed often
 meets a capture only with the changes of its span. The longest matching key decides; at equal length allow comes before block.
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import with_columns
 
-PATHS, DAYS = 8, 30
+#: Steps that the oracle's keys have; entries of the registered query have one at most.
+PATHS = 8
+DAYS = 30
 
 
 def host_of(url: Column) -> Column:
@@ -36,7 +38,7 @@ def keys(url: Column) -> Column:
     n = F.size(labels)
     suffixes = F.when((host != "") & (n >= 2), F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(labels, i, n), "."))).otherwise(F.array().cast("array<string>"))
     steps = F.filter(F.split(F.regexp_extract(url, r"^[^:]+://[^/?#]+([^?#]*)", 1), "/"), lambda x: x != "")
-    m = F.least(F.size(steps), F.lit(PATHS))
+    m = F.size(steps)
     prefixes = F.when((host != "") & (m >= 1), F.transform(F.sequence(F.lit(1), m), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.coalesce(F.array_distinct(F.concat(suffixes, prefixes)), F.array().cast("array<string>"))
 

@@ -462,3 +462,10 @@ def test_entries_hold_from_add_to_remove(spark):
     assert found == [(1, "block", "a.org"), (1, "block", "a.org"), (2, "none", None), (3, "block", "a.org"), (4, "allow", "a.org/x"), (5, "none", None), (6, "none", None), (7, "none", None), (8, "none", None)]
     assert url_lists.judge(captures.limit(0), events).count() == 0
     assert url_lists.judge(captures, events.limit(0)).filter("verdict <> 'none'").count() == 0
+
+
+def test_entries_of_deep_paths(spark):
+    deep = "a.org/" + "/".join(f"s{i}" for i in range(12))
+    events = table(spark, [("block", deep, "add", "2024-01-01")], "verdict string, value string, action string, day string")
+    captures = table(spark, [(1, f"https://{deep}/more?q", "2024-01-05"), (2, f"https://{deep[:-4]}", "2024-01-05")], "page_id long, url string, fetched string")
+    assert sorted((r.page_id, r.verdict, r.rule) for r in url_lists.judge(captures, events).collect()) == [(1, "block", deep), (2, "none", None)]
