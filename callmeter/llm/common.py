@@ -3,17 +3,19 @@ bit sets, word hashing over Arrow batches, and connected components."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side with a few narrow columns is broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes of values up to which a written side is broadcast; beyond either, joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 #: Bits of a bounded bit set (2 MB); a fuller one lets more rows through and stays right.
 BITS = 1 << 24
 #: UTF-8 bytes of text that the numpy helpers handle at a time.
@@ -21,9 +23,12 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), one of our own."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, one of our own in local mode, where driver and tasks
+    share their disk; on a cluster that is an error, as executors would write where nobody reads."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="callmeter-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,22 +50,33 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """As cut(), and the number of rows, counted while they are written."""
+def _value_bytes(schema: T.StructType) -> Column:
+    """Bytes of a row's values: the contents of strings and arrays, and 16 for each column."""
+    size = F.lit(16 * len(schema))
+    for f in schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            size = size + 64 * F.greatest(F.size(f.name), F.lit(0))
+    return size
+
+
+def measured(df: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+    """As cut(), with the numbers of rows and of their values' bytes, taken while they are written."""
     seen = Observation()
-    table = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
-    return table, seen.get["n"]
+    table = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(_value_bytes(df.schema)), F.lit(0)).alias("bytes")), name)
+    return table, seen.get["n"], seen.get["bytes"]
 
 
-def small_cut(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """As small(cut(df)) without a job for the count."""
-    table, n = counted(df, name)
-    return F.broadcast(table) if n <= rows else table
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """As cut(), and the number of rows, counted while they are written."""
+    return measured(df, name)[:2]
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a written table of narrow rows for broadcast if it has at most `rows` rows; else Spark shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small_cut(df: DataFrame, name: str, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """As cut(); marked for broadcast if it has at most `rows` rows and `most` bytes of values; else Spark shuffles."""
+    table, n, held = measured(df, name)
+    return F.broadcast(table) if n <= rows and held <= most else table
 
 
 def with_columns(df: DataFrame, needed: dict[str, str]) -> DataFrame:

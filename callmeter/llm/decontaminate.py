@@ -10,11 +10,14 @@ unrelated texts that share a frame are not. A document is contaminated by an ite
 COVER of the item's windows.
 
 A bounded bit set of the benchmark's window hashes lets tasks pass on only windows that can join, so the join does not
-shuffle the corpus; a benchmark of any size stays right, as the join decides.
+shuffle the corpus; a benchmark of any size stays right, as the join decides. Texts are known by their hashes, so each row is judged by
+its own text alone. A text that COVER of an item's n windows stand in holds one of its n - ceil(COVER n) + 1 rarest: only these
+look for candidates, and whole items are then compared with their candidates. So a window that many items and texts share
+does not pair them all.
 
 Defined results: null and empty texts match nothing; an item with no window of its own (shorter than WINDOW words)
-is matched by nothing; repeated rows and repeated doc_ids give one row for each doc_id and item; null ids take part;
-extra columns are ignored.
+is matched by nothing; repeated rows and repeated ids give one row for each doc_id and item_id, that of the text and item of most
+coverage; null ids take part; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER, bit_set, cut, in_bits, shingled, small_cut, spans, text_slices, with_columns, word_hashes
@@ -65,6 +69,7 @@ def templates(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     words = word_hashes(LOWER[raw], starts, ends)
     number = digit[starts]
     after = np.concatenate(([False], number[:-1]))
+    after[first[:-1][first[:-1] < len(starts)]] = False  # a text's first word follows no number
     unit = after & np.isin(words, _UNIT_HASHES)
     ended = np.concatenate(([0], np.cumsum(_END[raw])))
     begins = np.concatenate(([True], ended[starts[1:]] > ended[ends[:-1]]))
@@ -118,29 +123,45 @@ def agreeing(found: list[tuple[int, list[tuple[int, int]]]]) -> set[int]:
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = [sorted(agreeing([(w["item_pos"], list(zip(w["item_slots"], w["slots"], strict=True))) for w in found.as_py()])) for found in batch.column("found")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "item_id", "of", "changed")), pa.array(at, pa.list_(pa.int64()))], ["doc_id", "item_id", "of", "changed", "at"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("text_hash", "item", "of", "changed")), pa.array(at, pa.list_(pa.int64()))], ["text_hash", "item", "of", "changed", "at"])
+
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(text_hash, item_id, n_windows, coverage, changed) of the texts of docs(text) and the items of benchmark(item_id, text)."""
+    bench = with_columns(benchmark, {"item_id": "long", "text": "string"}).filter("text is not null").distinct()
+    item = F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text")
+    named = bench.withColumn("item", item)
+    items = small_cut(windows(named, "item").select("item", "h", "of", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")), "items")
+    texts = with_columns(docs, {"text": "string"}).withColumn("text_hash", F.xxhash64("text"))
+    found = cut(windows(texts, "text_hash", bit_set(items, "h")).drop("of").distinct(), "found")
+
+    often = items.join(found.groupBy("h").agg(F.count("*").alias("n")), "h", "left")
+    rarest = F.row_number().over(W.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "h", "item_pos"))  # an item's windows are those of its one text
+    rare = often.withColumn("rank", rarest).filter(F.col("n").isNotNull() & (F.col("rank") <= F.col("of") - F.ceil(COVER * F.col("of") - 1e-9) + 1))
+    candidates = found.select("text_hash", "h").join(rare.select("item", "h").distinct(), "h").select("text_hash", "item").distinct()
+
+    met = found.join(candidates.join(items, "item"), ["text_hash", "h"]).withColumn("offset", F.col("pos") - F.col("item_pos"))
+    differs = F.col("item_slots") != F.col("slots")
+    aligned = met.groupBy("text_hash", "item", "offset", "of").agg(F.collect_set(F.struct("item_pos", "item_slots", "slots")).alias("found"), F.max(differs).alias("changed"))
+    judged = aligned.select("text_hash", "item", "of", "changed", "found").mapInArrow(_judged, "text_hash long, item long, of long, changed boolean, at array<long>")
+    whole = judged.select("text_hash", "item", "of", "changed", F.explode("at").alias("at")).groupBy("text_hash", "item", "of").agg(F.count_distinct("at").alias("n_windows"), F.max("changed").alias("changed"))
+    kept = whole.filter(F.col("n_windows") >= F.ceil(COVER * F.col("of") - 1e-9)).join(named.select("item", "item_id"), "item")
+    return kept.select("text_hash", "item_id", "n_windows", (F.col("n_windows") / F.col("of")).alias("coverage"), "changed")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, changed): changed if a number, unit or name differs from the item's."""
-    docs = with_columns(docs, {"doc_id": "long", "text": "string"})
-    items = cut(windows(with_columns(benchmark, {"item_id": "long", "text": "string"}), "item_id"), "items")
-    found = windows(docs, "doc_id", bit_set(items, "h"))
-    right = items.select("item_id", "h", "of", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    met = found.select("doc_id", "h", "pos", "slots").join(right, "h").withColumn("offset", F.col("pos") - F.col("item_pos"))
-    differs = F.col("item_slots") != F.col("slots")
-    aligned = met.groupBy("doc_id", "item_id", "offset", "of").agg(F.collect_set(F.struct("item_pos", "item_slots", "slots")).alias("found"), F.max(differs).alias("changed"))
-    judged = aligned.select("doc_id", "item_id", "of", "changed", "found").mapInArrow(_judged, "doc_id long, item_id long, of long, changed boolean, at array<long>").filter(F.size("at") > 0)
-    whole = judged.groupBy("doc_id", "item_id", "of").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"), F.max("changed").alias("changed"))
-    return whole.filter(F.col("n_windows") >= COVER * F.col("of")).select("doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("of")).alias("coverage"), "changed")
+    found = small_cut(contaminated_texts(docs, benchmark), "contaminated")
+    rows = with_columns(docs, {"doc_id": "long", "text": "string"}).select("doc_id", F.xxhash64("text").alias("text_hash")).join(found, "text_hash")
+    most = F.max(F.struct("coverage", "n_windows", "changed")).alias("most")
+    return rows.groupBy("doc_id", "item_id").agg(most).select("doc_id", "item_id", "most.n_windows", "most.coverage", "most.changed")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated documents. A document is judged by its text alone, known by its hash, whatever its doc_id."""
-    hashed = F.xxhash64(F.col("text").cast("string"))
-    found = contaminated(docs.select(hashed.alias("doc_id"), "text"), benchmark)
-    bad = small_cut(found.select(F.col("doc_id").alias("bad_hash")).distinct(), "contaminated")
-    return docs.join(bad, hashed == F.col("bad_hash"), "left_anti").select(*docs.columns)
+    found = contaminated_texts(docs.select("text"), benchmark)
+    bad = small_cut(found.select(F.col("text_hash").alias("bad_hash")).distinct(), "contaminated")
+    return docs.join(bad, F.xxhash64(F.col("text").cast("string")) == F.col("bad_hash"), "left_anti").select(*docs.columns)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

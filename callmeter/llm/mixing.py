@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, small, small_cut
+from .common import cut, small_cut
 
 SEED, MAX_EPOCHS, RANGE_ROWS = 11, 2, 4096
 LEVELS = ("domain", "lang", "source")
@@ -48,7 +48,8 @@ def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
 
 
 def budgets(leaves: DataFrame, budget: Column, weights: dict[str, dict[str, int]], max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """leaves(*LEVELS, tokens) with budget: the tokens that each is to give. All arithmetic is on whole numbers."""
+    """leaves(*LEVELS, tokens) with budget: the tokens that each is to give. Budgets and shares are whole numbers; only the order of
+    siblings goes by a ratio. A level's windows hold nodes of the tree, one row each, not documents."""
     out = leaves.withColumn("cap", (F.col("tokens") * max_epochs).cast("decimal(38,0)")).withColumn("b", budget.cast("decimal(38,0)"))
     for depth, level in enumerate(LEVELS):
         parents, own = LEVELS[:depth], LEVELS[: depth + 1]
@@ -60,7 +61,7 @@ def budgets(leaves: DataFrame, budget: Column, weights: dict[str, dict[str, int]
         nodes = nodes.withColumn("before", before).withColumn("after", after)
         full = F.col("c") * F.col("after") <= (F.col("b") - F.col("before")) * F.col("w")
         nodes = nodes.withColumn("full", full).withColumn("spent", F.coalesce(F.sum(F.when(F.col("full"), F.col("c"))).over(part), F.lit(0)).cast("decimal(38,0)")).withColumn("open", F.sum(F.when(~F.col("full"), F.col("w"))).over(part))
-        share = F.floor((F.col("b") - F.col("spent")).cast("double") * F.col("w") / F.col("open")).cast("decimal(38,0)")
+        share = F.expr("((b - spent) * w) div open").cast("decimal(38,0)")
         nodes = nodes.select(*[F.col(x).alias(f"k_{x}") for x in own], F.when(F.col("full"), F.col("c")).otherwise(share).alias("b"))
         match = [F.col(x).eqNullSafe(F.col(f"k_{x}")) for x in own]
         cond = match[0]
@@ -84,7 +85,7 @@ def mix(docs: DataFrame, domain: Column, share: float, weights: dict[str, dict[s
     plan = plan.withColumn("epochs", F.floor(F.col("budget") / F.col("tokens")).cast("long")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
     plan = cut(plan.withColumn("leaf", F.xxhash64(F.to_json(F.struct(*LEVELS)))).withColumn("ranges", F.greatest(F.lit(1), F.ceil(F.col("rows") / RANGE_ROWS))), "plan")
     leaf = F.xxhash64(F.to_json(F.struct(*LEVELS)))
-    thin = small(plan.select("leaf", "epochs", "rest", "ranges"))
+    thin = small_cut(plan.select("leaf", "epochs", "rest", "ranges"), "leaves")
     placed = slim.withColumn("leaf", leaf).join(thin, "leaf").withColumn("o", _order(F.col("epochs"), F.col("doc_id"), seed))
     at = F.floor(F.conv(F.substring("o", 1, 7), 16, 10).cast("long") * F.col("ranges") / F.lit(1 << 28)).cast("long")
     placed = placed.withColumn("range", at)
@@ -122,7 +123,7 @@ n_{level} as (select {keys}, sum(cap) as c, max(b) as b, {weight} as w from {abo
 p_{level} as (select *, coalesce(sum(c) over ({over} order by c*1.0/w, {level} nulls first rows between unbounded preceding and 1 preceding), 0) as before, sum(w) over ({over} order by c*1.0/w, {level} nulls first rows between current row and unbounded following) as after from n_{level}),
 f_{level} as (select *, c*after <= (b-before)*w as full_ from p_{level}),
 s_{level} as (select *, coalesce(sum(case when full_ then c end) over ({over}), 0) as spent, sum(case when not full_ then w end) over ({over}) as open_ from f_{level}),
-b_{level} as (select {keys}, case when full_ then c else cast(floor(cast(b-spent as double)*w/open_) as hugeint) end as b from s_{level}),
+b_{level} as (select {keys}, case when full_ then c else ((b-spent)*w)//open_ end as b from s_{level}),
 l_{level} as (select {above}.* exclude (b), n.b from {above} join b_{level} n on {on})"""
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_set, components, counted, cut, in_bits, shingle_sets, small, small_cut, with_columns
+from .common import bit_set, components, counted, cut, in_bits, shingle_sets, small_cut, with_columns
 
 ROWS, MISS = 4, 7.5e-6
 #: Members of a group that its centre is taken from; any number gives right results.
@@ -227,8 +227,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, need: tuple[int, int] = (80,
     found = cut(_found(docs, shingle, need), "near")
     same = F.col("doc_id").eqNullSafe(F.col("component_id"))
     first = found.filter(same & F.col("root").isNotNull())
-    tied = cut(first.groupBy("root").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).filter("lo <> hi"), "tied")
-    others = found.filter(~same).select("doc_id", "text_hash").unionByName(first.join(small(tied), "root").filter("text_hash <> lo").select("doc_id", "text_hash"))
+    tied = small_cut(first.groupBy("root").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).filter("lo <> hi"), "tied")
+    others = found.filter(~same).select("doc_id", "text_hash").unionByName(first.join(tied, "root").filter("text_hash <> lo").select("doc_id", "text_hash"))
     rows = lambda keys, name: small_cut(keys.select(F.col("doc_id").alias("near_id"), F.col("text_hash").alias("near_hash")).distinct(), name)
     met = F.col("doc_id").cast("long").eqNullSafe(F.col("near_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("near_hash"))
     rest = docs.join(rows(others, "dropped"), met, "left_anti")

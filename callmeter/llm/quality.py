@@ -3,12 +3,14 @@
 Evidence: a logistic classifier over character and word ratios, fitted by Newton steps on a documented bounded sample of
 at most TRAIN_ROWS labelled rows (features only, never texts). Prior: the rate of good labels of the document's path,
 shrunk toward its host's, which is shrunk toward the global rate. How strongly is estimated from the data at each level by
-moments of a beta-binomial, from grouped counts over all labelled rows used for learning. The score is the
-posterior: logit(score) = logit(classifier) - logit(global) + logit(path).
+moments of a beta-binomial, from grouped counts over all labelled rows. The score is the
+posterior: logit(score) = logit(classifier) - logit(global) + logit(path). All labels given are learned from; whoever
+measures on held-out rows leaves their labels out.
 
 Defined results: null and empty texts have ratios 0 and are scored; null hosts and paths are one of their own; labels
-of 0 and 1 count, a document labelled more than once has its smallest; without both classes the score is the prior alone
-(0.5 without labels); repeated rows score alike; extra columns are ignored.
+of 0 and 1 count, a document labelled more than once has its smallest, one with several texts stands in the sample with that of
+the smallest hash; without both classes the score is the prior alone (0.5 without labels); repeated rows score alike; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,7 +64,7 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> Dat
     """(doc_id, doc_score, host_rate, path_rate, score, keep) for each row of docs(doc_id, text, ...)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
     labels = with_columns(labels, {"doc_id": "long", "quality": "int"}).filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("y"))
-    labels = small_cut(labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0), "labels")
+    labels = small_cut(labels, "labels")
     known = rows.select("doc_id", "host", "path").join(labels, "doc_id")
     paths = cut(known.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("y").alias("k")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -78,7 +80,8 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> Dat
 
     x = F.array(*evidence(F.col("text")))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    sample = rows.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(x.alias("x"), "y").limit(2 * TRAIN_ROWS).toPandas()
+    sample = rows.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", x.alias("x"), F.xxhash64("text").alias("at"))
+    sample = sample.groupBy("doc_id", "y").agg(F.min_by("x", "at").alias("x")).toPandas().sort_values("doc_id")  # a row for each chosen document
     doc = F.lit(rate)
     if len(sample) and sample["y"].nunique() == 2:
         model = fit(np.stack(sample["x"].to_numpy()), sample["y"].to_numpy())

@@ -11,7 +11,7 @@ sentence counts for what it has above the floor, the same words once: a text of
 length, and a sentence said again is no new evidence.
 
 Defined results: null and empty texts have no sentence and score 0; a document labelled more than once has its
-largest label; null labels count for nothing; without both classes every score is 0; repeated rows score alike; extra
+largest label, and one text (of the smallest hash) to learn from; null labels count for nothing; without both classes every score is 0; repeated rows score alike; extra
 columns are ignored; a null doc_id is scored, and its held_out is null.
 """
 
@@ -151,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rates = {r.toxic: r["count"] for r in own.groupBy("toxic").count().collect()}  # two rows
     if len(rates) < 2:
         return Model(np.zeros(1 << BUCKETS, np.float32), -np.inf)
-    sizes = docs.filter("text is not null").select("doc_id", F.octet_length("text").cast("long").alias("n")).join(own, "doc_id").groupBy("doc_id", "toxic").agg(F.sum("n").alias("n"))
+    order = F.struct(F.xxhash64("text"), F.octet_length("text"))  # a doc_id that stands more than once is learned from by its text of the smallest hash
+    sizes = docs.filter("text is not null").select("doc_id", order.alias("at")).join(own, "doc_id").groupBy("doc_id", "toxic").agg(F.min("at").alias("at")).select("doc_id", "toxic", F.col("at.col2").cast("long").alias("n"))
     sizes, chosen = cut(sizes, "sizes"), {}
     for y in (0, 1):
         part = sizes.filter(F.col("toxic") == y)
@@ -162,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if len({y for y, _ in chosen.values()}) < 2:
         return Model(np.zeros(1 << BUCKETS, np.float32), -np.inf)
     picked = docs.sparkSession.createDataFrame([(d,) for d in chosen], "doc_id long")
-    rows = docs.filter("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "text").limit(4 * TRAIN_ROWS).collect()
+    rows = docs.filter("text is not null").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min_by("text", order).alias("text")).collect()  # a row for each chosen document
     rows.sort(key=lambda r: (chosen[r.doc_id][0], r.text))  # however tasks ended, the sums are the same
     y = np.array([chosen[r.doc_id][0] for r in rows], np.int64)
     long = np.array([chosen[r.doc_id][1] for r in rows])

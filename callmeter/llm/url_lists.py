@@ -1,8 +1,8 @@
 """URL lists with dates: each capture is judged by the entries that were active when it was fetched.
 
 List events (kind, value, action, day) become validity intervals: an add opens one, the next event of the same kind and
-value closes it. A capture's keys are its URL without scheme, query and fragment, cut at each of its path steps, and
-its host's suffixes of at least two labels. Keys and intervals meet in an as-of join: equal key and
+value closes it. A capture's keys are its URL without scheme, query and fragment, cut at each of its path steps (of those
+numbers of steps that entries have), and its host's suffixes of at least two labels. Keys and intervals meet in an as-of join: equal key and
 valid_from <= fetched < valid_to. Intervals and captures are also cut into spans of DAYS days, so an entry that changed often
 meets a capture only with the changes of its span. The longest matching key decides; at equal length allow comes before block.
 
@@ -19,10 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import with_columns
+from .common import cut, with_columns
 
-#: Steps that the oracle's keys have; entries of the registered query have one at most.
-PATHS = 8
 DAYS = 30
 
 
@@ -31,15 +29,22 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
 
 
-def keys(url: Column) -> Column:
-    """array<string> of the keys that list entries may name: host suffixes of two labels or more, host/path prefixes."""
+def depths_of(values: DataFrame) -> list[int]:
+    """The numbers of path steps that entries `value` have: distinct small numbers, none above the longest entry's steps."""
+    return sorted(r[0] for r in values.select((F.size(F.split("value", "/")) - 1).alias("n")).filter("n > 0").distinct().collect())
+
+
+def keys(url: Column, depths: list[int] | None = None) -> Column:
+    """array<string> of the keys that list entries may name: host suffixes of two labels or more, host/path prefixes;
+    depths: only prefixes of so many steps."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
     suffixes = F.when((host != "") & (n >= 2), F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(labels, i, n), "."))).otherwise(F.array().cast("array<string>"))
     steps = F.filter(F.split(F.regexp_extract(url, r"^[^:]+://[^/?#]+([^?#]*)", 1), "/"), lambda x: x != "")
     m = F.size(steps)
-    prefixes = F.when((host != "") & (m >= 1), F.transform(F.sequence(F.lit(1), m), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
+    wanted = F.sequence(F.lit(1), m) if depths is None else F.filter(F.array(*[F.lit(n) for n in depths]).cast("array<int>"), lambda i: i <= m)
+    prefixes = F.when((host != "") & (m >= 1), F.transform(wanted, lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.coalesce(F.array_distinct(F.concat(suffixes, prefixes)), F.array().cast("array<string>"))
 
 
@@ -54,13 +59,15 @@ def intervals(events: DataFrame) -> DataFrame:
 
 def judge(captures: DataFrame, events: DataFrame) -> DataFrame:
     """(page_id, url, fetched, verdict, rule, n_active) for each of captures(page_id, url, fetched)."""
-    captures = with_columns(captures, {"page_id": "long", "url": "string", "fetched": "date"}).withColumn("row", F.monotonically_increasing_id())
+    captures = with_columns(captures, {"page_id": "long", "url": "string", "fetched": "date"})
+    captures = cut(captures.withColumn("row", F.monotonically_increasing_id()), "captures")  # both uses see the same numbers
     span = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / DAYS).cast("int")
     bounds = captures.agg(F.min("fetched").alias("lo"), F.max("fetched").alias("hi"))
-    active = intervals(events).crossJoin(F.broadcast(bounds)).filter("valid_from <= hi and coalesce(valid_to > lo, true)")  # bounds is one row
+    listed = cut(intervals(events), "intervals")
+    active = listed.crossJoin(F.broadcast(bounds)).filter("valid_from <= hi and coalesce(valid_to > lo, true)")  # bounds is one row
     last = F.least(F.coalesce(F.date_sub("valid_to", 1), F.col("hi")), F.col("hi"))
     active = active.withColumn("span", F.explode(F.sequence(span(F.greatest("valid_from", "lo")), span(last)))).drop("lo", "hi")
-    asked = captures.select("row", "fetched", F.explode(keys(F.col("url"))).alias("value")).withColumn("span", span(F.col("fetched")))
+    asked = captures.select("row", "fetched", F.explode(keys(F.col("url"), depths_of(listed))).alias("value")).withColumn("span", span(F.col("fetched")))
     met = asked.join(active, ["value", "span"]).filter("valid_from <= fetched and (valid_to is null or fetched < valid_to)")
     best = F.max(F.struct(F.length("value").alias("n"), (F.col("verdict") == "allow").alias("allow"), F.col("value").alias("value"), F.col("verdict").alias("verdict")))
     verdicts = met.groupBy("row").agg(best.alias("best"), F.count("*").alias("n_active"))
@@ -97,7 +104,7 @@ dd as (select verdict, value, day, max(action = 'add') as added from e group by
 i as (select * from (select *, lead(day) over (partition by verdict, value order by day) as valid_to from dd) where added),
 c as ({_CAPTURES}),
 s as (select page_id, host, string_split(host, '.') as l, list_filter(string_split(regexp_extract(url, '^[^:]+://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '') as p from h),
-k as (select distinct page_id, unnest(list_concat(list_transform(range(1, len(l)), lambda j: array_to_string(l[j:], '.')), list_transform(range(1, least(len(p), {PATHS}) + 1), lambda j: host || '/' || array_to_string(p[1:j], '/')))) as value from s where host <> ''),
+k as (select distinct page_id, unnest(list_concat(list_transform(range(1, len(l)), lambda j: array_to_string(l[j:], '.')), list_transform(range(1, len(p) + 1), lambda j: host || '/' || array_to_string(p[1:j], '/')))) as value from s where host <> ''),
 m as (select c.page_id, i.value, i.verdict from c join k using (page_id) join i on i.value = k.value and i.day <= c.fetched and (i.valid_to is null or c.fetched < i.valid_to)),
 b as (select page_id, count(*) as n_active, max(struct_pack(n := length(value), allow := verdict = 'allow', value := value, verdict := verdict)) as best from m group by page_id)
 select c.page_id, c.url, c.fetched, coalesce(best.verdict, 'none') as verdict, best.value as rule, cast(coalesce(n_active, 0) as bigint) as n_active from c left join b using (page_id)

@@ -5,11 +5,13 @@ convention has it; then each record is one frame. The writer trains each archive
 records and starts a new archive after ARCHIVE_BYTES. The reader plans one partition for an archive, loads the dictionary,
 decodes one frame for a record in a stream, and validates version, mandatory headers, Content-Length, the record's end,
 and a response's HTTP length and payload digest. With strict (the default) a broken record fails the read; else it
-becomes a row with its error, and reading goes on with the next frame.
+becomes a row with its error, and reading goes on with the next frame: at the end that the broken frame's own block
+sizes tell, or where these lead nowhere, at the next frame magic from which a whole frame decodes. A frame that is cut off is a
+row with its error and the archive's last; an archive without its dictionary frame is one row with its error.
 
-Equal payloads of REVISIT_BYTES or more: the row with the largest page_id is the response, the others revisit it. Rows are
-grouped by digest and length with partial aggregation and joined back, so a payload of a third of all rows is a join that
-Spark can split.
+Equal payloads of REVISIT_BYTES or more: the row with the largest page_id is the response, the others revisit it. Digests and
+lengths are grouped with partial aggregation, without the payloads. The digests of groups are broadcast if few; else a
+bounded bit set of them parts the rows, and only those that may be in a group are shuffled, by a join that Spark can split.
 
 Defined results: a null html is an empty payload; a null url becomes urn:page:<id>; rows without a page_id are
 responses, without an id when read; rows repeated with the largest page_id are all responses; no rows make no archive;
@@ -22,6 +24,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
@@ -30,10 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from .common import scratch, with_columns
+from .common import BROADCAST_BYTES, BROADCAST_ROWS, bit_set, in_bits, measured, scratch, with_columns
 
 REVISIT_BYTES, ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES = 1000, 128 << 20, 16 << 10, 2 << 20
-SKIPPABLE = 0x184D2A5D
+SKIPPABLE, MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 #: Fixed value: the profile of a revisit with an identical payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -46,7 +49,26 @@ def classify(pages: DataFrame) -> DataFrame:
     pages = with_columns(pages, {"page_id": "long", "url": "string", "html": "string"})
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     groups = rows.filter(f"size >= {REVISIT_BYTES} and page_id is not null").groupBy("digest", "size").agg(F.max("page_id").alias("top"), F.min("page_id").alias("low")).filter("top <> low").drop("low")
-    return rows.join(groups, ["digest", "size"], "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id") < F.col("top"), F.col("top")).alias("response"))
+    groups, n, held = measured(groups, "groups")
+    few = n <= BROADCAST_ROWS and held <= BROADCAST_BYTES
+    groups = F.broadcast(groups) if few else groups
+    shown = [F.col(c) for c in ("page_id", "url", "payload", "digest")]
+    joined = lambda part: part.join(groups, ["digest", "size"], "left").select(*shown, F.when(F.col("page_id") < F.col("top"), F.col("top")).alias("response"))
+    if few:
+        return joined(rows)
+    key = F.xxhash64("digest", "size")
+    bits = pages.sparkSession.sparkContext.broadcast(bit_set(groups.select(key.alias("key")), "key"))
+
+    def parted(likely: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            on = np.frombuffer(bits.value, np.uint8)
+            for batch in batches:
+                yield batch.filter(pa.array(in_bits(on, batch.column("key").to_numpy(zero_copy_only=False)) == likely))
+
+        keyed = rows.withColumn("key", key)
+        return keyed.mapInArrow(run, keyed.schema)
+
+    return joined(parted(True)).unionByName(parted(False).select(*shown, F.lit(None).cast("long").alias("response")))
 
 
 def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, response: int | None) -> bytes:
@@ -134,27 +156,82 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     return classify(pages).mapInArrow(run, "archive string, records long")
 
 
-def frames(stream, decompressor: zstandard.ZstdDecompressor, rest: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, decoded frame) one after another; only the frame at hand is held."""
-    at, chunk = 8, rest
+def _frame_end(f, at: int) -> int | None:
+    """Where the frame at `at` ends by the sizes in its frame and block headers, without decoding; None if they lead past the file."""
+    f.seek(at)
+    head = f.read(14)
+    if len(head) < 6 or head[:4] != MAGIC:
+        return None
+    flags = head[4]
+    single = flags >> 5 & 1
+    end = at + 5 + (1 - single) + (0, 1, 2, 4)[flags & 3] + (single, 2, 4, 8)[flags >> 6]
+    while True:
+        f.seek(end)
+        block = f.read(3)
+        if len(block) < 3:
+            return None
+        told = int.from_bytes(block, "little")
+        end += 3 + (1 if told >> 1 & 3 == 1 else told >> 3)
+        if told & 1:
+            return end + 4 * (flags >> 2 & 1)
+
+
+def _frame(f, decompressor: zstandard.ZstdDecompressor, rest: bytes = b"") -> tuple[bytes, int, bytes]:
+    """The decoded frame that `rest` and what f reads on begin with, its length, and what was read beyond it; ZstdError or
+    ValueError if it is broken or cut off."""
+    one, out, n = decompressor.decompressobj(), [], 0
     while True:
+        chunk = rest or f.read(1 << 16)
         if not chunk:
-            chunk = stream.read(1 << 16)
-            if not chunk:
-                return
-        one, out, used = decompressor.decompressobj(), [], 0
-        while True:
-            out.append(one.decompress(chunk))
-            used += len(chunk)
-            if one.eof:
-                break
-            chunk = stream.read(1 << 16)
-            if not chunk:
-                raise ValueError(f"frame at {at} is cut off")
-        chunk = one.unused_data
-        used -= len(chunk)
-        yield at, b"".join(out)
-        at += used
+            raise ValueError("cut off")
+        out.append(one.decompress(chunk))
+        n, rest = n + len(chunk), b""
+        if one.eof:
+            return b"".join(out), n - len(one.unused_data), one.unused_data
+
+
+def _next_frame(f, decompressor: zstandard.ZstdDecompressor, broken: int, size: int) -> int:
+    """Where reading goes on after the broken frame: its own end if a frame or the file's end stands there; else the next frame
+    magic from which a frame decodes, else the file's end."""
+    end = _frame_end(f, broken)
+    if end is not None and end <= size:
+        f.seek(end)
+        if end == size or f.read(4) == MAGIC:
+            return end
+    at, held, start = broken + 4, b"", broken + 4
+    f.seek(at)
+    while chunk := f.read(1 << 20):
+        held += chunk
+        while (found := held.find(MAGIC)) >= 0:
+            try:
+                f.seek(start + found)
+                _frame(f, decompressor)
+                return start + found
+            except (zstandard.ZstdError, ValueError):
+                held, start = held[found + 4 :], start + found + 4
+        held, start = held[-3:], start + max(0, len(held) - 3)
+        at = start + len(held)
+        f.seek(at)
+    return size
+
+
+def frames(f, decompressor: zstandard.ZstdDecompressor, at: int, size: int, strict: bool) -> Iterator[tuple[int, bytes | Exception]]:
+    """(offset, decoded frame) one after another from offset `at` of a seekable file; only the frame at hand is held. A broken
+    frame raises if strict, else its error stands in its place."""
+    f.seek(at)
+    rest = b""
+    while at < size:
+        try:
+            record, n, rest = _frame(f, decompressor, rest)
+        except (zstandard.ZstdError, ValueError) as e:
+            if strict:
+                raise ValueError(f"frame at {at}: {e}") from e
+            yield at, e
+            at, rest = _next_frame(f, decompressor, at, size), b""
+            f.seek(at)
+        else:
+            yield at, record
+            at += n
 
 
 def parse(record: bytes) -> tuple:
@@ -201,32 +278,43 @@ class WarcReader(DataSourceReader):
         return [ArchivePartition(f.path) for f in sorted(found, key=lambda f: f.path) if f.base_name.endswith(".warc.zst") and not f.base_name.startswith("_")]
 
     def read(self, partition: ArchivePartition) -> Iterator[pa.RecordBatch]:
-        system, _ = fs.FileSystem.from_uri(self.folder)
+        if not isinstance(partition, ArchivePartition):
+            return
         types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.string()]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
+        as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
         rows: list[tuple] = []
         held = 0
-        if not isinstance(partition, ArchivePartition):
-            return
-        with system.open_input_stream(partition.uri, compression=None) as stream:
-            magic, size = (int.from_bytes(stream.read(4), "little") for _ in range(2))
-            if magic != SKIPPABLE:
-                raise ValueError(f"{partition.uri}: no dictionary frame")
-            decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(stream.read(size)))
-            for at, record in frames(stream, decompressor, b""):
+        for at, row, n, error in self._records(partition.uri):
+            if error and self.strict:
+                raise ValueError(f"{partition.uri} at {at}: {error}")
+            rows.append((*row[:6], row[6] if self.payloads else None, partition.uri, at, error))
+            held += n
+            if held >= 8 << 20 or len(rows) >= 4096:
+                yield as_batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield as_batch(rows)
+
+    def _records(self, uri: str) -> Iterator[tuple[int, tuple, int, str | None]]:
+        """(offset, parsed record or nulls, bytes held, error) for every frame after the dictionary's."""
+        none = (None,) * 7
+        system, _ = fs.FileSystem.from_uri(self.folder)
+        with system.open_input_file(uri) as f:
+            size = f.size()
+            magic, n = (int.from_bytes(f.read(4), "little") for _ in range(2))
+            if magic != SKIPPABLE or size < 8 + n:
+                yield 0, none, 0, "no dictionary frame"
+                return
+            decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(f.read(n)))
+            for at, record in frames(f, decompressor, 8 + n, size, self.strict):
+                if isinstance(record, Exception):
+                    yield at, none, 0, str(record)
+                    continue
                 try:
-                    row, error = parse(record), None
+                    yield at, parse(record), len(record), None
                 except ValueError as e:
-                    if self.strict:
-                        raise ValueError(f"{partition.uri} at {at}: {e}") from e
-                    row, error = (None,) * 7, str(e)
-                rows.append((*row[:6], row[6] if self.payloads else None, partition.uri, at, error))
-                held += len(record)
-                if held >= 8 << 20 or len(rows) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                    rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    yield at, none, len(record), str(e) or "not a record"
 
 
 class WarcSource(DataSource):
