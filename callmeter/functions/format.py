@@ -23,7 +23,7 @@ def until(seconds: Column) -> Column:
 
 
 def window_label(minutes: Column, zero_is_limit: bool = True) -> Column:
-    """7d, 5h, 30m; limit if unknown (and, unless zero_is_limit is false, if not positive)."""
+    """7d, 5h, 30m; limit if unknown (and, unless zero_is_limit is false, if not positive: then 0 is 0m)."""
     unknown = minutes.isNull() | (minutes <= 0) if zero_is_limit else minutes.isNull()
     text = lambda v, unit: F.concat(F.floor(v).cast("long").cast("string"), F.lit(unit))
     return F.when(unknown, "limit").when((minutes >= 1440) & (minutes % 1440 == 0), text(minutes / 1440, "d")).when((minutes >= 60) & (minutes % 60 == 0), text(minutes / 60, "h")).otherwise(text(minutes, "m"))
@@ -70,7 +70,8 @@ def tokens_per_second(output: Column, eval_ns: Column) -> Column:
 
 
 def heat_opacity(total: Column, most: Column) -> Column:
-    return F.when(total <= 0, 0.0).otherwise(0.32 + 0.68 * F.sqrt(F.least(F.lit(1.0), total / most)))
+    """From 0.32 for the least to 1 for the most, by the square root; 0 for nothing."""
+    return F.when(total > 0, F.round(0.32 + 0.68 * F.sqrt(F.least(F.lit(1.0), total / most)), 6)).otherwise(0.0)
 
 
 def hex_rgb(text: Column) -> Column:

@@ -6,9 +6,11 @@ exact bounds are a residual predicate. No row is compared with all others."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import ACCURACY_RANK, TERMINAL_RANK
+from ..scratch import written
 
 
 def _rank(column: str, ranks: dict[str, int]) -> Column:
@@ -27,7 +29,9 @@ def strength() -> Column:
 
 def strongest_per_key(observations: DataFrame) -> DataFrame:
     """One row for each dedup_key. Rows without a key are calls of their own."""
-    best = observations.filter("dedup_key is not null").groupBy("dedup_key").agg(F.max_by(F.struct(*observations.columns), strength()).alias("best")).select("best.*")
+    # rank 1 of a window: weaker rows go before the exchange, and whole rows cross it once
+    first = F.row_number().over(W.partitionBy("dedup_key").orderBy(strength().desc()))
+    best = observations.filter("dedup_key is not null").withColumn("_rank", first).filter("_rank = 1").select(*observations.columns)
     return best.unionByName(observations.filter("dedup_key is null"))
 
 
@@ -35,32 +39,41 @@ def _micros(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))")
 
 
-def _near(left: DataFrame, right: DataFrame, seconds: int, keys: list[str], condition: Column) -> DataFrame:
-    """left rows with a right row of equal keys, less than `seconds` away, that meets the condition (right columns: r_*)."""
+def band(left: DataFrame, right: DataFrame, seconds: int, keys: list[str], condition: Column, how: str) -> DataFrame:
+    """left rows joined (how: left_semi or inner) with right rows of equal keys, less than `seconds` away, that meet the condition
+    (right columns: r_*)."""
     size = seconds * 1_000_000
     a = left.withColumn("us", _micros("ts")).withColumn("bucket", F.floor(F.col("us") / size))
     b = right.withColumn("r_us", _micros("r_ts")).withColumn("r_bucket", F.explode(F.sequence(F.floor(F.col("r_us") / size) - 1, F.floor(F.col("r_us") / size) + 1)))
     on = (F.col("bucket") == F.col("r_bucket")) & (F.abs(F.col("us") - F.col("r_us")) < size) & condition
     for k in keys:
         on = on & (F.col(k) == F.col(f"r_{k}"))
-    return a.join(b, on, "left_semi").drop("us", "bucket")
+    return a.join(b, on, how).drop("us", "bucket", "r_us", "r_bucket")
+
+
+def seen_tokens(rows: DataFrame, tokens: int) -> DataFrame:
+    """(r_key, r_ts, r_output_tokens) of rows for each output count within `tokens`."""
+    return rows.select(F.col("dedup_key").alias("r_key"), F.col("ts").alias("r_ts"), F.explode(F.sequence(F.col("output_tokens") - tokens, F.col("output_tokens") + tokens)).alias("r_output_tokens"))
+
+
+def overlap(seconds: int) -> Column:
+    """A desktop row and a proxy call (r_*): equal model or none on the desktop side, and the desktop row not started over `seconds` before."""
+    started = F.coalesce(_micros("started_at") - _micros("r_started") >= -seconds * 1_000_000, F.lit(True))
+    return ((F.col("model") == F.col("r_model")) | (F.coalesce("model", F.lit("")) == "")) & started
 
 
 def shadowed_proxies(events: DataFrame, tokens: int = 2, seconds: int = 120) -> DataFrame:
     """Proxy calls that some exact Ollama transcript row explains: output within `tokens`, time within `seconds` (exclusive)."""
     proxies = events.filter((F.col("source") == "proxy") & (F.col("provider") == "ollama"))
     seen = events.filter((F.col("source") == "transcript") & (F.col("provider") == "ollama") & (F.col("token_accuracy") == "exact"))
-    right = seen.select(F.col("ts").alias("r_ts"), F.explode(F.sequence(F.col("output_tokens") - tokens, F.col("output_tokens") + tokens)).alias("r_output_tokens"))
-    return _near(proxies, right, seconds, ["output_tokens"], F.lit(True))
+    return band(proxies, seen_tokens(seen, tokens), seconds, ["output_tokens"], F.lit(True), "left_semi")
 
 
 def shadowed_desktop(events: DataFrame, seconds: int = 4) -> DataFrame:
-    """Desktop rows that an unshadowed proxy call explains: ends within `seconds`, equal model or none on the desktop side,
-    and the desktop row not started over `seconds` before the request."""
+    """Desktop rows that an unshadowed proxy call explains: ends within `seconds`, and overlap()."""
     desktop = events.filter("source = 'ollamaDesktop' and provider = 'ollama'")
     proxies = events.filter("source = 'proxy' and provider = 'ollama' and not coalesce(shadowed, false)").select(F.col("ts").alias("r_ts"), F.col("model").alias("r_model"), F.col("started_at").alias("r_started"))
-    started = F.coalesce(_micros("started_at") - _micros("r_started") >= -seconds * 1_000_000, F.lit(True))
-    return _near(desktop, proxies, seconds, [], ((F.col("model") == F.col("r_model")) | (F.coalesce("model", F.lit("")) == "")) & started)
+    return band(desktop, proxies, seconds, [], overlap(seconds), "left_semi")
 
 
 def mark(events: DataFrame, hidden: DataFrame) -> DataFrame:
@@ -69,8 +82,15 @@ def mark(events: DataFrame, hidden: DataFrame) -> DataFrame:
     return events.join(keys, "dedup_key", "left").withColumn("shadowed", F.coalesce("shadowed", F.lit(False)) | F.coalesce("hit", F.lit(False))).drop("hit").select(*events.columns)
 
 
+#: What the band joins look at.
+BAND = ("dedup_key", "ts", "started_at", "source", "provider", "model", "output_tokens", "token_accuracy", "shadowed")
+
+
 def reconcile(observations: DataFrame) -> DataFrame:
-    """Silver events: strongest for each key, proxies shadowed by transcripts, then desktop rows by the remaining proxies."""
-    events = strongest_per_key(observations).withColumn("shadowed", F.lit(False))
-    events = mark(events, shadowed_proxies(events))
-    return mark(events, shadowed_desktop(events))
+    """Silver events: strongest for each key, proxies shadowed by transcripts, then desktop rows by the remaining proxies. The strongest
+    rows and the shadowed proxies are written once, and the band joins read a few columns of Ollama's rows."""
+    events = written(strongest_per_key(observations).withColumn("shadowed", F.lit(False)), "strongest")
+    ollama = events.filter("provider = 'ollama' and dedup_key is not null").select(*BAND)
+    proxies = written(shadowed_proxies(ollama).select("dedup_key").distinct(), "shadowed")
+    desktop = shadowed_desktop(ollama.join(proxies, "dedup_key", "left_anti"))
+    return mark(events, proxies.unionByName(desktop.select("dedup_key")))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import by_time, previous
+
 #: Severity of an indicator, and incident states that are over.
 RANKS = {"critical": 3, "major": 2, "minor": 1}
 OVER = ("resolved", "postmortem")
@@ -40,12 +41,24 @@ def worst(parsed: DataFrame) -> DataFrame:
 
 
 def changes(history: DataFrame) -> DataFrame:
-    """history(service, ts, indicator): rows whose indicator differs from the one before; never the first."""
-    before = F.lag("indicator").over(W.partitionBy("service").orderBy("ts"))
-    return history.withColumn("before", before).filter("before is not null and before <> indicator")
+    """history(service, ts, arrival_seq, indicator): rows whose indicator differs from the one before; never the first. On equal
+    times the earlier arrival comes first."""
+    found = previous(history.filter("indicator is not null"), ["service"], F.to_date("ts"), by_time(history), F.col("indicator"), "before")
+    return found.filter("before is not null and before <> indicator")
 
 
 def significant(snapshots: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """snapshots(key, ts, ...) without rows that only repeat what the row before of that key said in `fields`."""
-    sign = F.xxhash64(*fields)
-    return snapshots.withColumn("_sign", sign).withColumn("_last", F.lag("_sign").over(W.partitionBy(key).orderBy("ts"))).filter("_last is null or _last <> _sign").drop("_sign", "_last")
+    """snapshots(key, ts, arrival_seq, ...) without rows that only repeat what the row before of that key said in `fields`."""
+    found = previous(snapshots, [key], F.to_date("ts"), by_time(snapshots), F.xxhash64(*fields), "_last")
+    return found.filter(F.col("_last").isNull() | (F.col("_last") != F.xxhash64(*fields))).drop("_last")
+
+
+#: An indicator's colour.
+COLOURS = {"none": "green", "minor": "yellow", "major": "orange", "critical": "red"}
+
+
+def colour(indicator: Column) -> Column:
+    out = F.lit("gray")
+    for name, c in COLOURS.items():
+        out = F.when(indicator == name, c).otherwise(out)
+    return out

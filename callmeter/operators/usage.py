@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.format import compact, heat_opacity
 from ..schema import PERIOD_DAYS, PROVIDERS
 
 
@@ -116,11 +117,12 @@ def heatmap(live: DataFrame, frozen: DataFrame, as_of: str, weeks: int = 26, inc
     today = F.to_date(F.lit(as_of))
     first = F.date_sub(today, F.dayofweek(today) - 1 + 7 * (weeks - 1))
     tokens = F.col("input") + F.col("output") + (F.col("cache") if include_cache else F.lit(0))
-    sums = merge_history(day_fold(live), frozen).filter(F.col("day") >= first).groupBy("day").agg(*_by_provider(tokens))
+    live, frozen = live.filter(F.col("ts") >= first), frozen.filter(F.col("day") >= first)  # before the fold, so that it reaches the scan
+    sums = merge_history(day_fold(live), frozen).groupBy("day").agg(*_by_provider(tokens))
     total = sum((F.col(p) for p in PROVIDERS[1:]), F.col(PROVIDERS[0]))
     out = _dense(_calendar(live, first, weeks * 7), sums, "day").withColumn("total", total)
     most = out.agg(F.greatest(F.max("total"), F.lit(1)).alias("most"))
-    return out.crossJoin(F.broadcast(most)).withColumn("opacity", F.when(F.col("total") > 0, F.round(0.32 + 0.68 * F.sqrt(F.least(F.lit(1.0), F.col("total") / F.col("most"))), 6)).otherwise(0.0)).drop("most")  # most is one row
+    return out.crossJoin(F.broadcast(most)).withColumn("opacity", heat_opacity(F.col("total"), F.col("most"))).drop("most")  # most is one row
 
 
 def month_labels(grid: DataFrame) -> DataFrame:
@@ -163,3 +165,41 @@ def kernel_trend(slots: DataFrame, key: str, samples: int = 64) -> DataFrame:
     pairs = at.crossJoin(F.broadcast(points)).withColumn("w", F.exp(-0.5 * u * u))
     y = F.sum(F.col("w") * F.col("v")) / F.sum("w")
     return pairs.groupBy("id", "x", "top").agg(y.alias("y")).select(F.col("id").alias("s"), F.round("x", 6).alias("x"), F.round(F.greatest(F.lit(0.0), F.least(F.greatest("top", F.lit(1.0)), "y")), 3).alias("y"))
+
+
+def headline(events: DataFrame, period: str, as_of: str, include_cache: bool) -> DataFrame:
+    """(fresh, cached, headline) of a period: the headline counts cached tokens only if it is asked to."""
+    all_ = totals(events, period, as_of)
+    fresh, cached = F.col("input_tokens") + F.col("output_tokens"), F.col("cache_read") + F.col("cache_create")
+    return all_.select(fresh.alias("fresh"), cached.alias("cached"), (fresh + cached if include_cache else fresh).alias("headline"))
+
+
+def title_split(events: DataFrame, as_of: str) -> DataFrame:
+    """(provider, tokens): today's fresh tokens of each provider that has calls."""
+    return totals(events, "today", as_of, "provider").filter("calls > 0").select("provider", (F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
+
+
+def of_provider(found: DataFrame, provider: str | None) -> DataFrame:
+    """sessions() of one provider; all of them without one."""
+    return found if provider is None else found.filter(F.col("provider") == provider)
+
+
+def past_slots(slots: DataFrame, key: str, as_of: str) -> DataFrame:
+    """Slots that have begun: a trend is drawn over these, and later ones stay blank."""
+    return slots.filter(F.col(key) <= (F.hour(F.lit(as_of).cast("timestamp_ntz")) if key == "hour" else F.to_date(F.lit(as_of))))
+
+
+def day_columns(days: DataFrame) -> DataFrame:
+    """History by day: for each provider its fresh tokens and those with cache, then both totals and the calls."""
+    fresh, cached = F.col("input") + F.col("output"), F.col("input") + F.col("output") + F.col("cache")
+    each = [F.coalesce(F.sum(F.when(F.col("provider") == p, v)), F.lit(0)).cast("long").alias(p + suffix) for p in PROVIDERS for v, suffix in ((fresh, ""), (cached, "_with_cache"))]
+    return days.groupBy("day").agg(*each, F.sum(fresh).cast("long").alias("total"), F.sum(cached).cast("long").alias("total_with_cache"), F.sum("calls").cast("long").alias("calls"))
+
+
+def menu_title(live: DataFrame, events: DataFrame, as_of: str, seconds: int = 8) -> DataFrame:
+    """(title): the output of the newest live call (live(call_id, started_at, ts, output_tokens)) if its update is under `seconds` old; else
+    today's fresh tokens."""
+    newest = live.agg(F.max_by(F.struct("ts", "output_tokens"), F.struct("started_at", "call_id")).alias("call"))
+    age = F.expr(f"timestampdiff(MICROSECOND, call.ts, timestamp_ntz'{as_of}')")
+    both = headline(events, "today", as_of, False).crossJoin(F.broadcast(newest))  # one row each
+    return both.select(F.when(age < seconds * 1_000_000, F.concat(F.lit("↓"), compact(F.col("call.output_tokens")))).otherwise(compact(F.col("fresh"))).alias("title"))

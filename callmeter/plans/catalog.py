@@ -134,16 +134,6 @@ query("perf_top5", f"{BY_MODEL} order by calls desc, lower(model), provider limi
 # Ordered rules ----------------------------------------------------------------------------------
 
 
-def carry_forward(lines: DataFrame) -> DataFrame:
-    """Each line with the last model named at or before it in its file, by byte offset; an empty name changes nothing."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("path").orderBy("offset").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return lines.withColumn("model", F.coalesce(F.last(F.when(F.col("named") != "", F.col("named")), ignorenulls=True).over(w), F.lit("Codex")))
-
-
-query("carry_forward_model", "with l as (select session_id as path, arrival_seq as \"offset\", case when arrival_seq % 5 = 0 then '' when arrival_seq % 3 = 0 then model end as named from x) select path, \"offset\", coalesce(last_value(nullif(named, '') ignore nulls) over (partition by path order by \"offset\" rows between unbounded preceding and current row), 'Codex') as model from l")(lambda s, d: carry_forward(usage_events(s, d).selectExpr("session_id as path", "arrival_seq as offset", "case when arrival_seq % 5 = 0 then '' when arrival_seq % 3 = 0 then model end as named")).select("path", "offset", "model"))
-
 # Limits and status ------------------------------------------------------------------------------
 
 
@@ -169,17 +159,17 @@ query("limit_rail", f"with w as ({WINDOWS.format(events='events')}) select id, a
 query("nearest_limit", f"with w as ({WINDOWS.format(events='events')}) select id, utilization from w order by utilization desc, {PLACE}, id limit 1")(lambda s, d: limits.nearest(_windows(s, d)).select("id", "utilization"))
 query("latest_quota", f"with {READ}, q as (select *, row_number() over (partition by account, \"window\" order by ts desc, arrival_seq desc) as n from r) select account, \"window\", ts, arrival_seq, percent from q where n = 1")(lambda s, d: limits.latest(_readings(s, d)))
 BAND = "case when \"window\" = 'primary' then case when percent >= 90 then 90 when percent >= 75 then 75 when percent >= 50 then 50 when percent >= 25 then 25 else 0 end else case when percent >= 90 then 90 when percent >= 75 then 75 when percent >= 50 then 50 else 0 end end"
-query("threshold_alerts", f"with {READ}, b as (select *, {BAND} as band from r), l as (select *, coalesce(lag(band) over (partition by account, \"window\" order by ts), 0) as last from b) select account, \"window\", ts, percent, cast(band as bigint) as band, concat(account, '-', \"window\", '-', cast(band as varchar)) as alert_id from l where band > last")(lambda s, d: limits.threshold_alerts(_readings(s, d)))
+query("threshold_alerts", f"with {READ}, b as (select *, {BAND} as band from r), l as (select *, coalesce(lag(band) over (partition by account, \"window\" order by ts, arrival_seq), 0) as last from b) select account, \"window\", ts, percent, cast(band as bigint) as band, concat(account, '-', \"window\", '-', cast(band as varchar)) as alert_id from l where band > last")(lambda s, d: limits.threshold_alerts(_readings(s, d)))
 
 
 def _indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.selectExpr("concat('svc', cast(user_id % 4 as string)) as service", "ts", "element_at(array('none','none','minor','major','critical'), cast(event_id % 5 as int) + 1) as indicator")
+    return e.selectExpr("concat('svc', cast(user_id % 4 as string)) as service", "ts", "event_id as arrival_seq", "element_at(array('none','none','minor','major','critical'), cast(event_id % 5 as int) + 1) as indicator")
 
 
-IND = "i as (select concat('svc', cast(user_id % 4 as varchar)) as service, ts, list_extract(['none','none','minor','major','critical'], cast(event_id % 5 as int) + 1) as indicator from events)"
-query("status_changes", f"with {IND}, l as (select *, lag(indicator) over (partition by service order by ts) as before from i) select * from l where before is not null and before <> indicator")(lambda s, d: status.changes(_indicators(s, d)))
-query("change_gate", f"with {IND}, l as (select *, lag(indicator) over (partition by service order by ts) as before from i) select service, ts, indicator from l where before is null or before <> indicator")(lambda s, d: status.significant(_indicators(s, d), "service", ["indicator"]))
+IND = "i as (select concat('svc', cast(user_id % 4 as varchar)) as service, ts, event_id as arrival_seq, list_extract(['none','none','minor','major','critical'], cast(event_id % 5 as int) + 1) as indicator from events)"
+query("status_changes", f"with {IND}, l as (select *, lag(indicator) over (partition by service order by ts, arrival_seq) as before from i) select * from l where before is not null and before <> indicator")(lambda s, d: status.changes(_indicators(s, d)))
+query("change_gate", f"with {IND}, l as (select *, lag(indicator) over (partition by service order by ts, arrival_seq) as before from i) select service, ts, arrival_seq, indicator from l where before is null or before <> indicator")(lambda s, d: status.significant(_indicators(s, d), "service", ["indicator"]))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 SCHEMA = "path string, byte_offset long, line string, mtime timestamp"
-RANGE_BYTES, MAX_LINE, BATCH_BYTES = 64 << 20, 4_000_000, 4 << 20
+RANGE_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
 
 
 class RangePartition(InputPartition):
@@ -26,11 +26,12 @@ class RangePartition(InputPartition):
 
 
 class _Files:
-    """Listing and reading that both readers share. Options: path, glob (*.jsonl), modified_after (epoch seconds), max_line, range_bytes."""
+    """Listing and reading that both readers share. Options: path, glob (*.jsonl), modified_after (epoch seconds), range_bytes,
+    max_line (bytes beyond which a line is skipped; none unless it is given)."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.root, self.glob = options["path"], options.get("glob", "*.jsonl")
-        self.after, self.longest, self.range = float(options.get("modified_after", "0")), int(options.get("max_line", MAX_LINE)), int(options.get("range_bytes", RANGE_BYTES))
+        self.after, self.longest, self.range = float(options.get("modified_after", "0")), int(options.get("max_line", "0")) or None, int(options.get("range_bytes", RANGE_BYTES))
 
     def files(self) -> list[fs.FileInfo]:
         system, path = fs.FileSystem.from_uri(self.root)
@@ -39,7 +40,7 @@ class _Files:
         return sorted((f for f in found if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, self.glob) and not hidden(f.path) and f.mtime.timestamp() >= self.after), key=lambda f: f.path)
 
     def read(self, part: RangePartition) -> Iterator[pa.RecordBatch]:
-        """Lines that begin in [start, end); a line over max_line is skipped."""
+        """Lines that begin in [start, end); a line over max_line, if that is given, is skipped."""
         system, _ = fs.FileSystem.from_uri(self.root)
         rows: list[tuple[int, str]] = []
         held = 0
@@ -69,25 +70,28 @@ class _Files:
 
 
 class _Lines:
-    def __init__(self, f, at: int, longest: int) -> None:
+    """Lines of a file from an offset on; what is read beyond one is kept in pieces, so a long line is joined once."""
+
+    def __init__(self, f, at: int, longest: int | None) -> None:
         self.f, self.at, self.longest, self.held = f, at, longest, b""
 
     def next(self) -> bytes | None:
         """The next line without its end; b"" for one over the limit; None at the end of the file."""
-        long = 0
+        parts, n = [], 0
         while (end := self.held.find(b"\n")) < 0:
-            if len(self.held) > self.longest:
-                long += len(self.held)
-                self.held = b""
-            more = self.f.read(1 << 16)
-            if not more:
-                line, self.held = self.held, b""
-                self.at += long + len(line)
-                return (b"" if long else line) if line or long else None
-            self.held += more
-        line, self.held = self.held[:end], self.held[end + 1 :]
-        self.at += long + end + 1
-        return b"" if long or end > self.longest else line
+            n += len(self.held)
+            parts.append(self.held)
+            if self.longest and n > self.longest:
+                parts.clear()
+            self.held = self.f.read(1 << 20)
+            if not self.held:
+                self.at += n
+                return None if not n else b"".join(parts)
+        n += end
+        parts.append(self.held[:end])
+        self.held = self.held[end + 1 :]
+        self.at += n + 1
+        return b"" if self.longest and n > self.longest else b"".join(parts)
 
 
 class OffsetLinesReader(DataSourceReader, _Files):

@@ -4,10 +4,13 @@ kept: each parser projects to metadata. Markers are tested before any JSON is de
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.format import epoch_or_iso, provider_of_model
+from ..operators.ordered import carried
+
+#: Bytes of a file in which lines are ordered together.
+BLOCK_BYTES = 64 << 20
 
 _USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint>"
 ASSISTANT = f"type string, sessionId string, timestamp string, cwd string, requestId string, message struct<id:string,model:string,usage:{_USAGE}>, _bad string"
@@ -51,10 +54,11 @@ def _carried(lines: DataFrame) -> DataFrame:
     """Session lines with the session, project and model last named before them in their file."""
     marked = F.col("line").contains('"token_count"') | F.col("line").contains('"session_meta"') | F.col("line").contains('"turn_context"')
     rows = _strict(lines.filter(marked), SESSION)
-    w = W.partitionBy("path").orderBy("byte_offset").rowsBetween(W.unboundedPreceding, W.currentRow)
+    block, order = F.floor(F.col("byte_offset") / BLOCK_BYTES), ["byte_offset"]
     meta = F.when((F.col("o.type") == "session_meta") & F.col("o.payload.id").isNotNull(), F.struct(F.col("o.payload.id").alias("id"), last_part(F.col("o.payload.cwd")).alias("project")))
     model = F.when((F.col("o.type") == "turn_context") & (F.col("o.payload.model") != ""), F.col("o.payload.model"))
-    return rows.withColumn("meta", F.last(meta, ignorenulls=True).over(w)).withColumn("named", F.last(model, ignorenulls=True).over(w)).filter("o.type = 'event_msg' and o.payload.type = 'token_count'")
+    rows = carried(carried(rows, ["path"], block, order, meta, "meta"), ["path"], block, order, model, "named")
+    return rows.filter("o.type = 'event_msg' and o.payload.type = 'token_count'")
 
 
 def codex_sessions(lines: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import sqlite3
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -55,3 +56,21 @@ class SqliteSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SqliteSource)
+
+
+#: Looks at which a pending row may be missing before it is given up.
+MISSES = 2
+
+
+def increment(messages: DataFrame, last_seen: int, pending: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(finished rows to emit, pending rows of the next look) of a look at messages(id, role, stream, ...).
+
+    Rows above last_seen are new: finished ones are emitted, streaming ones are pending. pending(id, misses) is looked up among all
+    rows: finished ones are emitted and no longer pending, missing ones are given up after MISSES looks in a row."""
+    own = messages.filter("role = 'assistant'")
+    new = own.filter(F.col("id") > last_seen)
+    again = own.join(F.broadcast(pending.select("id")), "id", "left_semi").filter(F.col("id") <= last_seen)  # calls in flight at once
+    finished = new.unionByName(again).filter("stream = 0")
+    looked = pending.join(own.select("id", F.lit(True).alias("there")), "id", "left").withColumn("misses", F.when(F.col("there"), 0).otherwise(F.col("misses") + 1)).select("id", "misses")
+    open_ = looked.unionByName(new.filter("stream <> 0").select("id", F.lit(0).alias("misses"))).join(finished.select("id"), "id", "left_anti")
+    return finished, open_.filter(F.col("misses") < MISSES)

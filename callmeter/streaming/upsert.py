@@ -10,39 +10,82 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.reconcile import strongest_per_key
+from ..scratch import written
 
 STALE_SECONDS = 180
 
 
 def upsert_days(spark: SparkSession, folder: str):
-    """A foreachBatch function: observations of a batch join the stored strongest rows of the days that they touch, and those days are
-    written anew. The same batch twice changes nothing. A call that changed its day stays in the stronger one's day."""
+    """A foreachBatch function: one stored row for each dedup_key, its strongest, in the day partition of its ts.
+
+    The days that a batch touches are its own and those in which its keys are stored (found from the key column alone). They are read
+    whole, joined with the batch and written anew, so a call that changes its day leaves the old one. A table of the touched days, also
+    of emptied ones, is written last: an epoch without it does not count. The same batch twice changes nothing."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         rows = batch.withColumn("day", F.to_date("ts"))
-        # a new attempt gets a folder of its own; readers take the newest folder of each day
-        days = rows.select("day").distinct()
-        try:
-            old = latest_days(spark, folder, epoch).join(F.broadcast(days), "day", "left_semi").select(*rows.columns)
-            rows = rows.unionByName(old)
-        except FileNotFoundError:
-            pass
-        strongest_per_key(rows).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").partitionBy("day").parquet(f"{folder}/epoch={epoch:012d}")
+        stored = _stored(spark, folder, epoch)
+        keys = rows.filter("dedup_key is not null").select("dedup_key").distinct()
+        own = rows.select("day").distinct()
+        touched = written(own if stored is None else own.unionByName(stored.select("dedup_key", "day").join(keys, "dedup_key", "left_semi").select("day")).distinct(), "touched")
+        if stored is not None:
+            rows = rows.unionByName(stored.join(F.broadcast(touched.withColumnRenamed("day", "_day")), F.col("day").eqNullSafe(F.col("_day")), "left_semi").select(*rows.columns))  # a row for each day
+        best = strongest_per_key(rows.drop("day"))
+        best.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{folder}/rows/epoch={epoch:012d}")
+        touched.select("day", F.lit(epoch).cast("long").alias("epoch")).write.mode("overwrite").parquet(f"{folder}/days/epoch_{epoch:012d}")
 
     return run
 
 
-def latest_days(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
-    """Rows of each day's newest epoch (of those before the given one)."""
+def _names(spark: SparkSession, folder: str) -> list[str]:
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in system.listStatus(at)] if system.exists(at) else []
-    paths = [f"{folder}/{n}" for n in names if n.startswith("epoch=") and (before is None or int(n[6:]) < before)]
-    if not paths:
+    return [f.getPath().getName() for f in system.listStatus(at)] if system.exists(at) else []
+
+
+def newest_epochs(spark: SparkSession, folder: str, before: int | None = None) -> dict:
+    """For each day the epoch that wrote it last (of those before the given one): one entry for each day."""
+    names = [n for n in _names(spark, f"{folder}/days") if n.startswith("epoch_") and (before is None or int(n[6:]) < before)]
+    if not names:
+        return {}
+    told = spark.read.parquet(*[f"{folder}/days/{n}" for n in names])
+    return {r.day: r.epoch for r in told.groupBy("day").agg(F.max("epoch").alias("epoch")).collect()}
+
+
+def _stored(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    newest = newest_epochs(spark, folder, before)
+    by_epoch: dict[int, list[str]] = {}
+    for day, epoch in newest.items():
+        by_epoch.setdefault(epoch, []).append("day=__HIVE_DEFAULT_PARTITION__" if day is None else f"day={day}")
+    paths = []
+    for epoch, days in by_epoch.items():
+        at = f"{folder}/rows/epoch={epoch:012d}"
+        there = set(_names(spark, at))  # an emptied day has no folder
+        paths += [f"{at}/{d}" for d in days if d in there]
+    return spark.read.option("basePath", f"{folder}/rows").parquet(*paths).drop("epoch") if paths else None
+
+
+def latest_days(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The stored rows; only the newest files of each day are read."""
+    found = _stored(spark, folder, before)
+    if found is None:
         raise FileNotFoundError(folder)
-    rows = spark.read.option("basePath", folder).parquet(*paths)
-    newest = rows.groupBy("day").agg(F.max("epoch").alias("newest"))
-    return rows.join(F.broadcast(newest), "day").filter("epoch = newest").drop("newest", "epoch")  # newest has a row for each day
+    return found
+
+
+def compact(spark: SparkSession, folder: str, epoch: int) -> None:
+    """Writes all days anew as `epoch`, which is above all before it, and then removes the epochs that this replaces."""
+    rows = _stored(spark, folder, epoch)
+    if rows is None:
+        return
+    rows.repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{folder}/rows/epoch={epoch:012d}")
+    rows.select("day").distinct().select("day", F.lit(epoch).cast("long").alias("epoch")).write.mode("overwrite").parquet(f"{folder}/days/epoch_{epoch:012d}")
+    conf = spark._jsc.hadoopConfiguration()
+    for part, prefix in (("days", "epoch_"), ("rows", "epoch=")):
+        for name in _names(spark, f"{folder}/{part}"):
+            if name.startswith(prefix) and int(name[6:]) < epoch:
+                at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}/{name}")
+                at.getFileSystem(conf).delete(at, True)
 
 
 def live_calls(updates: DataFrame) -> DataFrame:
@@ -74,3 +117,20 @@ def live_calls(updates: DataFrame) -> DataFrame:
 def tumbling(events: DataFrame, size: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Totals of each provider and window, with a watermark for late events."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "provider").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.count("*").alias("calls"))
+
+
+def throttled(updates: DataFrame, seconds: float = 0.2) -> DataFrame:
+    """Updates of calls (call_id, ts, ...): the last one of each slot of `seconds` since the call's first, and the first itself."""
+    begins = updates.groupBy("call_id").agg(F.min("ts").alias("begin"))
+    since = F.expr("timestampdiff(MICROSECOND, begin, ts)")
+    slots = updates.join(begins, "call_id").withColumn("slot", F.when(since == 0, -1).otherwise(F.floor(since / (seconds * 1e6)).cast("long")))
+    last = F.max_by(F.struct(*updates.columns), F.struct("ts", *[c for c in updates.columns if c not in ("call_id", "ts")]))
+    return slots.groupBy("call_id", "slot").agg(last.alias("u")).select("u.*")
+
+
+def live_display(calls: DataFrame) -> DataFrame:
+    """Running calls of calls(call_id, model, operation, input, cache_read, output, approx_output, saw_usage, started_at) as they are shown:
+    input with what came from the cache, and the counted output where none is told."""
+    output = F.when(F.col("output") > 0, F.col("output")).otherwise(F.col("approx_output"))
+    accuracy = F.when(F.col("saw_usage"), "exact").when(output > 0, "estimated").otherwise("unknown")
+    return calls.select("call_id", "model", "operation", (F.col("input") + F.col("cache_read")).alias("input_tokens"), output.alias("output_tokens"), accuracy.alias("output_accuracy"), "started_at")
