@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .format import hex_rgb, oklab
@@ -48,11 +48,15 @@ def _times(rows: tuple, v: list[Column]) -> list[Column]:
     return [r[0] * v[0] + r[1] * v[1] + r[2] * v[2] for r in rows]
 
 
-def srgb(lab: list[Column]) -> list[Column]:
-    """Red, green and blue (0..1) of L, a, b."""
-    linear = _times(_TO_RGB, [x * x * x for x in _times(_TO_LMS, lab)])
-    within = [F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0)) for u in linear]
-    return [F.when(v <= 0.0031308, 12.92 * v).otherwise(1.055 * F.pow(v, F.lit(1 / 2.4)) - 0.055) for v in within]
+def with_srgb(rows: DataFrame) -> DataFrame:
+    """rows(light, a, b) with red, green and blue (0..1). Step by step as columns, so that each is worked out once."""
+    lab = [F.col(c) for c in ("light", "a", "b")]
+    steps = rows.withColumns({f"_lms{i}": x for i, x in enumerate(_times(_TO_LMS, lab))})
+    cubes = [F.pow(F.col(f"_lms{i}"), F.lit(3.0)) for i in range(3)]
+    steps = steps.withColumns({f"_u{i}": F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0)) for i, u in enumerate(_times(_TO_RGB, cubes))})
+    v = [F.col(f"_u{i}") for i in range(3)]
+    bent = {n: F.when(u <= 0.0031308, 12.92 * u).otherwise(1.055 * F.pow(u, F.lit(1 / 2.4)) - 0.055) for n, u in zip(("red", "green", "blue"), v, strict=True)}
+    return steps.withColumns({n: F.when(F.col("light").isNotNull(), c) for n, c in bent.items()}).drop(*[f"_lms{i}" for i in range(3)], *[f"_u{i}" for i in range(3)])
 
 
 def rgb_hex(rgb: list[Column]) -> Column:
@@ -60,13 +64,15 @@ def rgb_hex(rgb: list[Column]) -> Column:
     return F.concat(*[F.lpad(F.hex(F.floor(c * 255 + 0.5).cast("long")), 2, "0") for c in rgb])
 
 
-def blended(weights: list[Column], colours: list[str]) -> list[Column]:
-    """L, a, b of the weighted mean of colours (RRGGBB), its chroma lifted to the mean of theirs, LIFT times at most; null without weight."""
-    total = sum(weights[1:], weights[0])
-    labs = [oklab(hex_rgb(F.lit(c))) for c in colours]
-    mean = lambda values: sum((w * v for w, v in zip(weights[1:], values[1:], strict=True)), weights[0] * values[0]) / total
-    light, a, b = (mean([lab[i] for lab in labs]) for i in range(3))
-    own, target = F.hypot(a, b), mean([F.hypot(lab[1], lab[2]) for lab in labs])
-    lift = F.when(own > 1e-4, F.least(target / own, F.lit(LIFT))).otherwise(1.0)
-    some = total > 0
-    return [F.when(some, light), F.when(some, a * lift), F.when(some, b * lift)]
+def with_blend(rows: DataFrame, weights: list[str], colours: list[str]) -> DataFrame:
+    """rows with light, a, b of the weighted mean of colours (RRGGBB), its chroma lifted to the mean of theirs, LIFT times at most; null
+    without weight."""
+    n = range(len(colours))
+    steps = rows.withColumn("_total", sum((F.col(w) for w in weights[1:]), F.col(weights[0])).cast("double"))
+    steps = steps.withColumns({f"_lab{i}": F.array(*oklab(hex_rgb(F.lit(c)))) for i, c in enumerate(colours)})
+    steps = steps.withColumns({f"_chroma{i}": F.hypot(F.col(f"_lab{i}")[1], F.col(f"_lab{i}")[2]) for i in n})
+    mean = lambda values: F.when(F.col("_total") > 0, sum((F.col(weights[i]) * values[i] for i in n[1:]), F.col(weights[0]) * values[0]) / F.col("_total"))
+    steps = steps.withColumns({c: mean([F.col(f"_lab{i}")[k] for i in n]) for k, c in enumerate(("light", "a", "b"))} | {"_target": mean([F.col(f"_chroma{i}") for i in n])})
+    steps = steps.withColumn("_own", F.hypot("a", "b"))
+    steps = steps.withColumn("_lift", F.when(F.col("_own") > 1e-4, F.least(F.col("_target") / F.col("_own"), F.lit(LIFT))).otherwise(1.0))
+    return steps.withColumns({c: F.col(c) * F.col("_lift") for c in ("a", "b")}).drop("_total", "_target", "_own", "_lift", *[f"_lab{i}" for i in n], *[f"_chroma{i}" for i in n])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+__all__ = ["ORACLES", "QUERIES"]
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,23 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import format as fmt
 from ..operators import limits, performance, reconcile, status, usage
 from ..schema import PROVIDERS
-from ..sources.adapter import AS_OF, oracle_cte, usage_events
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None, twins: bool = False):
-    """Registers a program (spark, sf_dir) -> DataFrame under a name; oracle: SQL over x, the usage events."""
-
-    def add(f):
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = f"with {oracle_cte(twins)} {oracle}" if not oracle.lstrip().startswith("with") else f"with {oracle_cte(twins)}, {oracle.lstrip()[4:]}"
-        return f
-
-    return add
-
+from ..sources.adapter import AS_OF, usage_events
+from .registry import ORACLES, QUERIES, query
 
 DAY0 = "date '2024-01-30'"
 SUMS = "cast(coalesce(sum(input_tokens),0) as bigint) as input_tokens, cast(coalesce(sum(output_tokens),0) as bigint) as output_tokens, cast(coalesce(sum(cache_read),0) as bigint) as cache_read, cast(coalesce(sum(cache_create),0) as bigint) as cache_create, cast(coalesce(sum(reasoning),0) as bigint) as reasoning, count(*) as calls, count(*) filter (where token_accuracy = 'unknown' and input_tokens + output_tokens + cache_read + cache_create = 0) as unmetered"
@@ -201,3 +186,5 @@ query("duration_label", f"with q as (select event_id, event_id % 300 * case when
 query("request_classify", "with q as (select event_id, list_extract(['/api/chat?x=1', '/v1/responses', '/api/embed', '/other'], cast(event_id % 4 as int) + 1) as path, list_extract(['Claude-3', 'qwen:cloud', 'gpt-oss-CLOUD', 'llama'], cast(event_id // 4 % 4 as int) + 1) as model from events) select event_id, case event_id % 4 when 0 then 'chat' when 1 then 'responses' when 2 then 'embedding' else 'unknown' end as operation, case event_id // 4 % 4 when 1 then 'cloud' when 2 then 'cloud' else 'local' end as location, case event_id // 4 % 4 when 0 then 'claudeCode' else 'ollama' end as provider from q")(
     lambda s, d: _numbers(s, d).selectExpr("event_id", "element_at(array('/api/chat?x=1', '/v1/responses', '/api/embed', '/other'), cast(event_id % 4 as int) + 1) as path", "element_at(array('Claude-3', 'qwen:cloud', 'gpt-oss-CLOUD', 'llama'), cast(event_id div 4 % 4 as int) + 1) as model").select("event_id", fmt.operation_of_path(F.col("path")).alias("operation"), fmt.location_of_model(F.col("model")).alias("location"), fmt.provider_of_model(F.col("model")).alias("provider"))
 )
+
+from . import collected, described, kept  # noqa: E402, F401  (they register their queries)

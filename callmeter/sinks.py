@@ -17,7 +17,7 @@ VERSION = 2
 def journal_lines(events: DataFrame) -> DataFrame:
     """One JSON line {schema, key, event} for each event."""
     event = F.struct(*[c for c in events.columns if c != "dedup_key"])
-    return events.select(F.to_json(F.struct(F.lit(VERSION).alias("schema"), F.col("dedup_key").alias("key"), event.alias("event"))).alias("value"))
+    return events.select(F.to_json(F.struct(F.lit(VERSION).alias("schema"), F.col("dedup_key").alias("key"), event.alias("event")), {"timestampFormat": parse.MICROS}).alias("value"))
 
 
 def append_journal(events: DataFrame, folder: str) -> None:

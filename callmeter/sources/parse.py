@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.format import epoch_or_iso, provider_of_model
 from ..operators.ordered import carried
 
+#: How journal lines write times.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 #: Bytes of a file in which lines are ordered together.
 BLOCK_BYTES = 64 << 20
 
@@ -88,7 +90,7 @@ def lmstudio(lines: DataFrame) -> DataFrame:
     out = rows.select(seconds.alias("sec"), _first("line", "$.data.modelIdentifier", "$.data.modelPath").alias("m"), _first("line", "$.data.predictionId", "$.data.id").alias("id"), n("promptTokensCount").alias("input_tokens"), n("predictedTokensCount").alias("output_tokens"), n("reasoningTokensCount", "reasoning_output_tokens").alias("reasoning"), s("stopReason").alias("finish_reason"), s("generationTimeSeconds", "generationTimeSec", "generation_time_seconds").try_cast("double").alias("duration_s"), s("modelLoadTimeSeconds", "model_load_time_seconds").try_cast("double").alias("load_s"), s("timeToFirstTokenSeconds", "timeToFirstTokenSec", "time_to_first_token_seconds").try_cast("double").alias("ttft_s"), s("tokensPerSecond", "tokens_per_second").try_cast("double").alias("tps"), F.col("byte_offset").alias("arrival_seq"))
     out = out.filter("input_tokens > 0 or output_tokens > 0").withColumn("model", F.coalesce("m", F.lit("LM Studio")))
     key = F.coalesce("id", F.concat_ws(":", F.col("sec").cast("string"), "input_tokens", "output_tokens", "model"))
-    return out.select(F.concat(F.lit("lmstudio:"), key).alias("dedup_key"), F.timestamp_micros((F.col("sec") * 1e6).cast("long")).alias("ts"), F.lit("lmStudio").alias("provider"), F.lit("lmStudioLog").alias("source"), "model", F.concat(F.lit("lmstudio:"), "model").alias("session_id"), "input_tokens", "output_tokens", "reasoning", F.lit("exact").alias("token_accuracy"), F.lit("succeeded").alias("status"), F.lit("local").alias("location"), "finish_reason", "duration_s", "load_s", "ttft_s", "tps", "arrival_seq")
+    return out.select(F.concat(F.lit("lmstudio:"), key).alias("dedup_key"), F.timestamp_micros(F.floor(F.col("sec") * 1e6 + 0.5).cast("long")).alias("ts"), F.lit("lmStudio").alias("provider"), F.lit("lmStudioLog").alias("source"), "model", F.concat(F.lit("lmstudio:"), "model").alias("session_id"), "input_tokens", "output_tokens", "reasoning", F.lit("exact").alias("token_accuracy"), F.lit("succeeded").alias("status"), F.lit("local").alias("location"), "finish_reason", "duration_s", "load_s", "ttft_s", "tps", "arrival_seq")
 
 
 def session_names(lines: DataFrame) -> DataFrame:
@@ -119,7 +121,7 @@ def desktop_rows(messages: DataFrame, since: str | None = None) -> DataFrame:
 
 def journal(lines: DataFrame, event_schema: str) -> DataFrame:
     """Events of journal lines {schema: 2, key, event}; lines that do not decode are left out."""
-    o = F.from_json("line", f"schema int, key string, event struct<{event_schema}>")
+    o = F.from_json("line", f"schema int, key string, event struct<{event_schema}>", {"timestampFormat": MICROS})
     return lines.withColumn("o", o).filter("o.schema = 2 and o.key is not null and o.event is not null").select(F.col("o.key").alias("key"), "o.event.*", F.col("byte_offset").alias("seq"))
 
 
@@ -129,7 +131,7 @@ def legacy_journal(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("o", o).filter("o.ts is not null and o.model is not null").select("o.*", "byte_offset")
     keyed = rows.withColumn("dedup_key", F.concat_ws(":", F.lit("legacy-proxy"), F.col("ts").cast("string"), "model", "input", "output"))
     last = keyed.groupBy("dedup_key").agg(F.max_by(F.struct("ts", "model", "input", "output", "cacheR", "cacheC", "byte_offset"), F.col("byte_offset")).alias("e"))
-    return last.select("dedup_key", F.timestamp_micros((F.col("e.ts") * 1e6).cast("long")).alias("ts"), F.lit("ollama").alias("provider"), F.lit("proxy").alias("source"), F.col("e.model").alias("model"), F.lit("ollama-direct").alias("session_id"), F.col("e.input").alias("input_tokens"), F.col("e.output").alias("output_tokens"), _zero("e.cacheR").alias("cache_read"), _zero("e.cacheC").alias("cache_create"), F.lit("unknown").alias("token_accuracy"), F.lit("succeeded").alias("status"), F.col("e.byte_offset").alias("arrival_seq"))
+    return last.select("dedup_key", F.timestamp_micros(F.floor(F.col("e.ts") * 1e6 + 0.5).cast("long")).alias("ts"), F.lit("ollama").alias("provider"), F.lit("proxy").alias("source"), F.col("e.model").alias("model"), F.lit("ollama-direct").alias("session_id"), F.col("e.input").alias("input_tokens"), F.col("e.output").alias("output_tokens"), _zero("e.cacheR").alias("cache_read"), _zero("e.cacheC").alias("cache_create"), F.lit("unknown").alias("token_accuracy"), F.lit("succeeded").alias("status"), F.col("e.byte_offset").alias("arrival_seq"))
 
 
 _DAY = "struct<input:bigint,output:bigint,cache:bigint,reasoning:bigint,calls:bigint>"
