@@ -23,7 +23,9 @@ class Framer:
     and ends, in order. kind: head, line, body, complete, cut."""
 
     def __init__(self, request: bool) -> None:
-        self.request, self.held, self.text = request, b"", b""
+        self.request, self.held = request, b""
+        self.parts: list[bytes] = []  # of the line or body at hand; joined once
+        self.size = 0
         self.n, self.mode, self.left = 0, "head", 0
 
     def feed(self, data: bytes) -> Iterator[tuple[int, str, str]]:
@@ -92,21 +94,30 @@ class Framer:
             self.mode = "close"
 
     def _body(self, part: bytes) -> Iterator[tuple[int, str, str]]:
-        self.text += part
+        """A response's lines as they end; a line over LINE_LIMIT is left out. A request over BODY_LIMIT has no body."""
+        if not self.request and b"\n" in part:
+            *lines, part = part.split(b"\n")
+            begun, self.parts = self.parts, []
+            lines[0] = b"".join([*begun, lines[0]]) if self.size + len(lines[0]) <= LINE_LIMIT else None
+            self.size = 0
+            for x in lines:
+                if x is not None and len(x) <= LINE_LIMIT:
+                    yield self.n, "line", x.decode("utf-8", "replace")
+        self.size += len(part)  # beyond the limit it only counts, until the line or body ends
         if self.request:
-            self.text = self.text[:BODY_LIMIT]
-            return
-        *lines, self.text = self.text.split(b"\n")
-        for x in lines:
-            yield self.n, "line", x.decode("utf-8", "replace")
-        if len(self.text) > LINE_LIMIT:
-            self.text = b""
+            self.parts = [] if self.size > BODY_LIMIT else self.parts
+            if self.size <= BODY_LIMIT:
+                self.parts.append(part)
+        elif self.size > LINE_LIMIT:
+            self.parts = []
+        else:
+            self.parts.append(part)
 
     def _end(self, how: str) -> Iterator[tuple[int, str, str]]:
-        if self.text:
-            yield self.n, "body" if self.request else "line", self.text.decode("utf-8", "replace")
+        if text := b"".join(self.parts):
+            yield self.n, "body" if self.request else "line", text.decode("utf-8", "replace")
         yield self.n, how, ""
-        self.text, self.mode, self.n = b"", "head", self.n + 1
+        self.parts, self.size, self.mode, self.n = [], 0, "head", self.n + 1
 
 
 def framed(exchange: DataFrame) -> DataFrame:

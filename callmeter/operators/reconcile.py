@@ -88,9 +88,9 @@ BAND = ("dedup_key", "ts", "started_at", "source", "provider", "model", "output_
 
 def reconcile(observations: DataFrame) -> DataFrame:
     """Silver events: strongest for each key, proxies shadowed by transcripts, then desktop rows by the remaining proxies. The strongest
-    rows and the shadowed proxies are written once, and the band joins read a few columns of Ollama's rows."""
+    rows and the keys of shadowed ones are written once, and the band joins read a few columns of Ollama's rows."""
     events = written(strongest_per_key(observations).withColumn("shadowed", F.lit(False)), "strongest")
     ollama = events.filter("provider = 'ollama' and dedup_key is not null").select(*BAND)
     proxies = written(shadowed_proxies(ollama).select("dedup_key").distinct(), "shadowed")
     desktop = shadowed_desktop(ollama.join(proxies, "dedup_key", "left_anti"))
-    return mark(events, proxies.unionByName(desktop.select("dedup_key")))
+    return mark(events, written(proxies.unionByName(desktop.select("dedup_key")).distinct(), "hidden"))
