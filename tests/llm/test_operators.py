@@ -469,3 +469,244 @@ def test_entries_of_deep_paths(spark):
     events = table(spark, [("block", deep, "add", "2024-01-01")], "verdict string, value string, action string, day string")
     captures = table(spark, [(1, f"https://{deep}/more?q", "2024-01-05"), (2, f"https://{deep[:-4]}", "2024-01-05")], "page_id long, url string, fetched string")
     assert sorted((r.page_id, r.verdict, r.rule) for r in url_lists.judge(captures, events).collect()) == [(1, "block", deep), (2, "none", None)]
+
+
+# Round trips and brute force of what SQL cannot express ------------------------------------------
+
+
+def test_media_member_that_fails_is_read_again(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i} " * 50) for i in range(9)]
+    folder = f"file://{tmp_path}/m"
+    media.write(table(spark, rows).coalesce(1), folder).collect()
+    reader, plain, asked = media.ArchiveReader({"path": folder}), media.zipfile.ZipFile.read, []
+
+    def lost(self, info, *more):
+        asked.append(info.header_offset)
+        if len(asked) in (4, 5):
+            raise OSError("lost")
+        return plain(self, info, *more)
+
+    monkeypatch.setattr(media.zipfile.ZipFile, "read", lost)
+    found = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert [(r["doc_id"], media.decode(r["media"])[0]) for r in found] == [(i, len(t)) for i, t in rows]
+    assert len(asked) == 11 and asked[3] == asked[4] == asked[5] and sorted(set(asked)) == [r["offset"] for r in found]
+
+
+def broken_archive(spark, tmp_path, change):
+    folder = tmp_path / "w"
+    warc.write(table(spark, [(i, None, f"<p>{i} " + "".join(chr(97 + (i * j) % 26) for j in range(900))) for i in range(8)], PAGES).coalesce(1), f"file://{folder}").collect()
+    (path,) = folder.glob("*.warc.zst")
+    raw = bytearray(path.read_bytes())
+    starts = [r.position for r in warc.read(spark, f"file://{folder}").orderBy("position").collect()]
+    path.write_bytes(change(raw, starts))
+    return f"file://{folder}"
+
+
+@pytest.mark.parametrize(("at", "good"), [(lambda s: s[3] + 40, 7), (lambda s: s[3], 7), (lambda s: s[3] + 8, 7), (lambda s: s[0] + 1, 7), (lambda s: s[7] + 30, 7)])
+def test_warc_reads_on_after_a_broken_frame(spark, tmp_path, at, good):
+    def flip(raw, starts):
+        raw[at(starts)] ^= 0x5A
+        return bytes(raw)
+
+    folder = broken_archive(spark, tmp_path, flip)
+    rows = warc.read(spark, folder, strict="false").collect()
+    assert sum(r.error is None for r in rows) == good and sum(r.error is not None for r in rows) == 1
+    with pytest.raises(Exception, match="frame at|at "):
+        warc.read(spark, folder).collect()
+
+
+def test_warc_cut_off_and_without_dictionary(spark, tmp_path):
+    rows = warc.read(spark, broken_archive(spark, tmp_path / "a", lambda raw, s: bytes(raw[: s[6] + 25])), strict="false").collect()
+    assert [r.error is None for r in sorted(rows, key=lambda r: r.position)] == [True] * 6 + [False]
+    (row,) = warc.read(spark, broken_archive(spark, tmp_path / "b", lambda raw, s: bytes(raw[s[0] :])), strict="false").collect()
+    assert row.error == "no dictionary frame" and row.page_id is None
+
+
+def test_warc_with_many_repeated_payloads_shuffles_only_those(spark, monkeypatch):
+    rows = [(i, None, f"<p>{i // 2 if i < 60 else i} " + "z" * 1200) for i in range(100)] + [(None, None, "<p>0 " + "z" * 1200)]
+    shown = lambda: sorted((r.page_id or -1, r.digest, r.response or -1) for r in warc.classify(table(spark, rows, PAGES)).collect())
+    few = shown()
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 3)
+    assert shown() == few and sum(r[2] >= 0 for r in few) == 30
+
+
+def brute_windows(text):
+    """(canonical window, slot values by place) of each window of a text, by position; plain words and sets."""
+    tokens = [(m[0], m.start(), m.end()) for m in re.finditer(r"(?:[0-9A-Za-z]|[^\x00-\x7f]|(?<=[0-9])[.,](?=[0-9]))+", text or "")]
+    words_ = []
+    for i, (w, a, _) in enumerate(tokens):
+        low = "".join(c.lower() if c.isascii() else c for c in w)
+        begins = i == 0 or re.search(r"[.!?:\n]", text[tokens[i - 1][2] : a])
+        if w[0].isascii() and w[0].isdigit():
+            words_.append(("<num>", low))
+        elif i and words_[-1][0] == "<num>" and low in decontaminate.UNITS:
+            words_.append(("<unit>", low))
+        elif re.match("[A-Z][a-z]", w) and not begins:
+            words_.append(("<name>", low))
+        else:
+            words_.append((low, None))
+    out = {}
+    for i in range(len(words_) - 4):
+        part = words_[i : i + 5]
+        if sum(v is None for _, v in part) >= 3:
+            out[i] = (tuple(c for c, _ in part), [v for _, v in part if v is not None])
+    return out
+
+
+def brute_contaminated(docs, items):
+    found = {}
+    for d, text in docs:
+        own = brute_windows(text)
+        for item, question in items:
+            asked = brute_windows(question)
+            kept = set()
+            for offset in {i - j for i in own for j in asked}:
+                met = [(j, list(zip(asked[j][1], own[j + offset][1], strict=True))) for j in asked if j + offset in own and own[j + offset][0] == asked[j][0]]
+                kept |= decontaminate.agreeing(met)
+            if asked and len(kept) >= decontaminate.COVER * len(asked):
+                found[d, item] = max(len(kept), found.get((d, item), 0))
+    return found
+
+
+def test_decontamination_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(12)] + ["12", "3.5", "km", "hours", "Bob", "Rome"]
+    make = lambda n: " ".join(rng.choice(vocabulary, n)) + "."
+    items = [(i, make(rng.integers(7, 30))) for i in range(12)] + [(0, make(20)), (20, "frame words stand in all of the items here 5"), (21, "frame words stand in all of the items here 7")]
+    docs = []
+    for i in range(80):
+        text = items[rng.integers(len(items))][1].split()
+        for _ in range(rng.integers(0, 4)):
+            text[rng.integers(len(text))] = str(rng.choice(vocabulary))
+        docs.append((int(rng.integers(40)), f"{make(rng.integers(0, 9))} {' '.join(text)} {make(rng.integers(0, 9))} 12"))
+    docs += [(90, "Km frame words stand in all of the items here 9")] * 2
+    found = {(r.doc_id, r.item_id): r.n_windows for r in decontaminate.contaminated(table(spark, docs), table(spark, items, "item_id long, text string")).collect()}
+    expected = brute_contaminated(docs, items)
+    assert set(found) == set(expected) and len(found) > 20 and all(found[k] <= expected[k] for k in found)
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    half = len(QUESTION) // 2
+    rows = [(7, QUESTION[:half]), (7, QUESTION[half:]), (8, QUESTION), (None, QUESTION)]
+    found = decontaminate.contaminated(table(spark, rows), table(spark, [(1, QUESTION)], "item_id long, text string")).collect()
+    assert sorted(repr(r.doc_id) for r in found) == ["8", "None"]
+
+
+def beta_binomial(groups, least=1.0, most=1e4):
+    """Strength of groups (n, k, prior rate) by the second moment."""
+    s, e, x = (sum(f(n, k, m) for n, k, m in groups) for f in (lambda n, k, m: (k - n * m) ** 2, lambda n, k, m: n * m * (1 - m), lambda n, k, m: n * (n - 1) * m * (1 - m)))
+    return most if x <= 0 or s <= e else min(max(x / (s - e) - 1, least), most)
+
+
+def test_quality_posterior_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(900):
+        host = f"h{min(int(rng.exponential(6)), 40)}.example"
+        rows.append((i, f"Some text {i} " * int(rng.integers(1, 20)), None, host, None, None, f"{host}/{rng.integers(3)}"))
+    labels = [(i, int(rng.random() < (0.2 if hash(rows[i][3]) % 3 == 0 else 0.8))) for i in range(600)]
+    found = quality.score(table(spark, rows), table(spark, labels, "doc_id long, quality int"), F.col("source"), F.col("key")).collect()
+    y = dict(labels)
+    count = lambda key: {g: (sum(key(r) == g for r in rows[:600]), sum(y[r[0]] for r in rows[:600] if key(r) == g)) for g in {key(r) for r in rows[:600]}}
+    hosts, paths = count(lambda r: r[3]), count(lambda r: (r[3], r[6]))
+    rate = (sum(y.values()) + 1) / 602
+    strong = beta_binomial([(n, k, rate) for n, k in hosts.values()])
+    host_rate = {h: (k + strong * rate) / (n + strong) for h, (n, k) in hosts.items()}
+    strong_path = beta_binomial([(n, k, host_rate[h]) for (h, _), (n, k) in paths.items()])
+    path_rate = {p: (k + strong_path * host_rate[p[0]]) / (n + strong_path) for p, (n, k) in paths.items()}
+    logit = lambda p: np.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    site = {r[0]: (r[3], r[6]) for r in rows}
+    for r in found:
+        h, p = site[r.doc_id]
+        own = path_rate.get((h, p), host_rate.get(h, rate))
+        assert r.host_rate == pytest.approx(host_rate.get(h, rate)) and r.path_rate == pytest.approx(own)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(logit(r.doc_score) - logit(rate) + logit(own)))))
+
+
+def test_quality_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    scores = quality.score(spark.read.parquet(f"{d}/documents.parquet"), labels.filter(~fold), F.col("source"), F.col("lang"))
+    rows = scores.join(labels.filter(fold), "doc_id").select("score", "quality").toPandas()
+    good, bad = rows.score[rows.quality == 1].to_numpy(), rows.score[rows.quality == 0].to_numpy()
+    assert len(bad) > 50 and (good[:, None] > bad).mean() + (good[:, None] == bad).mean() / 2 > 0.9
+
+
+def hexed(i, n=40):
+    return hashlib.sha512(str(i).encode()).hexdigest()[:n]
+
+
+def spans_of(spark, rows, rounds=pii.ROUNDS):
+    path = common.scratch(spark, "texts")
+    table(spark, rows).write.parquet(path)
+    return {r.doc_id: [(s.start, s.end) for s in r.found] for r in pii.find(spark.read.parquet(path), rounds).collect()}
+
+
+def test_patterns_of_seeds_find_identifiers_of_other_forms(spark):
+    """Badges of a credential's form teach the context; it finds badges of a new form; and that form finds them in a new context."""
+    rows = [(i, f'so the badge = "{hexed(i)}" was') for i in range(120)]
+    rows += [(1000 + i, f'so the badge = "QX-{1000 + i}-{i}77Z" was') for i in range(20)]  # unseen form
+    rows += [(200 + i, f"we met gate: QX-{2000 + i}-{i}11Z today") for i in range(2)]  # unseen context
+    rows += [(300 + i, f"the year {1900 + i} and chapter 12345678{i} are plain, as is route66a{i}bcd") for i in range(9)]
+    found = {r: spans_of(spark, rows, r) for r in (0, 1, 3)}
+    hits = {r: {i for i, spans in f.items() if spans} for r, f in found.items()}
+    assert hits[0] == set(range(120)) and hits[1] == hits[0] | set(range(1000, 1020)) and hits[3] == hits[1] | {200, 201}
+    text = dict(rows)
+    assert all(text[i][a:b].startswith("QX-") for i in range(1000, 1020) for a, b in found[3][i])
+
+
+def test_graph_scores_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    groups = {}
+    for _ in range(120):
+        key = (str(rng.choice(["token", "badge", "gate", "", "year"])), str(rng.choice(['="', ": ", " "])), f"form{rng.integers(9)}")
+        n = int(rng.integers(1, 30))
+        groups[key] = (int(rng.integers(0, n + 1)) if rng.random() < 0.5 else n if rng.random() < 0.5 else 0, n)
+    graph = spark.createDataFrame([(*k, *v) for k, v in groups.items()], "word string, signs string, form string, p long, n long")
+    found = {(r.word, r.signs, r.form): r.conf for r in pii.scored(graph, 3).collect()}
+    conf = {k: p / n for k, (p, n) in groups.items()}
+    context = lambda k: (k[0], k[1]) if k[0] and re.search(pii.ASSIGNS, k[1]) else None
+    for _ in range(3):
+        means = []
+        for part in (context, lambda k: k[2]):
+            sums = {}
+            for k, (_, n) in groups.items():
+                if part(k) is not None:
+                    a, b = sums.get(part(k), (0, 0))
+                    sums[part(k)] = (a + conf[k] * n, b + n)
+            means.append({g: a / (b + pii.PRIOR) for g, (a, b) in sums.items() if b >= pii.SUPPORT})
+        both = {k: 1 - (1 - means[0].get(context(k), 0)) * (1 - means[1].get(k[2], 0)) for k in groups}
+        conf = {k: max(conf[k], both[k] if both[k] >= pii.ACCEPT else 0) for k in groups}
+    assert found == pytest.approx(conf)
+
+
+def test_many_mentions_in_one_text(spark):
+    n = 100_000
+    text = " ".join(f"id{i % 7}=ab{i:07d}x bob{i}@x.org 1.2.3.{i % 300}" for i in range(n))
+    path = common.scratch(spark, "texts")
+    table(spark, [(1, text)]).write.parquet(path)
+    (r,) = pii.redact(spark.read.parquet(path)).collect()
+    parts = re.split(r"\[(EMAIL|IP)\]", r.text)
+    assert parts[1::2].count("EMAIL") == n and parts[1::2].count("IP") == sum(i % 300 < 256 for i in range(n))
+    assert r.text.startswith("id0=ab0000000x [EMAIL] [IP] id1=")
+
+
+def test_running_folds_equal_plain_ones(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [int(x) for x in rng.integers(-9, 9, n)]) for i, n in enumerate((0, 1, 31, 32, 33, 1000, 1056, 40_000))]
+    d = spark.createDataFrame(rows, "i int, v array<int>").withColumn("sum", pii.running(F.col("v"), F.lit(0), lambda x, y: x + y)).withColumn("max", pii.running(F.col("v"), F.lit(None).cast("int"), F.greatest))
+    for r in d.collect():
+        assert r["sum"] == np.cumsum(r.v).tolist() and r["max"] == (np.maximum.accumulate(r.v).tolist() if r.v else [])
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        common.shared_folder(Cluster)
