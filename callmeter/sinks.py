@@ -41,7 +41,7 @@ def compact_journal(spark: SparkSession, folder: str, into: str, as_of: str) ->
 
 def write_history(days: DataFrame, watermarks: DataFrame, folder: str) -> None:
     """Day aggregates by day, and how far each collector is complete; watermarks come last, so a cut-off write claims nothing."""
-    days.repartition("day").sortWithinPartitions("provider").write.mode("overwrite").partitionBy("day").parquet(f"{folder}/days")
+    days.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{folder}/days")
     watermarks.coalesce(1).write.mode("overwrite").parquet(f"{folder}/watermarks")  # a row for each collector
 
 

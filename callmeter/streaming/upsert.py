@@ -31,7 +31,7 @@ def upsert_days(spark: SparkSession, folder: str):
         if stored is not None:
             rows = rows.unionByName(stored.join(F.broadcast(touched.withColumnRenamed("day", "_day")), F.col("day").eqNullSafe(F.col("_day")), "left_semi").select(*rows.columns))  # a row for each day
         best = strongest_per_key(rows.drop("day"))
-        best.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{folder}/rows/epoch={epoch:012d}")
+        best.withColumn("day", F.to_date("ts")).hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{folder}/rows/epoch={epoch:012d}")
         touched.select("day", F.lit(epoch).cast("long").alias("epoch")).write.mode("overwrite").parquet(f"{folder}/days/epoch_{epoch:012d}")
 
     return run
@@ -78,7 +78,7 @@ def compact(spark: SparkSession, folder: str, epoch: int) -> None:
     rows = _stored(spark, folder, epoch)
     if rows is None:
         return
-    rows.repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{folder}/rows/epoch={epoch:012d}")
+    rows.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{folder}/rows/epoch={epoch:012d}")
     rows.select("day").distinct().select("day", F.lit(epoch).cast("long").alias("epoch")).write.mode("overwrite").parquet(f"{folder}/days/epoch_{epoch:012d}")
     conf = spark._jsc.hadoopConfiguration()
     for part, prefix in (("days", "epoch_"), ("rows", "epoch=")):
