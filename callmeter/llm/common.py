@@ -3,17 +3,19 @@ bit sets, word hashing over Arrow batches, and connected components."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import scratch, shared_folder
+from ..scratch import written as cut
+
+__all__ = ["cut", "scratch", "shared_folder"]
+
 #: Rows and bytes of values up to which a written side is broadcast; beyond either, joins shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 #: Bits of a bounded bit set (2 MB); a fuller one lets more rows through and stays right.
@@ -22,34 +24,6 @@ BITS = 1 << 24
 SLICE_BYTES = 1 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Where it is unset, one of our own in local mode, where driver and tasks
-    share their disk; on a cluster that is an error, as executors would write where nobody reads."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="callmeter-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_folder(spark)}/callmeter/{name}-{uuid.uuid4().hex[:12]}"
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to a scratch table and read again: lineage ends there and outlives executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _value_bytes(schema: T.StructType) -> Column:
     """Bytes of a row's values: the contents of strings and arrays, and 16 for each column."""
     size = F.lit(16 * len(schema))
