@@ -47,11 +47,11 @@ def _journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, folder, into = collect.as_usage_events(_observed(spark, sf_dir).filter("arrival_seq % 3 < 2")), scratch(spark, "journal"), scratch(spark, "compacted")
     sinks.append_journal(rows.filter("status = 'running'"), folder)
     sinks.append_journal(rows.filter("status <> 'running'"), folder)
-    sinks.compact_journal(spark, folder, into, LATER)
+    sinks.compact_journal(spark, folder, into)
     return sinks.load_journal(spark, into, LATER).select("dedup_key", US("ts").alias("ts_us"), "provider", "source", "model", "input_tokens", "output_tokens", "token_accuracy", "status", "duration_s")
 
 
-query("journal_round_trip", f"select dedup_key, epoch_us(ts) as ts_us, provider, source, model, input_tokens, output_tokens, token_accuracy, status, duration_s from x where ts > {CUT}")(_journal)
+query("journal_round_trip", f"select dedup_key, epoch_us(ts) as ts_us, provider, source, model, input_tokens, output_tokens, token_accuracy, status, duration_s from x where ts >= {CUT}")(_journal)
 
 
 def _legacy(spark: SparkSession, sf_dir: str) -> DataFrame:

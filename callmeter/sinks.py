@@ -25,18 +25,22 @@ def append_journal(events: DataFrame, folder: str) -> None:
     journal_lines(events).write.mode("append").text(folder)
 
 
-def load_journal(spark: SparkSession, folder: str, as_of: str) -> DataFrame:
-    """The strongest event of each key that is younger than the live window's cutoff; lines that do not decode are left out. The
-    events' columns are USAGE_EVENT's."""
+def _journal(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event of the journal, with USAGE_EVENT's columns; lines that do not decode are left out."""
     lines = spark.read.text(folder).select(F.col("value").alias("line"), F.lit(0).cast("long").alias("byte_offset"))
     fields = ",".join(f.strip().replace(" ", ":", 1) for f in USAGE_EVENT.replace("\n", " ").split(",") if not f.strip().startswith("dedup_key"))
-    events = parse.journal(lines, fields).drop("seq").withColumnRenamed("key", "dedup_key")
-    return strongest_per_key(events.filter(F.col("ts") > retention.cutoff(as_of)))
+    return parse.journal(lines, fields).drop("seq").withColumnRenamed("key", "dedup_key")
+
+
+def load_journal(spark: SparkSession, folder: str, as_of: str) -> DataFrame:
+    """The strongest event of each key within the live window."""
+    return strongest_per_key(retention.live(_journal(spark, folder), as_of))
 
 
-def compact_journal(spark: SparkSession, folder: str, into: str, as_of: str) -> None:
-    """Writes load_journal()'s events to another folder, by time: ranges of time over files, sorted within each."""
-    journal_lines(load_journal(spark, folder, as_of).orderBy("ts", "arrival_seq")).write.mode("overwrite").text(into)
+def compact_journal(spark: SparkSession, folder: str, into: str) -> None:
+    """Writes the strongest event of each key to another folder, by time: ranges of time over files, sorted within each. Events of
+    any age stay, so none is lost that history does not hold yet."""
+    journal_lines(strongest_per_key(_journal(spark, folder)).orderBy("ts", "arrival_seq")).write.mode("overwrite").text(into)
 
 
 def write_history(days: DataFrame, watermarks: DataFrame, folder: str) -> None:
