@@ -17,11 +17,11 @@ from .registry import query
 US = F.unix_micros
 
 
-def through_files(made: DataFrame, files: int = 4) -> DataFrame:
+def through_files(made: DataFrame) -> DataFrame:
     """Lines (value) written to files and read back with their offsets by the line source."""
     spark = made.sparkSession
     folder = scratch(spark, "logs")
-    made.repartition(files, "value").write.text(folder)
+    made.repartition("value").write.text(folder)
     lines.register(spark)
     return spark.read.format("offset_lines").option("path", folder).option("glob", "*.txt").option("range_bytes", str(1 << 20)).load()
 

@@ -142,7 +142,7 @@ def _tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of lines, read as byte ranges of 200 bytes: each line once, at its offset."""
     folder = scratch(spark, "tail")
     made = usage_events(spark, sf_dir).selectExpr("concat(dedup_key, ' é ', repeat('x', cast(arrival_seq % 50 as int))) as value")
-    made.repartition(3, "value").write.text(folder)
+    made.repartition("value").write.text(folder)
     lines.register(spark)
     found = spark.read.format("offset_lines").option("path", folder).option("glob", "*.txt").option("range_bytes", "2000").load()
     return found.groupBy("line").agg(F.count("*").alias("n"))
