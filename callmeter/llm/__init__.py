@@ -1,5 +1,5 @@
 """Operators of a training-data pipeline: media archives, WARC, decontamination, licences, mixing,
-toxicity, near-duplicates, quality, personal data and URL lists."""
+toxicity, near-duplicates, quality, personal data, URL lists, divergence of sources, token stores and periodic runs."""
 
 import sys
 

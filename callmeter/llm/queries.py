@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, media, mixing, near_dedup, pii, quality, toxicity, url_lists, warc
+from . import decontaminate, divergence, licenses, media, mixing, near_dedup, periodic, pii, quality, token_index, toxicity, url_lists, warc
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_pii": pii.op9_pii,
     "op10_url_lists": url_lists.op10_url_lists,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_token_index": token_index.op12_token_index,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 ORACLES = {
     "op10_url_lists": url_lists.ORACLE,
+    "op11_divergence": divergence.ORACLE,
     "op2_warc": warc.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op7_near_dedup": near_dedup.ORACLE,
