@@ -4,7 +4,7 @@ A day is either live or frozen: live rows are those from the cutoff on, history
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .usage import day_fold, merge_history
@@ -24,21 +24,41 @@ def live(events: DataFrame, as_of: str) -> DataFrame:
 
 
 def leaving(events: DataFrame, as_of: str, cap: int | None = None) -> DataFrame:
-    """Rows that leave the live window: those before the cutoff and, only if a cap is given, the oldest of the rest beyond `cap` rows."""
+    """Rows that leave the live window: those before the cutoff and, only if a cap is given, the oldest of the rest beyond `cap` rows. Rows without a
+    time do not leave."""
     old = events.filter(F.col("ts") < cutoff(as_of))
-    if cap is None:
-        return old
     rest = live(events, as_of)
-    return old.unionByName(rest.join(newest(rest, cap).select("dedup_key"), "dedup_key", "left_anti"))
+    last = bound(rest, cap) if cap is not None else None
+    return old.unionByName(rest.filter(~within(last))) if last else old
 
 
 def newest(events: DataFrame, cap: int) -> DataFrame:
     return events.orderBy(F.desc("ts"), F.desc("arrival_seq")).limit(cap)
 
 
-def trim(events: DataFrame, history: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
-    """(live rows, history with the folds of the rows that left)."""
-    return live(events, as_of), merge_history(history, day_fold(leaving(events, as_of)))
+def bound(events: DataFrame, cap: int) -> Row | None:
+    """(ts, arrival_seq) of the cap-th newest row; None if there are no more rows than the cap. Without a row to keep, the newest time of all."""
+    if cap <= 0:
+        top = events.agg(F.max("ts").alias("ts")).first()
+        return Row(ts=top.ts, arrival_seq=None, none=True) if top.ts else None
+    found = newest(events.select("ts", "arrival_seq"), cap).agg(F.count("*").alias("n"), F.min(F.struct("ts", "arrival_seq")).alias("last")).first()
+    return Row(ts=found.last.ts, arrival_seq=found.last.arrival_seq, none=False) if found.n == cap else None
+
+
+def within(last: Row) -> Column:
+    """Whether a row is no older than a bound; rows that tie with it stay, and rows without a time do."""
+    if last.none:
+        return F.col("ts").isNull()
+    at, seq = F.lit(last.ts), F.lit(last.arrival_seq).cast("long")
+    later = F.col("arrival_seq").isNotNull() & (seq.isNull() | (F.col("arrival_seq") >= seq))
+    return F.col("ts").isNull() | (F.col("ts") > at) | ((F.col("ts") == at) & (later | (seq.isNull() & F.col("arrival_seq").isNull())))
+
+
+def trim(events: DataFrame, history: DataFrame, as_of: str, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(live rows, history with the folds of the rows that left). Each row may be folded once: streaming.store's trim keeps both in one version."""
+    rest = live(events, as_of)
+    last = bound(rest, cap) if cap is not None else None
+    return rest.filter(within(last)) if last else rest, merge_history(history, day_fold(leaving(events, as_of, cap)))
 
 
 def backfill_from(watermark: str | None, as_of: str) -> Column:

@@ -2,90 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.reconcile import strongest_per_key
-from ..scratch import written
+from .store import Store
 
 STALE_SECONDS = 180
 
 
-def upsert_days(spark: SparkSession, folder: str):
-    """A foreachBatch function: one stored row for each dedup_key, its strongest, in the day partition of its ts.
-
-    The days that a batch touches are its own and those in which its keys are stored (found from the key column alone). They are read
-    whole, joined with the batch and written anew, so a call that changes its day leaves the old one. A table of the touched days, also
-    of emptied ones, is written last: an epoch without it does not count. The same batch twice changes nothing."""
-
-    def run(batch: DataFrame, epoch: int) -> None:
-        rows = batch.withColumn("day", F.to_date("ts"))
-        stored = _stored(spark, folder, epoch)
-        keys = rows.filter("dedup_key is not null").select("dedup_key").distinct()
-        own = rows.select("day").distinct()
-        touched = written(own if stored is None else own.unionByName(stored.select("dedup_key", "day").join(keys, "dedup_key", "left_semi").select("day")).distinct(), "touched")
-        if stored is not None:
-            rows = rows.unionByName(stored.join(F.broadcast(touched.withColumnRenamed("day", "_day")), F.col("day").eqNullSafe(F.col("_day")), "left_semi").select(*rows.columns))  # a row for each day
-        best = strongest_per_key(rows.drop("day"))
-        best.withColumn("day", F.to_date("ts")).hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{folder}/rows/epoch={epoch:012d}")
-        touched.select("day", F.lit(epoch).cast("long").alias("epoch")).write.mode("overwrite").parquet(f"{folder}/days/epoch_{epoch:012d}")
-
-    return run
-
-
-def _names(spark: SparkSession, folder: str) -> list[str]:
-    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [f.getPath().getName() for f in system.listStatus(at)] if system.exists(at) else []
-
-
-def newest_epochs(spark: SparkSession, folder: str, before: int | None = None) -> dict:
-    """For each day the epoch that wrote it last (of those before the given one): one entry for each day."""
-    names = [n for n in _names(spark, f"{folder}/days") if n.startswith("epoch_") and (before is None or int(n[6:]) < before)]
-    if not names:
-        return {}
-    told = spark.read.parquet(*[f"{folder}/days/{n}" for n in names])
-    return {r.day: r.epoch for r in told.groupBy("day").agg(F.max("epoch").alias("epoch")).collect()}
-
-
-def _stored(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
-    newest = newest_epochs(spark, folder, before)
-    by_epoch: dict[int, list[str]] = {}
-    for day, epoch in newest.items():
-        by_epoch.setdefault(epoch, []).append("day=__HIVE_DEFAULT_PARTITION__" if day is None else f"day={day}")
-    paths = []
-    for epoch, days in by_epoch.items():
-        at = f"{folder}/rows/epoch={epoch:012d}"
-        there = set(_names(spark, at))  # an emptied day has no folder
-        paths += [f"{at}/{d}" for d in days if d in there]
-    return spark.read.option("basePath", f"{folder}/rows").parquet(*paths).drop("epoch") if paths else None
-
-
-def latest_days(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
-    """The stored rows; only the newest files of each day are read."""
-    found = _stored(spark, folder, before)
-    if found is None:
-        raise FileNotFoundError(folder)
-    return found
-
-
-def compact(spark: SparkSession, folder: str, epoch: int) -> None:
-    """Writes all days anew as `epoch`, which is above all before it, and then removes the epochs that this replaces."""
-    rows = _stored(spark, folder, epoch)
-    if rows is None:
-        return
-    rows.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{folder}/rows/epoch={epoch:012d}")
-    rows.select("day").distinct().select("day", F.lit(epoch).cast("long").alias("epoch")).write.mode("overwrite").parquet(f"{folder}/days/epoch_{epoch:012d}")
-    conf = spark._jsc.hadoopConfiguration()
-    for part, prefix in (("days", "epoch_"), ("rows", "epoch=")):
-        for name in _names(spark, f"{folder}/{part}"):
-            if name.startswith(prefix) and int(name[6:]) < epoch:
-                at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}/{name}")
-                at.getFileSystem(conf).delete(at, True)
+def upsert_days(spark: SparkSession, folder: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: one stored row for each dedup_key, its strongest, in the day of its ts (streaming.store)."""
+    return Store(spark, folder).upsert()
+
+
+def latest_days(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored rows."""
+    return Store(spark, folder).rows()
+
+
+def newest_epochs(spark: SparkSession, folder: str) -> dict[str, int]:
+    """For each day the version that wrote it last: one entry for each day."""
+    held = Store(spark, folder).versions.latest()["tables"].get("rows", {})
+    return {day: max(int(f.split("/")[1][:12]) for f in folders) for day, folders in held.items() if folders}
+
+
+def compact(spark: SparkSession, folder: str, epoch: int | None = None) -> None:
+    """Writes every partition anew, between any batches; what is replaced goes with the version after the next. A version has its own number, so
+    epoch says nothing."""
+    store = Store(spark, folder)
+    store.compact(folders=1)
+    store.versions.remove_unused()
 
 
 def live_calls(updates: DataFrame) -> DataFrame:
