@@ -73,10 +73,14 @@ def backfill(events: DataFrame, watermark: str | None, as_of: str) -> DataFrame:
     return events.filter((F.col("ts") >= backfill_from(watermark, as_of)) & (F.col("ts") < cutoff(as_of)))
 
 
+def advanced(watermarks: DataFrame, seen: DataFrame) -> DataFrame:
+    """watermarks(collector, complete_through), each at what seen(collector, complete_through) has of it at least; none ever goes back."""
+    return watermarks.unionByName(seen.select("collector", F.col("complete_through").cast("timestamp_ntz").alias("complete_through"))).groupBy("collector").agg(F.max("complete_through").alias("complete_through"))
+
+
 def advance(watermarks: DataFrame, collector: str, through: Column) -> DataFrame:
-    """watermarks(collector, complete_through) with the collector's at `through` at least; none ever goes back."""
-    own = watermarks.sparkSession.range(1).select(F.lit(collector).alias("collector"), through.cast("timestamp_ntz").alias("complete_through"))
-    return watermarks.unionByName(own).groupBy("collector").agg(F.max("complete_through").alias("complete_through"))
+    """watermarks with the collector's at `through` at least."""
+    return advanced(watermarks, watermarks.sparkSession.range(1).select(F.lit(collector).alias("collector"), through.alias("complete_through")))
 
 
 def apply_late(history: DataFrame, watermarks: DataFrame, late: DataFrame, as_of: str) -> DataFrame:

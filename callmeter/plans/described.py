@@ -99,7 +99,9 @@ query("reading_colours", f"with q as (select *, case when utilization < 60 then
 )
 WINDOW = "case when minutes >= 1440 and minutes % 1440 = 0 then concat(cast(minutes // 1440 as varchar), 'd') when minutes >= 60 and minutes % 60 = 0 then concat(cast(minutes // 60 as varchar), 'h') else concat(cast(minutes as varchar), 'm') end"
 query("menu_gauges", f"with q as ({READING}), f as (select * from q where \"window\" in ('session', 'primary')) select case \"window\" when 'session' then 0 else 2 end as place, case \"window\" when 'session' then 'claudeCode' else 'codex' end as provider, case \"window\" when 'session' then '5h' else {WINDOW} end as period, cast(floor(utilization + 0.5) as bigint) as percent from f union all select 9, 'tokens', '', -1")(lambda s, d: limits.menu_gauges(_readings(s, d), "session,chatgptPrimary,tokens").fillna({"period": "", "percent": -1}))
-query("menu_without_gauges", "select 9 as place, 'tokens' as provider, '' as period, cast(-1 as bigint) as percent")(lambda s, d: limits.menu_gauges(_readings(s, d).filter("window = 'none'"), "session,weekly").fillna({"period": "", "percent": -1}))
+#: Readings of the chosen gauges are those above 100 percent, if there are any; else the token count stands in.
+OVER = "utilization > 100.4 and user_id % 4 in (0, 1)"
+query("menu_without_gauges", f"with q as ({READING}), f as (select * from q where {OVER}) select case \"window\" when 'session' then 0 else 1 end as place, 'claudeCode' as provider, case \"window\" when 'session' then '5h' else '7d' end as period, cast(floor(utilization + 0.5) as bigint) as percent from f union all select 9, 'tokens', '', -1 where not exists (select 1 from f)")(lambda s, d: limits.menu_gauges(_readings(s, d).filter(OVER), "session,weekly").fillna({"period": "", "percent": -1}))
 query("web_duration", "select event_id, case when m is null then 'limit' when m >= 1440 and m % 1440 = 0 then concat(cast(m // 1440 as varchar), 'd') when m >= 60 and m % 60 = 0 then concat(cast(m // 60 as varchar), 'h') else concat(cast(m as varchar), 'm') end as label from (select event_id, case when event_id % 9 = 0 then null else event_id % 25 * 60 end as m from events)")(
     lambda s, d: s.read.parquet(f"{d}/events.parquet").selectExpr("event_id", "case when event_id % 9 = 0 then null else event_id % 25 * 60 end as m").select("event_id", fmt.window_label(F.col("m"), zero_is_limit=False).alias("label"))
 )

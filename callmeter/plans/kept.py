@@ -11,6 +11,7 @@ from ..scratch import scratch
 from ..sources import collect, lines, parse
 from ..sources.adapter import AS_OF, usage_events
 from ..streaming import upsert
+from ..streaming.store import Store
 from .registry import query
 
 US = F.unix_micros
@@ -27,17 +28,36 @@ def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partial.unionByName(x.withColumn("arrival_seq", F.col("arrival_seq") * 3 + 1)).unionByName(late)
 
 
-def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four micro-batches, the third of them given twice, into the day store; then a compaction."""
-    rows, folder = _observed(spark, sf_dir), scratch(spark, "silver")
-    run = upsert.upsert_days(spark, folder)
-    for epoch, part in ((0, 0), (1, 1), (2, 2), (2, 2), (3, 3)):
-        run(rows.filter(F.pmod(F.col("arrival_seq") * 7, F.lit(4)) == part), epoch)
-    upsert.compact(spark, folder, 4)
-    return upsert.latest_days(spark, folder).select("dedup_key", "ts", "day", "token_accuracy", "status", "output_tokens")
+def _stored(spark: SparkSession, sf_dir: str, batches: int = 3) -> Store:
+    """The observations in micro-batches, the second of them given twice, with a compaction between two batches."""
+    rows, store = _observed(spark, sf_dir), Store(spark, scratch(spark, "calls"))
+    run = store.upsert()
+    for number, part in ((0, 0), (1, 1), (1, 1), *((n, n) for n in range(2, batches))):
+        run(rows.filter(F.pmod(F.col("arrival_seq") * 7, F.lit(batches)) == part), number)
+        if number == 1:
+            store.compact()
+    return store
 
 
-query("upsert_replay", "select dedup_key, ts, cast(ts as date) as day, token_accuracy, status, output_tokens from x")(_batches)
+query("upsert_replay", "select dedup_key, ts, cast(ts as date) as day, token_accuracy, status, output_tokens from x")(lambda s, d: _stored(s, d, 4).rows().select("dedup_key", "ts", "day", "token_accuracy", "status", "output_tokens"))
+HOUR = "select date_trunc('hour', ts) as hour, provider, cast(sum(input_tokens) as bigint) as input, cast(sum(output_tokens) as bigint) as output, cast(sum(cache_read + cache_create) as bigint) as cache, cast(sum(reasoning) as bigint) as reasoning, count(*) as calls from x group by 1, 2"
+query("store_hours", HOUR)(lambda s, d: _stored(s, d).hours())
+SIGNED = "select dedup_key, epoch_us(ts) as ts_us, provider, output_tokens, cast(1 as bigint) as n from x"
+query("store_changes", SIGNED)(lambda s, d: _stored(s, d).changes().groupBy("dedup_key", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts)").alias("ts_us"), "provider", "output_tokens").agg(F.sum("sign").alias("n")).filter("n <> 0"))
+
+
+def _hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of two providers explained by others, one of them told twice; a later batch does not bring them back."""
+    x, store = usage_events(spark, sf_dir), Store(spark, scratch(spark, "calls"))
+    store.upsert()(x.filter("arrival_seq % 4 > 0").withColumn("token_accuracy", F.lit("unknown")), 0)
+    for rows in ("arrival_seq % 5 = 0 and provider = 'ollama'", "arrival_seq % 5 = 0"):
+        store.hide(x.filter(rows).select("dedup_key"))
+    store.upsert()(x, 1)
+    return store.days()
+
+
+HIDE = "select * from x where not (arrival_seq % 5 = 0 and arrival_seq % 4 > 0)"
+query("store_hidden", f"with v as ({HIDE}) select cast(ts as date) as day, provider, cast(sum(input_tokens) as bigint) as input, cast(sum(output_tokens) as bigint) as output, cast(sum(cache_read + cache_create) as bigint) as cache, cast(sum(reasoning) as bigint) as reasoning, count(*) as calls from v group by 1, 2")(_hidden)
 
 # Journal and history ------------------------------------------------------------------------------------------------------------
 
@@ -94,9 +114,45 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("history_round_trip", f"with h as (select * from x where ts < {CUT} and (arrival_seq % 9 <> 0 or ts >= case source when 'transcript' then date '2024-01-05' when 'proxy' then date '2024-01-03' else date '1970-01-01' end)) {FOLD.replace('from x', 'from h')}")(_history)
-query("watermarks", "select 'proxy' as collector, timestamp '2024-01-03' as complete_through union all select 'transcript', timestamp '2024-01-05'")(
-    lambda s, d: retention.advance(retention.advance(retention.advance(s.createDataFrame([], retention.WATERMARK), "transcript", F.lit("2024-01-05")), "proxy", F.lit("2024-01-03")), "transcript", F.lit("2024-01-02"))
-)
+
+
+def _trimmed(spark: SparkSession, sf_dir: str, cap: int | None) -> DataFrame:
+    """Trimmed twice between batches, compacted, and all observations given again: what has left is in history once, and does not come back."""
+    store = _stored(spark, sf_dir)
+    for _ in range(2):
+        store.trim(LATER, cap)
+    store.compact()
+    store.upsert()(_observed(spark, sf_dir), 9)
+    live, history = store.days(), store.history()
+    return history.withColumn("frozen", F.lit(True)).unionByName(live.withColumn("frozen", F.lit(False)))
+
+
+LEFT = f"(ts < {CUT})"
+query("store_trim", f"with h as (select *, {LEFT} as frozen from x) {FOLD.replace('from x', 'from h').replace('as calls', 'as calls, frozen').replace('group by 1, 2', 'group by 1, 2, frozen')}")(lambda s, d: _trimmed(s, d, None))
+query("store_trim_capped", f"with h as (select *, {LEFT} or row_number() over (order by ts desc, arrival_seq desc) > 300 as frozen from x) {FOLD.replace('from x', 'from h').replace('as calls', 'as calls, frozen').replace('group by 1, 2', 'group by 1, 2, frozen')}")(lambda s, d: _trimmed(s, d, 300))
+
+
+def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late rows of frozen days in two batches, given twice: those that their collector's watermark covers by then are refused."""
+    x, store = usage_events(spark, sf_dir).withColumn("collector", F.col("source")), Store(spark, scratch(spark, "calls"))
+    store.upsert()(x.filter("arrival_seq % 9 <> 0").drop("collector"), 0)
+    store.trim(LATER)
+    for number in (0, 0, 1, 1):
+        store.late(x.filter(f"arrival_seq % 18 = {9 * number}"), "late", number, {"transcript": "2024-01-05 00:00:00", "proxy": "2024-01-03 00:00:00"})
+    return store.history()
+
+
+query("store_late", f"with h as (select * from x where ts < {CUT} and (arrival_seq % 9 <> 0 or arrival_seq % 18 = 0 or ts >= case source when 'transcript' then date '2024-01-05' when 'proxy' then date '2024-01-03' else date '1970-01-01' end)) {FOLD.replace('from x', 'from h')}")(_late)
+
+
+def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each collector has come, advanced by what two halves of the events reach; the second half's earlier times take nothing back."""
+    seen = lambda rows: rows.groupBy(F.col("source").alias("collector")).agg(F.max("ts").alias("complete_through"))
+    x = usage_events(spark, sf_dir).filter(F.col("ts") < retention.cutoff(LATER))
+    return retention.advanced(retention.advanced(spark.createDataFrame([], retention.WATERMARK), seen(x.filter("arrival_seq % 2 = 0"))), seen(x.filter("arrival_seq % 2 = 1")))
+
+
+query("watermarks", f"select source as collector, max(ts) as complete_through from x where ts < {CUT} group by 1")(_marks)
 query("live_window", f"select dedup_key, ts from x where ts >= {CUT}")(lambda s, d: retention.live(usage_events(s, d), LATER).select("dedup_key", "ts"))
 query("retention_leaving", f"with k as (select dedup_key, row_number() over (order by ts desc, arrival_seq desc) as n from x where ts >= {CUT}) select dedup_key from x where ts < {CUT} union all select dedup_key from k where n > 300")(lambda s, d: retention.leaving(usage_events(s, d), LATER, 300).select("dedup_key"))
 query("backfill_range", f"select dedup_key, ts from x where ts >= timestamp '2024-01-04 06:00:00' and ts < {CUT}")(lambda s, d: retention.backfill(usage_events(s, d), "2024-01-04 06:00:00", LATER).select("dedup_key", "ts"))
