@@ -11,12 +11,12 @@ A lookup hashes the key to its part, probes the levels, and reads one record and
 of positioned reads however many keys there are. The hash of a 64-bit key has an inverse, and the fingerprint is this hash mixed, so
 other keys are never taken for a key that is there; a key that is not there is found missing.
 
-Writing: texts are encoded once, and ids (not texts) are sorted into shards by ranges of (key, checksum, row), so a key of most of the rows is many
-shards. The range bounds come from a written table. A key's documents stand together, in shards that follow each other; its record names the first and
+Writing: texts are sorted into shards by ranges of (key, hash of the text, row), so a key of most of the rows is many shards; a shard's task encodes
+and writes it, once. A key's documents stand together, in shards that follow each other; its record names the first and
 their number. Reading by keys deals lookups by part, then pieces of at most a shard by shard, so both are bounded.
 
 Defined results: a null or empty text is the end id alone; a null key is a key of its own, before all others, in a part of its own; repeated keys are
-documents of the same key in order of their ids' checksums; no rows make a store without shards; extra columns are ignored.
+documents of the same key in order of their texts' hashes; no rows make a store without shards; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,13 +34,14 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyarrow import fs
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, measured, mix, scratch, with_columns
 
 END = 1
-#: Bytes of ids that a shard is made for; keys of a part of the index, and parts at most (beyond, parts grow).
+#: Bytes of text that a shard is made for; keys of a part of the index, and parts at most (beyond, parts grow).
 SHARD_BYTES, PART_KEYS, PARTS = 128 << 20, 1 << 14, 1 << 16
 #: Bits a key in each level; levels after which keys must have been equal.
 GAMMA, LEVELS = 2, 200
@@ -52,6 +53,19 @@ RECORD = np.dtype([("fingerprint", "<u8"), ("shard", "<i8"), ("document", "<i8")
 # Encoding -----------------------------------------------------------------------------------------
 
 _PLAIN = re.compile("[!-~\u00c0-\u00ff]+")
+_LETTERS = [chr(c) for c in range(33, 256) if chr(c).isalpha() and _PLAIN.fullmatch(chr(c))]
+
+
+class _Numbers(dict):
+    """Numbers of words in the order in which they are first asked for; new ones are kept in `new`."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
 
 
 class Encoder:
@@ -66,14 +80,17 @@ class Encoder:
 
         self.tokenizer, parts = Tokenizer.from_str(model), json.loads(model)
         self.model, self.pattern = self.tokenizer.model, self._pattern(parts)
-        self.marks = re.compile("|".join(re.escape(t["content"]) for t in parts["added_tokens"]) or "(?!)")
+        marks = [t["content"] for t in parts["added_tokens"]]
+        self.marks, self.begins = re.compile("|".join(map(re.escape, marks)) or "(?!)"), re.compile("[" + re.escape("".join({m[0] for m in marks})) + "]" if marks else "(?!)")
         self.byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        # whether letters are one piece: of the pattern's alternatives only "letters" begins with one
+        choices = self.pattern.pattern.split("|") if self.pattern else []
+        self.letters = [c for c in choices if any(regex.match(c, x) for x in _LETTERS)] == [r"[\p{L}]+"]
         self._forget()
 
     def _forget(self) -> None:
         """words: the number of each word; its ids are self.ids[self.starts[number] : self.starts[number + 1]]."""
-        self.words: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.words, self.pieces = _Numbers(), {}
         self.ids, self.starts = array("i"), array("q", [0])
 
     @staticmethod
@@ -96,21 +113,24 @@ class Encoder:
         return found
 
     def _learn(self, words: list[bytes]) -> None:
-        others, pieces, ids = [], self.pieces, self.ids
-        for w in words:
-            s = w.decode()
-            if _PLAIN.fullmatch(s) and not self.marks.search(s):
-                s = s.lower()
-                for p in (s,) if s in pieces else self.pattern.findall(s):
-                    ids.extend(pieces.get(p) or self._piece(p))
-                self.words[w] = len(self.starts) - 1
-                self.starts.append(len(ids))
+        """Adds the ids of words, which have the next numbers."""
+        texts, pieces, ids, starts = [w.decode() for w in words], self.pieces, self.ids, self.starts
+        plain = [_PLAIN.fullmatch(s) and not (self.begins.search(s) and self.marks.search(s)) for s in texts]
+        others = self._whole([s for s, p in zip(texts, plain, strict=True) if not p])
+        for s, p in zip(texts, plain, strict=True):
+            if not p:
+                ids.extend(next(others))
             else:
-                others.append(w)
-        for w, found in zip(others, self._whole([w.decode() for w in others]), strict=True):
-            ids.extend(found)
-            self.words[w] = len(self.starts) - 1
-            self.starts.append(len(ids))
+                s = s.lower()
+                if self.letters and s.isalpha():
+                    parts = (s,)
+                elif self.letters and s[:-1].isalpha() and s[-1] in ",.;:!?":
+                    parts = (s[:-1], s[-1])
+                else:
+                    parts = self.pattern.findall(s)
+                for piece in parts:
+                    ids.extend(pieces.get(piece) or self._piece(piece))
+            starts.append(len(ids))
 
     def encode(self, raws: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, given as UTF-8."""
@@ -118,41 +138,19 @@ class Encoder:
             return [np.array(i, np.int64) for i in self._whole([r.decode() for r in raws])]
         if len(self.words) > HELD_WORDS:
             self._forget()
-        split = [r.split() for r in raws]  # at \x20\x09-\x0D
-        self._learn(list({w for words in split for w in words if w not in self.words}))
-        numbers = np.concatenate([np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)) for words in split])
+        sizes, numbers = [], []
+        for r in raws:
+            words = r.split()  # at \x20\x09-\x0D
+            sizes.append(len(words))
+            numbers.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
+        self._learn(self.words.new)
+        self.words.new = []
+        number = np.concatenate(numbers)
         ids, starts = np.frombuffer(self.ids, np.int32), np.frombuffer(self.starts, np.int64)
-        first, sizes = starts[numbers], starts[numbers + 1] - starts[numbers]
-        ends = np.cumsum(sizes)
-        out = ids[np.repeat(first - (ends - sizes), sizes) + np.arange(sizes.sum())]
-        bounds = np.concatenate(([0], ends))[np.cumsum([len(words) for words in split])]
-        return np.split(out, bounds[:-1])
-
-
-def encoded(docs: DataFrame, model: str, end: int = END) -> DataFrame:
-    """(key, ids, n, sum) for each row of docs(doc_id, text): its ids and the end id as raw bytes, their number and checksum."""
-    width = _width(model, end)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # a tokenizer's file
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value)
-
-        def told(keys: list, raws: list[bytes]) -> pa.RecordBatch:
-            rows = [np.append(ids, end).astype(f"<u{width}").tobytes() for ids in encoder.encode(raws)]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.binary()), pa.array([len(r) // width for r in rows], pa.int64()), pa.array([zlib.crc32(r) for r in rows], pa.int64())], ["key", "ids", "n", "sum"])
-
-        for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary())
-            keys, raws, size = [], [], 0
-            for i, key in enumerate(batch.column("doc_id").to_pylist()):
-                keys.append(key)
-                raws.append(texts[i].as_py() or b"")
-                size += len(raws[-1])
-                if size >= READ_BYTES or i == len(batch) - 1:
-                    yield told(keys, raws)
-                    keys, raws, size = [], [], 0
-
-    return with_columns(docs, {"doc_id": "long", "text": "string"}).mapInArrow(run, "key long, ids binary, n long, sum long")
+        first, lengths = starts[number], starts[number + 1] - starts[number]
+        ends = np.cumsum(lengths)
+        out = ids[np.repeat(first - (ends - lengths), lengths) + np.arange(lengths.sum())]
+        return np.split(out, np.concatenate(([0], ends))[np.cumsum(sizes)][:-1])
 
 
 def _width(model: str, end: int) -> int:
@@ -251,39 +249,51 @@ class _File:
         self.fs.move(self.temporary, self.path)
 
 
-def _write_shards(folder: str, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _write_shards(folder: str, model: Broadcast, width: int, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Encodes the texts of a shard, (key, text) in order, and writes its files; PLACE of each key in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
-        ids = lengths = None
-        document = offset = 0
+        shard, encoder, document, offset = TaskContext.get().partitionId(), None, 0, 0
         rows: list[list] = []  # key, shard, first document, its offset, documents, ids
-        for batch in batches:
-            if ids is None and len(batch):
-                ids, lengths = _File(folder, f"ids-{shard:08d}.bin"), _File(folder, f"len-{shard:08d}.bin")
-            for key, raw in zip(batch.column("key").to_pylist(), batch.column("ids"), strict=True):
-                data = raw.as_py()
-                n = len(data) // width
-                ids.out.write(data)
-                lengths.out.write(n.to_bytes(8, "little"))
+        for keys, raws in _texts(batches):
+            if encoder is None:
+                encoder, ids, lengths = Encoder(model.value), _File(folder, f"ids-{shard:08d}.bin"), _File(folder, f"len-{shard:08d}.bin")
+            found = encoder.encode(raws)
+            ids.out.write(np.concatenate([x for part in found for x in (part, [end])]).astype(f"<u{width}").tobytes())
+            lengths.out.write(np.array([len(part) + 1 for part in found], "<i8").tobytes())
+            for key, part in zip(keys, found, strict=True):
+                n = len(part) + 1
                 if rows and rows[-1][0] == key:
                     rows[-1][4:] = [rows[-1][4] + 1, rows[-1][5] + n]
                 else:
-                    if len(rows) >= 100_000:
-                        yield _batch(rows, PLACE)
-                        rows = []
                     rows.append([key, shard, document, offset, 1, n])
                 document, offset = document + 1, offset + n
-        if ids is not None:
+            if len(rows) >= 100_000:
+                yield _batch(rows[:-1], PLACE)
+                rows = rows[-1:]
+        if encoder is not None:
             ids.close()
             lengths.close()
-        if rows:
             yield _batch(rows, PLACE)
 
     return run
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[bytes]]]:
+    """Keys and texts as UTF-8, READ_BYTES or so at a time; whole texts always."""
+    for batch in batches:
+        texts, keys, raws, size = batch.column("text").cast(pa.large_binary()), [], [], 0
+        for i, key in enumerate(batch.column("key").to_pylist()):
+            keys.append(key)
+            raws.append(texts[i].as_py() or b"")
+            size += len(raws[-1])
+            if size >= READ_BYTES or i == len(batch) - 1:
+                yield keys, raws
+                keys, raws, size = [], [], 0
+
+
 PLACE = "key long, shard long, document long, offset long, documents long, ids long"
 
 
@@ -317,12 +327,14 @@ def write(docs: DataFrame, folder: str, model: str, end: int = END) -> dict:
     spark, width = docs.sparkSession, _width(model, end)
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
-    rows, n, size = measured(encoded(docs, model, end).withColumn("row", F.monotonically_increasing_id()), "encoded")
+    rows = with_columns(docs, {"doc_id": "long", "text": "string"}).select(F.col("doc_id").alias("key"), "text")
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     places = spark.createDataFrame([], PLACE)
     if n:
         shards = max(ceil(size / SHARD_BYTES), min(spark.sparkContext.defaultParallelism, n))
-        placed = rows.repartitionByRange(shards, "key", "sum", "row").sortWithinPartitions("key", "sum", "row").select("key", "ids").mapInArrow(_write_shards(folder, width), PLACE)
-        places = cut(placed, "places")
+        order = ["key", "h", "row"]
+        dealt = rows.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+        places = cut(dealt.select("key", "text").mapInArrow(_write_shards(folder, spark.sparkContext.broadcast(model), width, end), PLACE), "places")  # a tokenizer's file
     told = {r.shard: (r.documents, r.ids) for r in places.groupBy("shard").agg(F.sum("documents").alias("documents"), F.sum("ids").alias("ids")).collect()}  # a row for each file
     keys = places.groupBy("key").agg(F.min(F.struct("shard", "document", "offset")).alias("first"), F.sum("documents").alias("documents"))
     keys, n_keys, _ = measured(keys.select("key", F.xxhash64("key").alias("h"), "first.*", "documents"), "keys")

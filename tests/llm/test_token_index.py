@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from callmeter.llm import token_index as T
@@ -81,7 +82,8 @@ def test_store(spark, tmp_path, model, monkeypatch):
     folder = f"file://{tmp_path}"
     manifest = T.write(frame(spark, rows), folder, model)
     ids = [np.array(i) for i in plain(model, [t for _, t in rows])]
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, zlib.crc32(ids[i].astype("<u2").tobytes())))
+    hashes = [r.h for r in spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "i int, text string").select("i", F.xxhash64("text").alias("h")).orderBy("i").collect()]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, hashes[i]))
     payload = b"".join(open(f, "rb").read() for f in sorted(glob.glob(f"{tmp_path}/ids-*.bin")))
     assert payload == b"".join(ids[i].astype("<u2").tobytes() for i in order) and len(manifest["shards"]) > 3
     store = T.Store(folder)
