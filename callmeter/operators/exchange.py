@@ -6,6 +6,7 @@ the framed lines: requests and responses meet by their place on the connection,
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,14 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.format import location_of_model, operation_of_path
+from ..scratch import written
 
 FRAMED = "conn_id string, direction string, n long, k long, kind string, text string, ts timestamp"
 HEAD_LIMIT, LINE_LIMIT, BODY_LIMIT = 128 << 10, 4_000_000, 8 << 20
+_STATUS, _SIZE = re.compile(r"[^ ]+ +([+-]?\d{1,18})(?: |$)"), re.compile(rb"\+?([0-9A-Fa-f]{1,15})")
 
 
 class Framer:
     """One direction of a connection: feed() gives (n, kind, text) of the heads, body lines (responses) or bodies (requests)
-    and ends, in order. kind: head, line, body, complete, cut."""
+    and ends, in order. kind: head, line, body, complete, cut. A head that is no text, or an answer's without a status, is passed over; from a chunk
+    without a size or an end on, what follows is body until the connection closes."""
 
     def __init__(self, request: bool) -> None:
         self.request, self.held = request, b""
@@ -28,6 +32,17 @@ class Framer:
         self.size = 0
         self.n, self.mode, self.left = 0, "head", 0
 
+    def state(self) -> tuple:
+        """What a framer that goes on later needs: STATE."""
+        return self.held, b"".join(self.parts), self.size, self.n, self.mode, self.left
+
+    @classmethod
+    def resume(cls, request: bool, state: tuple) -> Framer:
+        framer = cls(request)
+        framer.held, part, framer.size, framer.n, framer.mode, framer.left = state
+        framer.parts = [part] if part else []
+        return framer
+
     def feed(self, data: bytes) -> Iterator[tuple[int, str, str]]:
         self.held += data
         while True:
@@ -49,7 +64,11 @@ class Framer:
                 if len(self.held) > HEAD_LIMIT:
                     self.held = b""
                 return
-            head, self.held = self.held[:end].decode("utf-8", "replace"), self.held[end + 4 :]
+            head, self.held = self.held[:end], self.held[end + 4 :]
+            try:
+                head = head.decode()
+            except UnicodeDecodeError:
+                return
             yield from self._begin(head)
         elif self.mode in ("fixed", "chunk", "close"):
             take = len(self.held) if self.mode == "close" else min(self.left, len(self.held))
@@ -60,30 +79,30 @@ class Framer:
                 yield from self._end("complete")
             elif self.mode == "chunk" and not self.left:
                 self.mode = "gap"
-        elif self.mode in ("size", "gap", "trailer") and (end := self.held.find(b"\r\n")) >= 0:
+        elif self.mode == "gap" and len(self.held) >= 2:
+            whole = self.held.startswith(b"\r\n")
+            self.mode, self.held = ("size", self.held[2:]) if whole else ("close", self.held)
+        elif self.mode in ("size", "trailer") and (end := self.held.find(b"\r\n")) >= 0:
             line, self.held = self.held[:end], self.held[end + 2 :]
             if self.mode == "size":
-                try:
-                    self.left = int(line.split(b";")[0].strip() or b"0", 16)
-                except ValueError:
-                    self.left = 0
-                self.mode = "chunk" if self.left else "trailer"
-            elif self.mode == "gap":
-                self.mode = "size"
+                told = _SIZE.fullmatch(line.split(b";")[0].strip(b" \t"))
+                self.left = int(told[1], 16) if told else 0
+                self.mode = "close" if not told else "chunk" if self.left else "trailer"
             elif not line:
                 yield from self._end("complete")
 
     def _begin(self, head: str) -> Iterator[tuple[int, str, str]]:
         first, _, rest = head.partition("\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in rest.split("\r\n"))}
-        code = 0 if self.request else int((first.split(" ") + ["0", "0"])[1] or 0)
-        if 100 <= code < 200:  # an interim answer, which takes no request
+        told = None if self.request else _STATUS.match(first.lstrip(" "))
+        code = int(told[1]) if told else 0
+        if not self.request and (not told or 100 <= code < 200):  # no answer, or an interim one, which takes no request
             return
         yield self.n, "head", head
-        if "chunked" in fields.get("transfer-encoding", "").lower():
-            self.mode = "size"
-        elif code in (204, 304):
+        if code in (204, 304):
             yield from self._end("complete")
+        elif "chunked" in fields.get("transfer-encoding", "").lower():
+            self.mode = "size"
         elif fields.get("content-length", "").isdigit():
             self.mode, self.left = "fixed", int(fields["content-length"])
             if not self.left:
@@ -120,6 +139,9 @@ class Framer:
         self.parts, self.size, self.mode, self.n = [], 0, "head", self.n + 1
 
 
+STATE = "held binary, part binary, size long, n long, mode string, left long, k long, ts timestamp"
+
+
 def framed(exchange: DataFrame) -> DataFrame:
     """Heads, lines and ends of every message of exchange. A connection's pieces are read in order from sorted batches."""
 
@@ -165,26 +187,28 @@ ENDS = ("message_stop", "message", "response.completed")
 
 
 def calls(frames: DataFrame) -> DataFrame:
-    """One row for each response: tokens, timing, status. An error of null is none; a call ends once, at its first end mark."""
+    """One row for each response: tokens, timing, status. An error of null is none; a call ends once, at its first end mark. The frames are
+    written once, and so is what the lines say, each parsed once."""
+    frames = written(frames, "frames")
     asked = requests(frames)
     lines = frames.filter("direction = 'response'").join(asked.select("conn_id", "n", "operation", "started_at"), ["conn_id", "n"], "left")
     body = F.trim(F.regexp_replace("text", r"[\r\n]", ""))
     body = F.when(body.startswith("data:"), F.trim(F.substring(body, 6, 1 << 30))).otherwise(body)
     rows = lines.withColumn("body", F.when(F.col("kind") == "line", body))
-    is_object = F.try_parse_json("body").isNotNull() & F.col("body").startswith("{")
-    rows = rows.withColumn("j", F.when(is_object, F.col("body")))
-    j = lambda *p: F.coalesce(*[F.get_json_object("j", f"$.{x}") for x in p])
-    num = lambda p: F.get_json_object("j", f"$.{p}").try_cast("double").cast("long")
+    rows = rows.withColumn("j", F.when(F.col("body").startswith("{"), F.try_parse_json("body")))
+    j = lambda *p: F.coalesce(*[F.try_variant_get("j", f"$.{x}", "string") for x in p])
+    there = lambda p: F.try_variant_get("j", f"$.{p}", "variant").isNotNull() & ~F.is_variant_null(F.try_variant_get("j", f"$.{p}", "variant"))
+    num = lambda p: F.try_variant_get("j", f"$.{p}", "string").try_cast("double").cast("long")
     salvage = lambda *names: F.greatest(*[F.regexp_extract("body", rf'"{x}":\s*(\d+)', 1).try_cast("long") for x in names]) if len(names) > 1 else F.regexp_extract("body", rf'"{names[0]}":\s*(\d+)', 1).try_cast("long")
     broken = F.col("body").startswith("{") & F.col("j").isNull() & F.col("body").rlike(r'tokens":|eval_count":|"done":')
     kind, obj = j("type"), j("object")
     in_usage = lambda key: [num(f"{at}.{key}") for at in ("usage", "message.usage", "response.usage")]
-    native = j("done").eqNullSafe(F.lit("true")) | (j("embeddings").isNotNull() & (F.col("operation") == "embedding"))
+    native = j("done").eqNullSafe(F.lit("true")) | (there("embeddings") & (F.col("operation") == "embedding"))
     most = lambda *c: F.greatest(F.lit(None).cast("long"), *c)
-    error = j("error").isNotNull() & (j("error") != "null")
+    error = there("error") & ~j("error").eqNullSafe(F.lit("null"))
     delta = F.coalesce(kind.isin(*DELTAS), F.lit(False)) | F.coalesce(obj.isin(*DELTA_OBJECTS), F.lit(False)) | j("done").eqNullSafe(F.lit("false"))
     ends = F.coalesce(kind.isin(*ENDS), F.lit(False)) | (obj == "chat.completion") | ((obj == "list") & (F.col("operation") == "embedding")) | ((obj == "response") & (j("status") == "completed")) | native | (F.col("body") == "[DONE]") | (broken & F.col("body").rlike(r'"done":true|"type":"message_stop"'))
-    parsed = rows.select(
+    parsed = written(rows.select(
         "conn_id", "n", "k", "kind", "text", "ts", "started_at",
         most(*in_usage("input_tokens"), *in_usage("prompt_tokens"), F.when(native, num("prompt_eval_count")), F.when(broken, salvage("prompt_eval_count", "input_tokens", "prompt_tokens"))).alias("input"),
         most(*in_usage("output_tokens"), *in_usage("total_output_tokens"), *in_usage("completion_tokens"), F.when(native, num("eval_count")), F.when(broken, salvage("eval_count", "output_tokens", "completion_tokens"))).alias("output"),
@@ -194,7 +218,7 @@ def calls(frames: DataFrame) -> DataFrame:
         j("model", "message.model", "response.model").alias("model"), j("message.id", "response.id", "id").alias("id"),
         j("delta.stop_reason", "stop_reason", "choices[0].finish_reason", "done_reason", "response.incomplete_details.reason").alias("reason"),
         *[F.when(native, num(f"{c}_duration") / 1e9).alias(f"{c}_s") for c in ("total", "load", "prompt_eval", "eval")],
-    )
+    ), "lines")
     code = F.when(F.col("kind") == "head", F.regexp_extract("text", r"^\S+ (\d{3})", 1).try_cast("int"))
     # what follows the first end or error belongs to no call
     first_end = F.min(F.when(F.col("ends") | F.col("error"), F.col("k")))
