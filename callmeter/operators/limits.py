@@ -81,13 +81,21 @@ def bands(window: Column) -> Column:
     return out
 
 
+def top_band() -> Column:
+    """The highest band not above a reading's percent, 0 if none."""
+    return F.coalesce(F.array_max(F.filter(bands(F.col("window")), lambda b: b <= F.col("percent"))), F.lit(0))
+
+
+def crossed(told: DataFrame) -> DataFrame:
+    """The alerts of readings with their band and the band of the reading before (last)."""
+    return told.filter(F.col("band") > F.coalesce("last", F.lit(0))).select("account", "window", "ts", "percent", F.col("band").cast("long").alias("band"), F.concat("account", F.lit("-"), "window", F.lit("-"), F.col("band").cast("string")).alias("alert_id"))
+
+
 def threshold_alerts(history: DataFrame) -> DataFrame:
     """(account, window, ts, percent, band, alert_id) of history(account, window, ts, arrival_seq, percent): a band is told once when it
     is crossed; a drop re-arms to the highest band not above the percent. On equal times the earlier arrival comes first."""
-    top = F.coalesce(F.array_max(F.filter(bands(F.col("window")), lambda b: b <= F.col("percent"))), F.lit(0))
     # the state after a reading is the highest band at or below its percent, whether it rose or fell: so the reading before decides
-    told = previous(history.withColumn("band", top), ["account", "window"], F.to_date("ts"), by_time(history), F.col("band"), "last")
-    return told.filter(F.col("band") > F.coalesce("last", F.lit(0))).select("account", "window", "ts", "percent", F.col("band").cast("long").alias("band"), F.concat("account", F.lit("-"), "window", F.lit("-"), F.col("band").cast("string")).alias("alert_id"))
+    return crossed(previous(history.withColumn("band", top_band()), ["account", "window"], F.to_date("ts"), by_time(history), F.col("band"), "last"))
 
 
 #: Titles and texts of alerts, by window; {label} is the window's, {band} the band crossed, {used} the whole percent.

@@ -147,16 +147,16 @@ class Store:
         new = _measured(arrived).withColumn("bucket", self._bucket(state))
         old = self._known(state, new.select("dedup_key", "bucket")).select(*[F.col(c).alias(f"old_{c}") for c in StructType.fromDDL(KEYS).names])
         met = new.join(old, F.col("dedup_key") == F.col("old_dedup_key"), "left")
-        won = written(met.filter(F.col("old_dedup_key").isNull() | (F.col("strength") > F.col("old_strength"))).withColumn("hidden", F.coalesce("old_hidden", F.lit(False)) | F.col("came_hidden")), "won")
+        won = written(met.filter(F.col("old_strength").isNull() | (F.col("strength") > F.col("old_strength"))).withColumn("hidden", F.coalesce("old_hidden", F.lit(False)) | F.col("came_hidden")), "won")
         arrived = arrived.drop("shadowed")
         stored = arrived.join(won.select(F.col("dedup_key").alias("_key")).filter("_key is not null"), F.col("dedup_key") == F.col("_key"), "left_semi").unionByName(arrived.filter("dedup_key is null"))
         stored = stored.withColumns({"seq": F.lit(v).cast("long"), "gone": F.lit(False), "day": F.to_date("ts")})
-        moved = won.filter("old_dedup_key is not null and not (day <=> old_day)")
+        moved = won.filter("old_strength is not null and not (day <=> old_day)")
         left = moved.select(F.col("old_dedup_key").alias("dedup_key"), F.col("old_day").alias("day"), F.lit(v).cast("long").alias("seq"), F.lit(True).alias("gone"))
         schema = state["values"].get("schema") or stored.schema.jsonValue()
         both = stored.unionByName(left, allowMissingColumns=True).select(*StructType.fromJson(schema).names)
         index = won.filter("dedup_key is not null").withColumn("seq", F.lit(v).cast("long")).select("bucket", *StructType.fromDDL(KEYS).names)
-        out = won.filter("old_dedup_key is not null and not old_hidden").select(F.lit(-1).alias("sign"), F.col("old_dedup_key").alias("dedup_key"), *[F.col(f"old_{c}").alias(c) for c in ("ts", "provider", *MEASURES)])
+        out = won.filter("old_strength is not null and not old_hidden").select(F.lit(-1).alias("sign"), F.col("old_dedup_key").alias("dedup_key"), *[F.col(f"old_{c}").alias(c) for c in ("ts", "provider", *MEASURES)])
         changes = out.unionByName(won.filter("not hidden").select(F.lit(1).alias("sign"), "dedup_key", "ts", "provider", *MEASURES))
         hidden = won.filter("hidden and dedup_key is not null and (not coalesce(old_hidden, false) or not (day <=> old_day))").select("dedup_key", "day")
         add = {"rows": self.versions.write(state, both.withColumn("part", _day_name(F.col("day"))), "rows", "part"), "keys": self.versions.write(state, index, "keys", "bucket"), "hidden": self.versions.write(state, hidden.withColumn("part", _day_name(F.col("day"))).drop("day"), "hidden", "part")}
@@ -177,17 +177,24 @@ class Store:
         return F.when(F.col("dedup_key").isNotNull(), F.pmod(F.xxhash64("dedup_key"), F.lit(state["values"].get("buckets", self._buckets))))
 
     def hide(self, keys: DataFrame, stream: str | None = None, number: int = 0) -> None:
-        """Marks stored calls of keys(dedup_key) as shadowed: they leave the totals and stay in rows. Keys that are not stored, or hidden
-        already, change nothing; nor does a number that came before."""
+        """Marks calls of keys(dedup_key) as shadowed: stored ones leave the totals and stay in rows; others will be hidden when they come. Keys that are
+        hidden already change nothing; nor does a number that came before."""
         state = self.versions.latest()
-        if "schema" not in state["values"] or (stream and state["streams"].get(stream, -1) >= number):
+        if stream and state["streams"].get(stream, -1) >= number:
             return
-        v = state["version"] + 1
+        seq = F.lit(state["version"] + 1).cast("long")
         asked = written(keys.select("dedup_key").filter("dedup_key is not null").distinct().withColumn("bucket", self._bucket(state)), "asked")
-        found = written(self._known(state, asked).filter("not hidden"), "found")
-        index = found.withColumns({"hidden": F.lit(True), "seq": F.lit(v).cast("long"), "bucket": self._bucket(state)})
-        add = {"keys": self.versions.write(state, index, "keys", "bucket"), "hidden": self.versions.write(state, found.select("dedup_key", _day_name(F.col("day")).alias("part")), "hidden", "part")}
-        self._commit(state, found.select(F.lit(-1).alias("sign"), "dedup_key", "ts", "provider", *MEASURES), add, {stream: number} if stream else {})
+        known = self._known(state, asked)
+        found = written(asked.join(known.select(F.col("dedup_key").alias("_key"), *[c for c in known.columns if c != "dedup_key"]), F.col("dedup_key") == F.col("_key"), "left").drop("_key").filter("not coalesce(hidden, false)"), "found")
+        stored = found.filter("strength is not null")
+        add = {"keys": self.versions.write(state, found.withColumns({"hidden": F.lit(True), "seq": seq}), "keys", "bucket"), "hidden": self.versions.write(state, stored.select("dedup_key", _day_name(F.col("day")).alias("part")), "hidden", "part")}
+        self._commit(state, stored.select(F.lit(-1).alias("sign"), "dedup_key", "ts", "provider", *MEASURES), add, {stream: number} if stream else {}, {"buckets": state["values"].get("buckets", self._buckets)})
+
+    def hidden_among(self, keys: DataFrame) -> DataFrame:
+        """Those of keys(dedup_key) that are hidden."""
+        state = self.versions.latest()
+        asked = written(keys.select("dedup_key").distinct().withColumn("bucket", self._bucket(state)), "asked")
+        return self._known(state, asked).filter("hidden").select("dedup_key")
 
     def trim(self, as_of: str, cap: int | None = None) -> None:
         """Folds what leaves the live window into history and takes it out, in one version: done again it changes nothing. With a cap also the oldest
