@@ -187,4 +187,4 @@ query("request_classify", "with q as (select event_id, list_extract(['/api/chat?
     lambda s, d: _numbers(s, d).selectExpr("event_id", "element_at(array('/api/chat?x=1', '/v1/responses', '/api/embed', '/other'), cast(event_id % 4 as int) + 1) as path", "element_at(array('Claude-3', 'qwen:cloud', 'gpt-oss-CLOUD', 'llama'), cast(event_id div 4 % 4 as int) + 1) as model").select("event_id", fmt.operation_of_path(F.col("path")).alias("operation"), fmt.location_of_model(F.col("model")).alias("location"), fmt.provider_of_model(F.col("model")).alias("provider"))
 )
 
-from . import collected, described, kept  # noqa: E402, F401  (they register their queries)
+from . import collected, described, kept, streamed  # noqa: E402, F401  (they register their queries)

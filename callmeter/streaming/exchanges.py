@@ -18,7 +18,7 @@ from ..operators.exchange import FRAMED, STATE, Framer, calls
 from ..scratch import written
 from ..versions import Versions
 
-BUCKETS, IDLE_SECONDS = 64, 600
+BUCKETS, IDLE_SECONDS = 16, 600
 NAMES = [part.split(" ")[0] for part in FRAMED.split(", ")]
 
 
@@ -72,6 +72,8 @@ def assemble(spark: SparkSession, folder: str, deliver: Callable[[DataFrame, int
         bucket = F.pmod(F.xxhash64("conn_id"), F.lit(BUCKETS)).alias("bucket")
         new = written(frames.select("*", bucket), "new")
         touched = [str(r.bucket) for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+        if not touched:
+            return
         held = versions.read(versions.folders(state, "open", touched), FRAMED).select("*", bucket)
         at_hand = written(held.unionByName(new), "open")
         side = lambda name: F.col("direction") == name

@@ -65,6 +65,8 @@ def hide(store: Store, stream: str = "shadows") -> Callable[[DataFrame, int], No
             if store.versions.latest()["streams"].get(f"{stream}/{kind}", -1) >= number:
                 continue
             own = found.filter(F.col("kind") == kind)
+            if own.isEmpty():
+                continue
             own = own.join(keys(store.hidden_among(keys(own, "key")), "dedup_key"), F.col("key") == F.col("dedup_key"), "left_anti")
             if kind == "desktop":
                 own = own.join(store.hidden_among(keys(own, "by")), F.col("by") == F.col("dedup_key"), "left_anti")

@@ -30,7 +30,8 @@ from ..operators.usage import day_fold
 from ..scratch import written
 from ..versions import NONE, Versions
 
-BUCKETS = 64
+#: Parts of the key index; a store of billions of keys wants thousands.
+BUCKETS = 16
 #: What totals hold of a call.
 MEASURES = ("input_tokens", "output_tokens", "cache", "reasoning")
 SUMS = ("input", "output", "cache", "reasoning", "calls")
@@ -193,6 +194,8 @@ class Store:
     def hidden_among(self, keys: DataFrame) -> DataFrame:
         """Those of keys(dedup_key) that are hidden."""
         state = self.versions.latest()
+        if not state["tables"].get("keys"):
+            return self.spark.createDataFrame([], HIDDEN)
         asked = written(keys.select("dedup_key").distinct().withColumn("bucket", self._bucket(state)), "asked")
         return self._known(state, asked).filter("hidden").select("dedup_key")
 
