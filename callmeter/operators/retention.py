@@ -85,6 +85,6 @@ def advance(watermarks: DataFrame, collector: str, through: Column) -> DataFrame
 
 def apply_late(history: DataFrame, watermarks: DataFrame, late: DataFrame, as_of: str) -> DataFrame:
     """history with late rows (collector, ts, ...) whose day is frozen but not yet covered by their collector's watermark."""
-    open_ = late.join(F.broadcast(watermarks), "collector", "left")  # a row for each collector
+    open_ = late.join(watermarks, "collector", "left")
     own = open_.filter((F.col("ts") < cutoff(as_of)) & (F.col("ts") >= F.coalesce("complete_through", F.lit("1970-01-01").cast("timestamp_ntz"))))
     return merge_history(history, day_fold(own))

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sqlite3
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import exchange
 from ..scratch import scratch, written
-from ..sources import collect
+from ..sources import collect, lines, sqlite
 from ..sources.adapter import usage_events
 from ..streaming import alerts, exchanges, shadows
 from ..streaming.store import Store
-from .collected import CALLS, captured
+from .collected import CALLS, MESSAGES, captured, messages
 from .kept import US
 from .registry import query
 
@@ -76,3 +78,63 @@ query("alert_stream", """with r as (select provider as account, case when arriva
 b as (select *, case when percent >= 90 then 90 when percent >= 75 then 75 when percent >= 50 then 50 when percent >= 25 and "window" = 'session' then 25 else 0 end as band from r),
 l as (select *, coalesce(lag(band) over (partition by account, "window" order by ts, arrival_seq), 0) as last from b)
 select account, "window", epoch_us(ts) as ts_us, percent, cast(band as bigint) as band, account || '-' || "window" || '-' || band as alert_id from l where band > last""")(_alerts)
+
+# Sources that grow ----------------------------------------------------------------------------------------------------------------
+
+
+def _tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log files that come in two steps, read in micro-batches of a megabyte at most by a stream that starts anew for the second."""
+    folder, state = scratch(spark, "logs"), scratch(spark, "tail")
+    made = written(usage_events(spark, sf_dir).selectExpr("concat(dedup_key, ' é ', repeat('x', cast(arrival_seq % 50 as int))) as value", "arrival_seq % 3 = 0 as late"), "lines")
+    lines.register(spark)
+    for late in (False, True):
+        made.filter(F.col("late") == late).select("value").write.mode("append").text(folder)
+        source = spark.readStream.format("offset_lines").options(path=folder, glob="*.txt", offsets=f"{state}/offsets", max_bytes=str(1 << 20)).load()
+        told = source.writeStream.format("parquet").option("path", f"{state}/out").option("checkpointLocation", f"{state}/checkpoint").trigger(processingTime="0 seconds").start()
+        told.processAllAvailable()
+        told.stop()
+    return spark.read.schema("path string, byte_offset long, line string, mtime timestamp").parquet(f"{state}/out").groupBy("line").agg(F.count("*").alias("n"))
+
+
+query("tail_stream", "select dedup_key || ' é ' || repeat('x', arrival_seq % 50) as line, cast(1 as bigint) as n from x")(_tail)
+
+
+def _database(rows: DataFrame, path: str) -> None:
+    """Writes rows of messages into a new database file, in one task: such a file has one writer."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        con = sqlite3.connect(path)
+        con.execute(f"create table every (id integer primary key, {', '.join(c for c in names if c != 'id')})")
+        for batch in batches:
+            con.executemany(f"insert into every ({', '.join(names)}) values ({', '.join('?' * len(names))})", zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        con.execute("create table messages as select * from every where 0")
+        con.commit()
+        con.close()
+        yield pa.RecordBatch.from_arrays([pa.array([1])], ["n"])
+
+    rows.coalesce(1).mapInArrow(run, "n long").collect()
+
+
+def _desktop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A database read in three looks: half of the rows; then the other half, with some of the rows in flight finished and some gone; then more finished."""
+    folder = scratch(spark, "desktop")
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+    path = folder.removeprefix("file://") + "/messages.db"  # SQLite needs a folder that is mounted
+    _database(messages(spark, sf_dir).withColumn("stream", F.expr("cast(id % 12 = 6 as int)")), path)
+    sqlite.register(spark)
+    half = "(select max(id) / 2 from every)"
+    looks = (f"insert into messages select * from every where id <= {half}",), ("update messages set stream = 0 where id % 36 = 6", "delete from messages where id % 36 = 18", f"insert into messages select * from every where id > {half}"), ("update messages set stream = 0 where id % 72 = 30",)
+    for changes in looks:
+        con = sqlite3.connect(path)
+        for change in changes:
+            con.execute(change)
+        con.commit()
+        con.close()
+        source = spark.readStream.format("sqlite_table").options(path=path, table="messages", offsets=f"{folder}/looks").load()
+        source.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(source.schema).parquet(f"{folder}/out").select("id", "chat_id", F.coalesce("model_name", F.lit("")).alias("model"))
+
+
+query("desktop_stream", f"with m as (select {', '.join(MESSAGES)} from x), h as (select max(id) // 2 as half from m) select id, chat_id, coalesce(model_name, '') as model from m, h where role = 'assistant' and (id % 12 <> 6 or id % 72 = 30 or (id % 36 = 6 and id <= half))")(_desktop)

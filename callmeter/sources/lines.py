@@ -1,22 +1,31 @@
 """Lines with byte offsets, as a batch source and as a stream that tails growing files.
 
 `spark.read.format("offset_lines")` cuts large files into byte ranges; a range's reader starts at the first line that begins in
-it. `spark.readStream` keeps {path: bytes} as its offset and stops at each file's last line end, so a partial last line waits.
+it. Filters on mtime and path are pushed into the listing, so files that they leave out are no partitions.
+
+`spark.readStream` takes what has been added to files, by sizes alone: no file is opened on the driver. A line belongs to the range that its end is in, and the
+range's task looks back for its beginning, so a partial last line waits. With the option `offsets` (a folder on shared storage) the stream's offset
+is a number: what each micro-batch reads stands in a file of that number there, of at most max_bytes and max_files (the file whose turn it is may be
+cut), and now and then a table of how far every file has been read. Without it the offset itself holds {path: bytes}, and nothing is bounded.
 A file that shrank is read on from its new size. Files are reached through pyarrow's file systems (local, HDFS, S3)."""
 
 from __future__ import annotations
 
+import datetime as dt
 import fnmatch
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 from pyspark.sql.types import StructType
 
 SCHEMA = "path string, byte_offset long, line string, mtime timestamp"
 RANGE_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
+#: What a micro-batch with `offsets` reads at most, and after how many numbers the table of all files is written anew.
+MAX_BYTES, MAX_FILES, TABLE_EVERY = 4 << 30, 10_000, 100
 
 
 class RangePartition(InputPartition):
@@ -74,6 +83,7 @@ class _Lines:
 
     def __init__(self, f, at: int, longest: int | None) -> None:
         self.f, self.at, self.longest, self.held = f, at, longest, b""
+        self.ended = True  # whether the last line had an end
 
     def next(self) -> bytes | None:
         """The next line without its end; b"" for one over the limit; None at the end of the file."""
@@ -86,6 +96,7 @@ class _Lines:
             self.held = self.f.read(1 << 20)
             if not self.held:
                 self.at += n
+                self.ended = False
                 return None if not n else b"".join(parts)
         n += end
         parts.append(self.held[:end])
@@ -95,44 +106,170 @@ class _Lines:
 
 
 class OffsetLinesReader(DataSourceReader, _Files):
+    def __init__(self, options: dict[str, str]) -> None:
+        _Files.__init__(self, options)
+        self.tests: list[Callable[[fs.FileInfo], bool]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Filters on mtime and path choose files; Spark applies all of them again."""
+        for f in filters:
+            if (test := _file_test(f)) is not None:
+                self.tests.append(test)
+            yield f
+
     def partitions(self) -> list[InputPartition]:
-        return [RangePartition(f.path, at, min(at + self.range, f.size), f.mtime.timestamp()) for f in self.files() for at in range(0, f.size, self.range)]
+        chosen = [f for f in self.files() if all(test(f) for test in self.tests)]
+        return [RangePartition(f.path, at, min(at + self.range, f.size), f.mtime.timestamp()) for f in chosen for at in range(0, f.size, self.range)]
 
     def read(self, partition: RangePartition) -> Iterator[pa.RecordBatch]:
         return _Files.read(self, partition) if isinstance(partition, RangePartition) else iter(())
 
 
+_COMPARE = {GreaterThan: lambda x, v: x > v, GreaterThanOrEqual: lambda x, v: x >= v, LessThan: lambda x, v: x < v, LessThanOrEqual: lambda x, v: x <= v, EqualTo: lambda x, v: x == v, In: lambda x, v: x in v, StringStartsWith: lambda x, v: x.startswith(v)}
+
+
+def _file_test(f: Filter) -> Callable[[fs.FileInfo], bool] | None:
+    """What a filter says of a file; None if it says nothing of it."""
+    compare = _COMPARE.get(type(f))
+    if compare is None or getattr(f, "attribute", None) not in (("mtime",), ("path",)):
+        return None
+    value = getattr(f, "value", None)
+    if f.attribute == ("path",):
+        return lambda info: compare(info.path, value)
+    if not isinstance(value, dt.datetime):
+        return None
+    stamp = int((value if value.tzinfo else value.astimezone()).timestamp() * 1e6)
+    return lambda info: compare(int(info.mtime.timestamp() * 1e6), stamp)  # as the column has it
+
+
 class OffsetLinesStream(DataSourceStreamReader, _Files):
+    def __init__(self, options: dict[str, str]) -> None:
+        _Files.__init__(self, options)
+        self.most_bytes, self.most_files = int(options.get("max_bytes", MAX_BYTES)), int(options.get("max_files", MAX_FILES))
+        self.plans = _Plans(options["offsets"]) if "offsets" in options else None
+        self.number, self.at = -1, {}
+
     def initialOffset(self) -> dict:
-        return {}
+        return {"n": -1} if self.plans else {}
 
     def latestOffset(self) -> dict:
-        """For each file the end of its last whole line; only the file's tail is looked at."""
-        system, _ = fs.FileSystem.from_uri(self.root)
-        out = {}
-        for info in self.files():
-            end = info.size
-            with system.open_input_file(info.path) as f:
-                while end > 0:
-                    start = max(0, end - (1 << 16))
-                    f.seek(start)
-                    found = f.read(end - start).rfind(b"\n")
-                    if found >= 0:
-                        end = start + found + 1
-                        break
-                    end = start
-            out[info.path] = end
-        return out
+        if not self.plans:
+            return {f.path: f.size for f in self.files()}
+        if self.number < 0:  # a new start: from what has been planned, whether it has been read or not
+            self.number, self.at = self.plans.load()
+        found, rows, left = sorted(self.files(), key=lambda f: (f.mtime, f.path)), [], self.most_bytes
+        for f in found:
+            at = min(self.at.get(f.path, 0), f.size)  # a file that shrank goes on from its new size
+            if at < f.size and left > 0 and len(rows) < self.most_files:
+                to = min(f.size, at + left)
+                rows.append((f.path, at, to, f.mtime.timestamp()))
+                left -= to - at
+                self.at[f.path] = to
+            elif f.path in self.at:
+                self.at[f.path] = at
+        if rows:
+            self.number += 1
+            self.plans.write(self.number, rows)
+            if self.number % TABLE_EVERY == 0:
+                there = {f.path for f in found}
+                self.at = {p: n for p, n in self.at.items() if p in there}
+                self.plans.write_table(self.number, self.at)
+        return {"n": self.number}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        parts = []
-        for path, to in end.items():
-            at = min(start.get(path, 0), to)  # a file that shrank goes on from its new size
-            parts += [RangePartition(path, x, min(x + self.range, to), 0.0) for x in range(at, to, self.range)]
-        return parts
+        if self.plans:
+            ranges = [r for n in range(start["n"] + 1, end["n"] + 1) for r in self.plans.read(n)]
+        else:
+            ranges = [(path, min(start.get(path, 0), to), to, 0.0) for path, to in end.items()]
+        return [RangePartition(path, x, min(x + self.range, to), stamp) for path, at, to, stamp in ranges for x in range(at, to, self.range)]
+
+    def commit(self, end: dict) -> None:
+        if self.plans:
+            self.plans.forget(end["n"])
 
     def read(self, partition: RangePartition) -> Iterator[pa.RecordBatch]:
-        return _Files.read(self, partition) if isinstance(partition, RangePartition) else iter(())
+        """Lines whose end is in [start, end)."""
+        if not isinstance(partition, RangePartition):
+            return
+        system, _ = fs.FileSystem.from_uri(self.root)
+        rows, held = [], 0
+        with system.open_input_file(partition.path) as f:
+            begin = _line_start(f, partition.start)
+            f.seek(begin)
+            stream = _Lines(f, begin, self.longest)
+            while True:
+                at, line = stream.at, stream.next()
+                if line is None or not partition.start < stream.at <= partition.end or not stream.ended:
+                    break
+                if line.strip():
+                    rows.append((at, line.decode("utf-8", "replace")))
+                    held += len(line)
+                if held >= BATCH_BYTES:
+                    yield self._batch(partition, rows)
+                    rows, held = [], 0
+        if rows:
+            yield self._batch(partition, rows)
+
+
+def _line_start(f: pa.NativeFile, at: int) -> int:
+    """Where the line that holds the byte `at` begins."""
+    while at > 0:
+        start = max(0, at - (1 << 16))
+        f.seek(start)
+        found = f.read(at - start).rfind(b"\n")
+        if found >= 0:
+            return start + found + 1
+        at = start
+    return 0
+
+
+class _Plans:
+    """What each number of a stream reads, a file each, and tables of how far every file has been read: <number>.plan and <number>.table."""
+
+    def __init__(self, folder: str) -> None:
+        self.fs, self.path = fs.FileSystem.from_uri(folder)
+        self.fs.create_dir(self.path, recursive=True)
+
+    def _numbers(self, kind: str) -> list[int]:
+        found = self.fs.get_file_info(fs.FileSelector(self.path))
+        return sorted(int(f.base_name.split(".")[0]) for f in found if f.base_name.endswith(kind) and not f.base_name.startswith("_"))
+
+    def _put(self, name: str, lines: Iterable[list]) -> None:
+        with self.fs.open_output_stream(f"{self.path}/_{name}", compression=None) as out:
+            for line in lines:
+                out.write(json.dumps(line).encode() + b"\n")
+        self.fs.move(f"{self.path}/_{name}", f"{self.path}/{name}")
+
+    def _get(self, name: str) -> list[list]:
+        with self.fs.open_input_stream(f"{self.path}/{name}", compression=None) as f:
+            return [json.loads(line) for line in f.read().splitlines()]
+
+    def write(self, number: int, rows: list[tuple]) -> None:
+        self._put(f"{number:012d}.plan", map(list, rows))
+
+    def read(self, number: int) -> list[list]:
+        return self._get(f"{number:012d}.plan")
+
+    def write_table(self, number: int, at: dict[str, int]) -> None:
+        self._put(f"{number:012d}.table", map(list, at.items()))
+
+    def load(self) -> tuple[int, dict[str, int]]:
+        """The last number, and how far every file has been planned by then."""
+        tables, plans = self._numbers(".table"), self._numbers(".plan")
+        at = dict(self._get(f"{tables[-1]:012d}.table")) if tables else {}
+        for n in plans:
+            if not tables or n > tables[-1]:
+                at |= {path: to for path, _, to, _ in self.read(n)}
+        return max([*plans[-1:], *tables[-1:]], default=-1), at
+
+    def forget(self, number: int) -> None:
+        """Plans that have been read and that a table covers go, and all tables but the last two."""
+        tables = self._numbers(".table")
+        for n in self._numbers(".plan") if tables else []:
+            if n < min(number, tables[-1] + 1):
+                self.fs.delete_file(f"{self.path}/{n:012d}.plan")
+        for n in tables[:-2]:
+            self.fs.delete_file(f"{self.path}/{n:012d}.table")
 
 
 class OffsetLines(DataSource):
@@ -151,6 +288,7 @@ class OffsetLines(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(OffsetLines)
 
 

@@ -2,8 +2,11 @@
 
 import datetime as dt
 import json
+import os
 import sqlite3
 
+from pyspark.sql import functions as F
+
 from callmeter.operators import limits, reconcile
 from callmeter.sources import lines, parse, sqlite
 
@@ -149,3 +152,118 @@ def test_pending_rows_are_looked_up_again(spark):
     done, open_ = sqlite.increment(now, 5, spark.createDataFrame([(2, 0), (3, 1), (4, 0), (5, 1)], "id long, misses int"))
     assert sorted(r.id for r in done.collect()) == [2, 6]  # 1 was seen before and is not pending
     assert sorted(map(tuple, open_.collect())) == [(3, 0), (4, 1), (7, 0)]  # 5 is missing for the second time
+
+
+def test_a_tail_reads_bounded_batches(spark, tmp_path):
+    """Files that grow, shrink and come, a partial last line, restarts: each line once, a number as offset, no batch over its bytes."""
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    lines.register(spark)
+
+    def run():
+        source = spark.readStream.format("offset_lines").options(path=str(logs), offsets=str(tmp_path / "offsets"), max_bytes="300", max_files="3", range_bytes="64").load()
+        q = source.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="0 seconds").start()
+        q.processAllAvailable()
+        progress = q.recentProgress
+        q.stop()
+        return sorted((r.path.rsplit("/", 1)[1], r.byte_offset, r.line) for r in spark.read.parquet(str(tmp_path / "out")).collect()), progress
+
+    texts = {f"f{i}.jsonl": "".join(f"file {i} line {j} é\n" for j in range(20)) for i in range(7)}
+    for name, text in texts.items():
+        (logs / name).write_text(text + "half of a li")
+    expected = lambda: sorted((n, len("".join(t.splitlines(True)[:j]).encode()), line) for n, t in texts.items() for j, line in enumerate(t.splitlines()))
+    found, progress = run()
+    assert found == expected()
+    assert all(len(p.sources[0].endOffset) < 40 for p in progress) and len([p for p in progress if p.numInputRows]) >= 7
+    assert all(p.numInputRows <= 300 / 15 + 1 for p in progress)
+    for name in texts:
+        texts[name] += "half of a line\n"
+        (logs / name).write_text(texts[name])
+    texts["new.jsonl"] = "x" * 1000 + "\nend\n"
+    (logs / "new.jsonl").write_text(texts["new.jsonl"])
+    assert run()[0] == expected()
+    assert run()[0] == expected()  # nothing is new
+
+
+def test_a_tail_of_many_files_plans_in_small_pieces(tmp_path, monkeypatch):
+    """100,000 files and ten gigabytes: no file is opened to plan, every byte is planned once, and a new start goes on."""
+
+    class Info:
+        def __init__(self, i, size):
+            self.path, self.size, self.mtime = f"/logs/{i:06d}.jsonl", size, dt.datetime(2024, 1, 1)
+
+    files = [Info(i, 100_000) for i in range(100_000)]
+    monkeypatch.setattr(lines._Files, "files", lambda self: files)
+    options = {"path": "/logs", "offsets": str(tmp_path), "max_bytes": str(2 << 30), "max_files": "30000"}
+    stream, seen, at = lines.OffsetLinesStream(options), {}, {"n": -1}
+    for _ in range(20):
+        end = stream.latestOffset()
+        if end == at:
+            break
+        parts = stream.partitions(at, end)
+        assert len(json.dumps(end)) < 1000 and sum(p.end - p.start for p in parts) <= 2 << 30 and len(parts) <= 30_000
+        for p in parts:
+            assert seen.get(p.path, 0) == p.start
+            seen[p.path] = p.end
+        stream.commit(end)
+        at = end
+        stream = lines.OffsetLinesStream(options)
+    assert seen == {f.path: f.size for f in files}
+
+
+def test_filters_reach_the_files(spark, tmp_path):
+
+
+    for i in range(4):
+        (tmp_path / f"f{i}.jsonl").write_text(f"{i}\n")
+        os.utime(tmp_path / f"f{i}.jsonl", (1_700_000_000 + i, 1_700_000_000 + i))
+    lines.register(spark)
+    read = lambda: spark.read.format("offset_lines").option("path", str(tmp_path)).load()
+    later = read().filter(F.col("mtime") >= F.lit(1_700_000_002).cast("timestamp"))
+    assert sorted(r.line for r in later.collect()) == ["2", "3"] and later.rdd.getNumPartitions() == 2 < read().rdd.getNumPartitions()
+    one = read().filter(F.col("path").startswith(str(tmp_path / "f1")) & (F.col("byte_offset") >= 0))
+    assert [r.line for r in one.collect()] == ["1"] and one.rdd.getNumPartitions() == 1
+    assert read().filter(F.col("path").isin(str(tmp_path / "f0.jsonl"), "x") | (F.col("line") == "3")).count() == 2
+
+
+def test_sqlite_ranges_and_columns(spark, tmp_path):
+    con = sqlite3.connect(tmp_path / "d.db")
+    con.execute("create table messages (id integer primary key, chat_id text, role text, stream integer, content text)")
+    con.executemany("insert into messages values (?,?,?,?,?)", [(i, f"c{i}", "assistant", 0, "SECRET") for i in range(1, 101)])
+    con.commit()
+    con.close()
+    sqlite.register(spark)
+    read = lambda: spark.read.format("sqlite_table").schema("chat_id string, id long").options(path=str(tmp_path / "d.db"), table="messages", rows_per_task="10").load()
+    some = read().filter("id > 35 and id <= 60")
+    assert sorted(map(tuple, some.collect())) == sorted((f"c{i}", i) for i in range(36, 61)) and some.rdd.getNumPartitions() == 3 < read().rdd.getNumPartitions()
+    assert read().filter("id in (3, 7)").rdd.getNumPartitions() == 1 and read().filter("id = 1000").count() == 0
+
+
+def test_sqlite_stream(spark, tmp_path):
+    """Looks with restarts: rows in flight wait, missing ones are given up at the second look, nothing comes twice."""
+    path = tmp_path / "d.db"
+    con = sqlite3.connect(path)
+    con.execute("create table messages (id integer primary key, chat_id text, model_name text, role text, created_at text, updated_at text, stream integer)")
+    add = lambda i, role="assistant", stream=0: con.execute("insert into messages values (?,?,?,?,?,?,?)", (i, "c", "m", role, "t", "t", stream))
+    sqlite.register(spark)
+
+    def look():
+        con.commit()
+        source = spark.readStream.format("sqlite_table").options(path=str(path), table="messages", offsets=str(tmp_path / "looks"), rows_per_task="2").load()
+        source.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.id for r in spark.read.schema(source.schema).parquet(str(tmp_path / "out")).collect())
+
+    for i in range(1, 6):
+        add(i, stream=int(i in (2, 4)))
+    add(6, role="user")
+    assert look() == [1, 3, 5]
+    con.execute("update messages set stream = 0 where id = 2")
+    con.execute("delete from messages where id = 4")
+    add(7, stream=1)
+    add(8)
+    assert look() == [1, 2, 3, 5, 8]
+    assert look() == [1, 2, 3, 5, 8]
+    add(4)  # back after it was given up
+    con.execute("update messages set stream = 0 where id = 7")
+    assert look() == [1, 2, 3, 5, 7, 8]
+    assert json.loads((tmp_path / "looks/look.json").read_text()) == {"last": 8, "pending": {}}
