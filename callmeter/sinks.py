@@ -1,4 +1,8 @@
-"""What is stored of calls that no log can give again: a journal of events and the daily history."""
+"""What is stored of calls that no log can give again: a journal of events and the daily history.
+
+Both are folders of versions (versions.py): what a version names is never changed, so a journal or history can be read, changed and written in one
+place, a write that is cut off leaves what was there, and days and watermarks of a history change together. streaming.store keeps the same in one
+folder with the live calls; these are for journals and histories of their own."""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from .operators import retention
 from .operators.reconcile import strongest_per_key
 from .schema import USAGE_EVENT
 from .sources import parse
+from .versions import Versions
 
 #: Fixed value: the version that journal lines carry.
 VERSION = 2
@@ -21,13 +26,18 @@ def journal_lines(events: DataFrame) -> DataFrame:
 
 
 def append_journal(events: DataFrame, folder: str) -> None:
-    """Adds lines to the journal; files there are never changed."""
-    journal_lines(events).write.mode("append").text(folder)
+    """Adds lines to the journal."""
+    versions = Versions(events.sparkSession, folder)
+    state = versions.latest()
+    versions.commit(state, add={"lines": {"all": versions.write_text(state, journal_lines(events), "lines")}})
 
 
 def _journal(spark: SparkSession, folder: str) -> DataFrame:
     """Every event of the journal, with USAGE_EVENT's columns; lines that do not decode are left out."""
-    lines = spark.read.text(folder).select(F.col("value").alias("line"), F.lit(0).cast("long").alias("byte_offset"))
+    versions = Versions(spark, folder)
+    held = versions.folders(versions.latest(), "lines")
+    text = spark.read.text(held) if held else spark.createDataFrame([], "value string")
+    lines = text.select(F.col("value").alias("line"), F.lit(0).cast("long").alias("byte_offset"))
     fields = ",".join(f.strip().replace(" ", ":", 1) for f in USAGE_EVENT.replace("\n", " ").split(",") if not f.strip().startswith("dedup_key"))
     return parse.journal(lines, fields).drop("seq").withColumnRenamed("key", "dedup_key")
 
@@ -37,20 +47,30 @@ def load_journal(spark: SparkSession, folder: str, as_of: str) -> DataFrame:
     return strongest_per_key(retention.live(_journal(spark, folder), as_of))
 
 
-def compact_journal(spark: SparkSession, folder: str, into: str) -> None:
-    """Writes the strongest event of each key to another folder, by time: ranges of time over files, sorted within each. Events of
-    any age stay, so none is lost that history does not hold yet."""
-    journal_lines(strongest_per_key(_journal(spark, folder)).orderBy("ts", "arrival_seq")).write.mode("overwrite").text(into)
+def compact_journal(spark: SparkSession, folder: str, into: str | None = None) -> None:
+    """Writes the strongest event of each key, by time (ranges of time over files, sorted within each), in the place of all that is there, or as
+    another folder's journal. Events of any age stay, so none is lost that history does not hold yet. The version before stays readable until the next
+    compaction."""
+    best = journal_lines(strongest_per_key(_journal(spark, folder)).orderBy("ts", "arrival_seq"))
+    versions = Versions(spark, into or folder)
+    state = versions.latest()
+    versions.commit(state, put={"lines": {"all": versions.write_text(state, best, "lines")}})
+    versions.remove_unused()
 
 
 def write_history(days: DataFrame, watermarks: DataFrame, folder: str) -> None:
-    """Day aggregates by day, and how far each collector is complete; watermarks come last, so a cut-off write claims nothing."""
-    days.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{folder}/days")
-    watermarks.coalesce(1).write.mode("overwrite").parquet(f"{folder}/watermarks")  # a row for each collector
+    """Day aggregates by day, and how far each collector is complete, in one version in the place of the one before. Both may have been read from the same
+    folder."""
+    versions = Versions(days.sparkSession, folder)
+    state = versions.latest()
+    held = {t: dict.fromkeys(parts) for t, parts in state["tables"].items()}
+    new = {"days": versions.write(state, days.withColumn("part", F.col("day").cast("string")), "days", "part"), "watermarks": versions.write(state, watermarks.withColumn("part", F.lit("all")), "watermarks", "part")}
+    versions.commit(state, put={t: held.get(t, {}) | parts for t, parts in new.items()})
 
 
 def load_history(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(day aggregates, watermarks)."""
-    schema = "provider string, input long, output long, cache long, reasoning long, calls long, day date"
-    days = spark.read.schema(schema).parquet(f"{folder}/days").select("day", "provider", "input", "output", "cache", "reasoning", "calls")
-    return days, spark.read.parquet(f"{folder}/watermarks")
+    versions = Versions(spark, folder)
+    state = versions.latest()
+    schema = "day date, provider string, input long, output long, cache long, reasoning long, calls long"
+    return versions.read(versions.folders(state, "days"), schema), versions.read(versions.folders(state, "watermarks"), retention.WATERMARK)

@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from callmeter import sinks
 from callmeter.operators import retention, usage
 from callmeter.operators.reconcile import strongest_per_key
+from callmeter.sources import collect
 from callmeter.streaming.store import Store
 from callmeter.versions import Taken, Versions
 from tests.test_rules import events
@@ -175,3 +177,37 @@ def test_of_two_writers_one_starts_again(spark, tmp_path):
     with pytest.raises(Taken):
         store.versions.commit(state)
     assert store.rows().count() == 2
+
+
+def test_history_and_journal_are_rewritten_in_their_place(spark, tmp_path, monkeypatch):
+    folder, journal = str(tmp_path / "history"), str(tmp_path / "journal")
+    rows = events(spark, {"ts": dt.datetime(2024, 1, 1), "input_tokens": 3}, {"ts": dt.datetime(2024, 1, 2), "input_tokens": 4}, {"dedup_key": "k0", "ts": dt.datetime(2024, 1, 1), "output_tokens": 9, "arrival_seq": 5})
+    marks = retention.advance(spark.createDataFrame([], retention.WATERMARK), "c", F.lit("2024-01-03"))
+    sinks.write_history(usage.day_fold(rows.limit(2)), marks, folder)
+    for n in (2, 3):
+        days, marks = sinks.load_history(spark, folder)
+        sinks.write_history(usage.merge_history(days, usage.day_fold(rows.limit(1))), retention.advance(marks, "d", F.lit(f"2024-01-0{n}")), folder)
+    days, marks = sinks.load_history(spark, folder)
+    assert sorted((r.day.day, r.input) for r in days.collect()) == [(1, 9), (2, 4)]
+    assert sorted((r.collector, r.complete_through.day) for r in marks.collect()) == [("c", 3), ("d", 3)]
+    before = plain(days)
+    monkeypatch.setattr(Versions, "commit", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError):
+        sinks.write_history(usage.day_fold(rows), marks, folder)
+    monkeypatch.undo()
+    assert plain(sinks.load_history(spark, folder)[0]) == before
+    sinks.append_journal(collect.as_usage_events(rows.limit(2)), journal)
+    for _ in range(2):
+        sinks.append_journal(collect.as_usage_events(rows), journal)
+        sinks.compact_journal(spark, journal)
+        assert sorted((r.dedup_key, r.output_tokens) for r in sinks.load_journal(spark, journal, "2024-01-03 00:00:00").collect()) == [("k0", 9), ("k1", 0)]
+    assert sinks.load_journal(spark, str(tmp_path / "none"), "2024-01-03 00:00:00").count() == 0
+
+
+def test_cap_keeps_rows_without_key_and_ties(spark):
+    at = lambda h: dt.datetime(2024, 2, 1, h)
+    rows = events(spark, {"dedup_key": None, "ts": at(3)}, {"dedup_key": "a", "ts": at(1)}, {"dedup_key": "b", "ts": at(2)})
+    left = lambda cap: sorted(repr(r.dedup_key) for r in retention.leaving(rows, "2024-02-14", cap).collect())
+    assert [left(n) for n in (3, 2, 1, 0)] == [[], ["'a'"], ["'a'", "'b'"], ["'a'", "'b'", "None"]]
+    tied = events(spark, *[{"dedup_key": f"t{i}", "ts": at(1), "arrival_seq": 1} for i in range(3)])
+    assert retention.leaving(tied, "2024-02-14", 2).count() == 0
