@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, bit_set, cut, in_bits, shingled, small_cut, spans, text_slices, with_columns, word_hashes
+from .common import LOWER, beside, bit_set, cut, in_bits, shingled, small_cut, spans, text_slices, with_columns, word_hashes
 
 WINDOW, LITERALS, COVER = 5, 3, 0.8
 #: Units that may follow a number.
@@ -157,6 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "item_id").agg(most).select("doc_id", "item_id", "most.n_windows", "most.coverage", "most.changed")
 
 
+@beside("text")
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated documents. A document is judged by its text alone, known by its hash, whatever its doc_id."""
     found = contaminated_texts(docs.select("text"), benchmark)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, small_cut
+from .common import beside, cut, small_cut
 
 SEED, MAX_EPOCHS, RANGE_ROWS = 11, 2, 4096
 LEVELS = ("domain", "lang", "source")
@@ -75,6 +75,7 @@ def _order(epoch: Column, doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
 
 
+@beside("doc_id", "text", "lang", "source")
 def mix(docs: DataFrame, domain: Column, share: float, weights: dict[str, dict[str, int]], seed: int = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """docs(doc_id, text, lang, source) with domain, n_tokens and copies (1 or more): the mixture of `share` of the corpus's tokens."""
     rows = docs.drop("domain", "n_tokens", "copies").withColumn("domain", domain).withColumn("n_tokens", tokens(F.col("text")))

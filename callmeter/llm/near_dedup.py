@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_set, components, counted, cut, in_bits, shingle_sets, small_cut, with_columns
+from .common import beside, bit_set, components, counted, cut, in_bits, shingle_sets, small_cut, with_columns
 
 ROWS, MISS = 4, 7.5e-6
 #: Members of a group that its centre is taken from; any number gives right results.
@@ -221,6 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, need: tuple[int, int] = (
     return _found(docs, shingle, need).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
+@beside("doc_id", "text")
 def one_of_each(docs: DataFrame, shingle: int = 5, need: tuple[int, int] = (80, 100)) -> DataFrame:
     """docs with one document of each component: of its smallest doc_id, there of the smallest text hash. Rows repeated whole
     (same doc_id, same text) become one. A document is known by its doc_id, which may be null or repeated, and its text's hash."""

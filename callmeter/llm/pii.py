@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, with_columns
+from .common import beside, cut, small_cut, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, anchored at run starts.
@@ -224,6 +224,7 @@ def replaced(docs: DataFrame, spans: str) -> DataFrame:
     return steps.withColumn("text", F.when(some, whole).otherwise(F.col("text"))).drop("__ends", "__blocks")
 
 
+@beside("doc_id", "text", "n_chars")
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every base and found span of text replaced by its kind in brackets; other columns unchanged.
     Overlapping spans are one, of the first kind by start."""
@@ -231,7 +232,7 @@ def redact(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
     spans = find(docs).withColumn("__spans", F.array_sort(F.concat("base", "found"))).filter(F.size("__spans") > 0)
     spans = spans.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("text_key").alias("__text")).agg(F.first("__spans").alias("__spans"))
-    changed = replaced(rows.join(spans, ["__id", "__text"], "left"), "__spans")
+    changed = replaced(rows.join(small_cut(spans, "spans"), ["__id", "__text"], "left"), "__spans")
     if "n_chars" in names:
         changed = changed.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return changed.select(*names)

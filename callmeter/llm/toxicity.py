@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, cut, mix, spans, text_slices, with_columns, word_hashes
+from .common import LOWER, beside, cut, mix, spans, text_slices, with_columns, word_hashes
 
 BUCKETS = 18
 #: Of each class: rows and UTF-8 bytes of the sample.
@@ -176,11 +176,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with tox_score double and tox_sentences array<struct<start, end, score>>: the sentences of probability
     0.5 or more as code point ranges. Rows keep their order and columns; docs must have a column text."""
-    held_model = docs.sparkSession.sparkContext.broadcast(model)
+    held_model = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # plain values: executors need no copy of this package
     spot = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held_model.value
+        model = Model(*held_model.value)
         for batch in batches:
             scores, spots = [], []
             for _, held in text_slices(batch.column("text")):
@@ -204,6 +204,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
+@beside("doc_id", "text")
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the documents that score 0.5 or more."""
     found = score(docs, train(docs, labels))
