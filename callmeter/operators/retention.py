@@ -83,6 +83,17 @@ def advance(watermarks: DataFrame, collector: str, through: Column) -> DataFrame
     return advanced(watermarks, watermarks.sparkSession.range(1).select(F.lit(collector).alias("collector"), through.alias("complete_through")))
 
 
+def frontier(progress: DataFrame, read: DataFrame) -> DataFrame:
+    """(collector, complete_through): how far each collector is complete by what its source has consumed. progress(collector, path, consumed, size) has
+    a row for each file, read(path, ts) the rows read. A file that lags (consumed < size) holds its collector back at its own last time, or, if
+    nothing of it has been read, altogether (null); if none lags it is the last time of all."""
+    last = read.groupBy("path").agg(F.max("ts").cast("timestamp_ntz").alias("last"))
+    files = progress.join(last, "path", "left").withColumn("lags", F.col("consumed") < F.col("size"))
+    held = F.min(F.when(F.col("lags"), F.col("last")))
+    through = F.when(F.bool_or(F.col("lags") & F.col("last").isNull()), None).when(F.bool_or("lags"), held).otherwise(F.max("last"))
+    return files.groupBy("collector").agg(through.alias("complete_through"))
+
+
 def apply_late(history: DataFrame, watermarks: DataFrame, late: DataFrame, as_of: str) -> DataFrame:
     """history with late rows (collector, ts, ...) whose day is frozen but not yet covered by their collector's watermark."""
     open_ = late.join(watermarks, "collector", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sinks
-from ..operators import arrival, retention, usage
+from ..operators import arrival, performance, retention, usage
 from ..scratch import scratch
 from ..sources import collect, lines, parse
 from ..sources.adapter import AS_OF, usage_events
@@ -208,3 +208,26 @@ query("offset_lines", "select dedup_key || ' é ' || repeat('x', arrival_seq % 5
 query("menu_title", "with t as (select cast(coalesce(sum(input_tokens + output_tokens), 0) as bigint) as n from x where ts >= date '2024-01-30' and ts < date '2024-01-31') select case when n < 1000 then cast(n as varchar) when n < 100000 then concat(cast(((n + 50) // 100) // 10 as varchar), '.', cast(((n + 50) // 100) % 10 as varchar), 'k') when n < 1000000 then concat(cast((n + 500) // 1000 as varchar), 'k') else concat(cast(((n + 5000) // 10000) // 100 as varchar), '.', lpad(cast(((n + 5000) // 10000) % 100 as varchar), 2, '0'), 'M') end as title from t")(
     lambda s, d: usage.menu_title(s.createDataFrame([("a", "2024-01-30 23:59:00", "2024-01-30 23:59:50", 5)], "call_id string, started_at string, ts string, output_tokens long").selectExpr("call_id", "cast(started_at as timestamp_ntz) as started_at", "cast(ts as timestamp_ntz) as ts", "output_tokens"), usage_events(s, d), AS_OF)
 )
+
+
+def _stored_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted values of the days written in two halves, one day of them again, and the summary of 30 of them without the rows."""
+    x, folder = usage_events(spark, sf_dir), scratch(spark, "values")
+    for days in ("ts < timestamp'2024-01-15'", "ts >= timestamp'2024-01-15'", "to_date(ts) = date'2024-01-05'"):
+        sinks.write_day_values(x.filter(days), folder)
+    return performance.of_values(sinks.load_day_values(spark, folder, "2024-01-02", "2024-01-30"))
+
+
+MEDIANS = ", ".join(f"median({c}) as median_{c}" for c in performance.METRICS)
+query("stored_medians", f"select provider, model, count(*) as calls, count(*) filter (where status = 'failed') as failed, {MEDIANS} from x where ts >= date '2024-01-02' and ts < date '2024-01-31' group by 1, 2")(_stored_medians)
+
+
+def _frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of sessions: every seventh lags from the 20th on, and one of a collector has not been begun."""
+    x = usage_events(spark, sf_dir).selectExpr("source as collector", "concat(source, '/', session_id) as path", "ts", "cast(substring(session_id, 2) as int) % 7 = 0 as lags", "session_id = 's3' as unread")
+    files = x.select("collector", "path", "lags", "unread").distinct().selectExpr("collector", "path", "if(unread, 0, if(lags, 5, 9)) as consumed", "9 as size")
+    return retention.frontier(files, x.filter("not unread and (not lags or ts < timestamp'2024-01-20')").select("path", "ts"))
+
+
+query("frontier", """with f as (select source as collector, session_id, max(case when cast(substring(session_id, 2) as int) % 7 <> 0 or ts < timestamp '2024-01-20' then ts end) as last from x group by 1, 2)
+select collector, case when bool_or(session_id = 's3' or (cast(substring(session_id, 2) as int) % 7 = 0 and last is null)) then null when bool_or(cast(substring(session_id, 2) as int) % 7 = 0) then min(case when cast(substring(session_id, 2) as int) % 7 = 0 then last end) else max(last) end as complete_through from f group by 1""")(_frontier)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import retention
+from .operators import performance, retention
 from .operators.reconcile import strongest_per_key
 from .schema import USAGE_EVENT
 from .sources import parse
@@ -74,3 +74,20 @@ def load_history(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     state = versions.latest()
     schema = "day date, provider string, input long, output long, cache long, reasoning long, calls long"
     return versions.read(versions.folders(state, "days"), schema), versions.read(versions.folders(state, "watermarks"), retention.WATERMARK)
+
+
+VALUES = "provider string, model string, metric string, value double, n long"
+
+
+def write_day_values(events: DataFrame, folder: str) -> None:
+    """Counted values of the days of events (operators.performance.day_values), in the place of what is there of these days."""
+    versions = Versions(events.sparkSession, folder)
+    state = versions.latest()
+    versions.commit(state, put={"values": versions.write(state, performance.day_values(events).withColumn("part", F.col("day").cast("string")).drop("day"), "values", "part")})
+
+
+def load_day_values(spark: SparkSession, folder: str, first: str, last: str) -> DataFrame:
+    """Counted values of the days from first to last (yyyy-mm-dd); no other day's files are read."""
+    versions = Versions(spark, folder)
+    state = versions.latest()
+    return versions.read(versions.folders(state, "values", [d for d in state["tables"].get("values", {}) if first <= d <= last]), VALUES)

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 from pyspark.sql.types import StructType
 
@@ -292,3 +292,10 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(OffsetLines)
 
 
+
+
+def progress(spark: SparkSession, path: str, offsets: str, glob: str = "*.jsonl") -> DataFrame:
+    """(path, consumed, size) of each file that a stream with the option `offsets` tails: how far it has been planned, and how long it is."""
+    at = _Plans(offsets).load()[1]
+    rows = [(f.path, min(at.get(f.path, 0), f.size), f.size) for f in _Files({"path": path, "glob": glob}).files()]  # a row for each file, as listed
+    return spark.createDataFrame(rows, "path string, consumed long, size long")
