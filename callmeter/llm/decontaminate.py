@@ -1,8 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are runs of letters, digits and non-ASCII bytes. A number becomes <num>, a unit after a number <unit>, a
-capitalised word inside a sentence <name>; other words are lower-cased. Windows of WINDOW canonical words with at least
-LITERALS words that are not placeholders are hash-joined with those of the benchmark. Within one alignment (document,
+capitalised word inside a sentence <name>, and so does one that begins a sentence, unless the benchmark has that word without a capital somewhere
+(capitals are A-Z and those of Latin-1); other words are lower-cased. Windows of WINDOW canonical words with at least
+LITERALS words that are not placeholders are hash-joined with those of the benchmark. An item without such a window is compared as
+a whole: its words as they stand and, if LITERALS of them are no placeholders, its canonical words. Within one alignment (document,
 item, offset) the placeholders are judged slot by slot: a value that stands verbatim always counts; of the changed ones each
 value of the item has one value in the document and the other way round, those of the most windows first. Windows with a
 slot that conflicts with this are left out, the others stay. Thus a copy with other numbers or names is caught, and
@@ -15,7 +17,7 @@ its own text alone. A text that COVER of an item's n windows stand in holds one
 look for candidates, and whole items are then compared with their candidates. So a window that many items and texts share
 does not pair them all.
 
-Defined results: null and empty texts match nothing; an item with no window of its own (shorter than WINDOW words)
+Defined results: null and empty texts match nothing; an item of fewer than SHORTEST words
 is matched by nothing; repeated rows and repeated ids give one row for each doc_id and item_id, that of the text and item of most
 coverage; null ids take part; extra columns are ignored.
 """
@@ -30,9 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, beside, bit_set, cut, in_bits, shingled, small_cut, spans, text_slices, with_columns, word_hashes
+from .common import LOWER, beside, bit_set, cut, in_bits, mix, shingled, small_cut, spans, text_slices, with_columns, word_hashes
 
-WINDOW, LITERALS, COVER = 5, 3, 0.8
+WINDOW, LITERALS, COVER, SHORTEST = 5, 3, 0.8, 4
 #: Units that may follow a number.
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t lb lbs oz ml l liter liters litre litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years usd eur gbp dollar dollars cent cents euro euros pound pounds percent degree degrees kmh mph hz khz mhz ghz b kb mb gb tb w kw kwh v a pa kpa j kj cal kcal".split()
 
@@ -55,8 +57,18 @@ def _one(word: str) -> np.uint64:
 _UNIT_HASHES = np.sort(np.array([_one(u) for u in UNITS], np.uint64))
 
 
-def templates(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts: each word's canonical hash, its value hash, whether it is a placeholder, and the first word of each text."""
+def _lowered(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 with A-Z and the capitals of Latin-1 lower-cased, and whether each byte begins such a capital."""
+    out, capital = LOWER[raw], (raw >= 65) & (raw <= 90)
+    wide = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+    out[1:][wide] += 0x20
+    capital[:-1] |= wide
+    return out, capital
+
+
+def templates(held: list[bytes], plain: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts: each word's canonical hash, its value hash, whether it is a placeholder, and the first word of each text. plain: a bit set of
+    the words that are no names where they begin a sentence; without it none of those is a name."""
     raw = np.frombuffer(b"\n".join(held), np.uint8)
     digit = _DIGIT[raw]
     inside = _TOKEN[raw]
@@ -66,7 +78,8 @@ def templates(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     first = np.searchsorted(starts, bounds)
     if not len(starts):
         return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool), first
-    words = word_hashes(LOWER[raw], starts, ends)
+    low, capital = _lowered(raw)
+    words = word_hashes(low, starts, ends)
     number = digit[starts]
     after = np.concatenate(([False], number[:-1]))
     after[first[:-1][first[:-1] < len(starts)]] = False  # a text's first word follows no number
@@ -74,37 +87,77 @@ def templates(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     ended = np.concatenate(([0], np.cumsum(_END[raw])))
     begins = np.concatenate(([True], ended[starts[1:]] > ended[ends[:-1]]))
     begins[first[:-1][first[:-1] < len(starts)]] = True
-    second = raw[np.minimum(starts + 1, len(raw) - 1)]
-    name = (raw[starts] >= 65) & (raw[starts] <= 90) & (ends - starts > 1) & (second >= 97) & ~begins
+    second = raw[np.minimum(starts + 1 + (raw[starts] == 0xC3), len(raw) - 1)]
+    small = ((second >= 97) & (second <= 122)) | (second >= 128)
+    name = capital[starts] & small & (ends - starts > 1 + (raw[starts] == 0xC3))
+    name &= ~begins if plain is None else ~begins | ~in_bits(plain, words.view(np.int64))
     canonical = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, words)))
     return canonical, words, number | unit | name, first
 
 
-def windows(texts: DataFrame, key: str, bits: bytes | None = None) -> DataFrame:
-    """(key, pos, h, slots, of): windows of each text; of: how many the text has. bits: only windows whose bit is on."""
-    shared = texts.sparkSession.sparkContext.broadcast(bits) if bits else None
+def plain_words(texts: DataFrame) -> bytes:
+    """A bit set of the words that texts(text) have without a capital."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, held in text_slices(batch.column("text")):
+                raw = np.frombuffer(b"\n".join(held), np.uint8)
+                starts, ends = spans(_TOKEN[raw])
+                low, capital = _lowered(raw)
+                found = np.unique(word_hashes(low, starts, ends)[~capital[starts]])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
+
+    return bit_set(texts.select("text").mapInArrow(run, "h long").distinct(), "h")
+
+
+def _whole(canonical: np.ndarray, words: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of `length` consecutive canonical words, or, if it is below zero, of as many words as they stand."""
+    return (shingled(canonical if length > 0 else words, abs(length)) ^ mix(np.array([length], np.int64).view(np.uint64))).view(np.int64)
+
+
+def windows(texts: DataFrame, key: str, plain: bytes, bits: bytes | None = None, lengths: list[int] | None = None) -> DataFrame:
+    """(key, pos, h, slots, of, length): windows of each text; of: how many the text has; length: WINDOW, or that of a whole item without a window (below
+    zero: its words as they stand). Without bits texts are items; with them only windows whose bit is on come, also those of the given
+    lengths of items."""
+    spark = texts.sparkSession.sparkContext
+    shared = spark.broadcast((plain, bits))  # two bit sets of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.frombuffer(shared.value, np.uint8) if shared else None
+        names, on = (None if b is None else np.frombuffer(b, np.uint8) for b in shared.value)
         for batch in batches:
+            keys = batch.column(key)
+
+            def told(row: int, owner: np.ndarray, pos: np.ndarray, h: np.ndarray, slots: list, of: np.ndarray, length: int, keys: pa.Array = keys) -> pa.RecordBatch:
+                n = len(owner)
+                return pa.RecordBatch.from_arrays([keys.take(pa.array(owner + row)), pa.array(pos, pa.int64()), pa.array(h), pa.array(slots, pa.list_(pa.int64())), pa.array(of, pa.int64()), pa.array([length] * n, pa.int64())], [key, "pos", "h", "slots", "of", "length"])
+
             for row, held in text_slices(batch.column("text")):
-                canonical, values, slot, first = templates(held)
+                canonical, values, slot, first = templates(held, names)
+                size, of = np.diff(first), np.zeros(len(held), np.int64)
+                filled = lambda i, n, values=values, slot=slot: values[i : i + n][slot[i : i + n]].view(np.int64)
                 n = len(canonical) - WINDOW + 1
-                if n <= 0:
-                    continue
-                h = shingled(canonical, WINDOW).view(np.int64)
-                slots = np.convolve(slot, np.ones(WINDOW, int), "valid")
-                owner = np.searchsorted(first, np.arange(n), side="right") - 1
-                ok = (np.arange(n) + WINDOW <= first[owner + 1]) & (WINDOW - slots >= LITERALS)
-                of = np.bincount(owner[ok], minlength=len(held))
-                if on is not None:
-                    ok &= in_bits(on, h)
-                at = np.flatnonzero(ok)
-                if len(at):
-                    held_slots = [values[i : i + WINDOW][slot[i : i + WINDOW]].view(np.int64) if slots[i] else [] for i in at]
-                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(owner[at] + row)), pa.array(at - first[owner[at]], pa.int64()), pa.array(h[at]), pa.array(held_slots, pa.list_(pa.int64())), pa.array(of[owner[at]], pa.int64())], [key, "pos", "h", "slots", "of"])
-
-    return texts.select(key, "text").mapInArrow(run, f"{key} long, pos long, h long, slots array<long>, of long")
+                if n > 0:
+                    h = shingled(canonical, WINDOW).view(np.int64)
+                    slots = np.convolve(slot, np.ones(WINDOW, int), "valid")
+                    owner = np.searchsorted(first, np.arange(n), side="right") - 1
+                    ok = (np.arange(n) + WINDOW <= first[owner + 1]) & (WINDOW - slots >= LITERALS)
+                    of = np.bincount(owner[ok], minlength=len(held))
+                    at = np.flatnonzero(ok & in_bits(on, h) if on is not None else ok)
+                    if len(at):
+                        yield told(row, owner[at], at - first[owner[at]], h[at], [filled(i, WINDOW) if slots[i] else [] for i in at], of[owner[at]], WINDOW)
+                if on is None:
+                    for i in np.flatnonzero((of == 0) & (size >= SHORTEST)):
+                        a, b = first[i], first[i + 1]
+                        for length in (int(a - b), int(b - a)) if (~slot[a:b]).sum() >= LITERALS else (int(a - b),):
+                            yield told(row, np.array([i]), np.array([0]), _whole(canonical[a:b], values[a:b], length), [filled(a, b - a) if length > 0 else []], np.array([1]), length)
+                for length in lengths or []:
+                    h = _whole(canonical, values, length)
+                    owner = np.searchsorted(first, np.arange(len(h)), side="right") - 1
+                    at = np.flatnonzero((np.arange(len(h)) + abs(length) <= first[owner + 1]) & in_bits(on, h)) if len(h) else []
+                    if len(at):
+                        yield told(row, owner[at], at - first[owner[at]], h[at], [filled(i, length) if length > 0 else [] for i in at], of[owner[at]], length)
+
+    return texts.select(key, "text").mapInArrow(run, f"{key} long, pos long, h long, slots array<long>, of long, length long")
 
 
 def agreeing(found: list[tuple[int, list[tuple[int, int]]]]) -> set[int]:
@@ -131,13 +184,15 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bench = with_columns(benchmark, {"item_id": "long", "text": "string"}).filter("text is not null").distinct()
     item = F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text")
     named = bench.withColumn("item", item)
-    items = small_cut(windows(named, "item").select("item", "h", "of", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")), "items")
+    plain = plain_words(bench)
+    items = small_cut(windows(named, "item", plain).select("item", "h", "of", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "length"), "items")
+    lengths = sorted(r.length for r in items.filter(F.col("length") != WINDOW).select("length").distinct().collect())  # distinct lengths of short items
     texts = with_columns(docs, {"text": "string"}).withColumn("text_hash", F.xxhash64("text"))
-    found = cut(windows(texts, "text_hash", bit_set(items, "h")).drop("of").distinct(), "found")
+    found = cut(windows(texts, "text_hash", plain, bit_set(items, "h"), lengths).drop("of", "length").distinct(), "found")
 
     often = items.join(found.groupBy("h").agg(F.count("*").alias("n")), "h", "left")
     rarest = F.row_number().over(W.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "h", "item_pos"))  # an item's windows are those of its one text
-    rare = often.withColumn("rank", rarest).filter(F.col("n").isNotNull() & (F.col("rank") <= F.col("of") - F.ceil(COVER * F.col("of") - 1e-9) + 1))
+    rare = often.withColumn("rank", rarest).filter(F.col("n").isNotNull() & ((F.col("rank") <= F.col("of") - F.ceil(COVER * F.col("of") - 1e-9) + 1) | (F.col("length") != WINDOW)))  # a whole item has two forms
     candidates = found.select("text_hash", "h").join(rare.select("item", "h").distinct(), "h").select("text_hash", "item").distinct()
 
     met = found.join(candidates.join(items, "item"), ["text_hash", "h"]).withColumn("offset", F.col("pos") - F.col("item_pos"))

@@ -530,41 +530,52 @@ def test_warc_with_many_repeated_payloads_shuffles_only_those(spark, monkeypatch
     assert shown() == few and sum(r[2] >= 0 for r in few) == 30
 
 
-def brute_windows(text):
-    """(canonical window, slot values by place) of each window of a text, by position; plain words and sets."""
+def brute_words(text):
+    """(canonical word, value of a placeholder) of each word and where sentences begin, before names there are known."""
     tokens = [(m[0], m.start(), m.end()) for m in re.finditer(r"(?:[0-9A-Za-z]|[^\x00-\x7f]|(?<=[0-9])[.,](?=[0-9]))+", text or "")]
-    words_ = []
+    out = []
     for i, (w, a, _) in enumerate(tokens):
-        low = "".join(c.lower() if c.isascii() else c for c in w)
-        begins = i == 0 or re.search(r"[.!?:\n]", text[tokens[i - 1][2] : a])
-        if w[0].isascii() and w[0].isdigit():
-            words_.append(("<num>", low))
-        elif i and words_[-1][0] == "<num>" and low in decontaminate.UNITS:
-            words_.append(("<unit>", low))
-        elif re.match("[A-Z][a-z]", w) and not begins:
-            words_.append(("<name>", low))
-        else:
-            words_.append((low, None))
+        low = "".join(c.lower() if c < "\u00df" else c for c in w)
+        begins = i == 0 or bool(re.search(r"[.!?:\n]", text[tokens[i - 1][2] : a]))
+        kind = "<num>" if re.match("[0-9]", w) else "<unit>" if out and out[-1][0] == "<num>" and low in decontaminate.UNITS else "<name>" if re.match("[A-Z\u00c0-\u00d6\u00d8-\u00de][a-z\x80-\U0010ffff]", w) else None
+        out.append((kind, low, w, begins))
+    return out
+
+
+def brute_windows(text, plain):
+    """(canonical window, slot values by place) of each window of a text, by position, and its words as a whole; plain words and sets."""
+    words_ = []
+    for kind, low, _, begins in brute_words(text):
+        kind = None if kind == "<name>" and begins and low in plain else kind
+        words_.append((kind or low, low if kind else None, low))
     out = {}
     for i in range(len(words_) - 4):
         part = words_[i : i + 5]
-        if sum(v is None for _, v in part) >= 3:
-            out[i] = (tuple(c for c, _ in part), [v for _, v in part if v is not None])
-    return out
+        if sum(v is None for _, v, _ in part) >= 3:
+            out[i] = (tuple(c for c, _, _ in part), [v for _, v, _ in part if v is not None])
+    return out, words_
 
 
 def brute_contaminated(docs, items):
+    plain = {low for _, question in items for m in re.findall(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+", question) for low in [m] if not re.match("[A-Z\u00c0-\u00d6\u00d8-\u00de]", m)}
+    plain = {"".join(c.lower() if c < "\u00df" else c for c in w) for w in plain}
     found = {}
     for d, text in docs:
-        own = brute_windows(text)
+        own, words_ = brute_windows(text, plain)
         for item, question in items:
-            asked = brute_windows(question)
+            asked, whole = brute_windows(question, plain)
             kept = set()
             for offset in {i - j for i in own for j in asked}:
                 met = [(j, list(zip(asked[j][1], own[j + offset][1], strict=True))) for j in asked if j + offset in own and own[j + offset][0] == asked[j][0]]
                 kept |= decontaminate.agreeing(met)
             if asked and len(kept) >= decontaminate.COVER * len(asked):
                 found[d, item] = max(len(kept), found.get((d, item), 0))
+            if not asked and len(whole) >= 4:
+                for i in range(len(words_) - len(whole) + 1):
+                    part = words_[i : i + len(whole)]
+                    same = [x[0] for x in part] == [x[0] for x in whole] and sum(v is None for _, v, _ in whole) >= 3
+                    if [x[2] for x in part] == [x[2] for x in whole] or (same and decontaminate.agreeing([(0, [(a[1], b[1]) for a, b in zip(whole, part, strict=True) if a[1] is not None])])):
+                        found[d, item] = 1
     return found
 
 
@@ -585,6 +596,20 @@ def test_decontamination_by_brute_force(spark):
     assert set(found) == set(expected) and len(found) > 20 and all(found[k] <= expected[k] for k in found)
 
 
+def test_names_that_begin_sentences_and_short_items(spark):
+    maria = "Maria bought 12 red apples at the market. Maria ate 3 of them. How many apples were left in her basket at the end?"
+    elise = "\u00c9lise counted 40 grey stones near the river. Later \u00c9lise gave 15 of these away to some friends who lived there."
+    items = [(1, maria), (2, "Solve 3x + 5 = 20 for x."), (3, "Why is water wet?"), (4, elise), (5, "two words"), (6, "1, 2, 3, 5, 8, 13 and 21")]
+    changed = maria.replace("12", "31").replace(" 3 ", " 9 ")
+    docs = [
+        (1, changed), (2, changed.replace("Maria", "Peter")), (3, maria.replace("Maria", "Peter")), (4, "So: " + maria.replace("Maria", "Zo\u00eb") + " Well."), (5, "Please solve 3x + 5 = 20 for x and show each step."), (6, "Please solve 4x + 9 = 31 for x and show each step."),
+        (7, "Tell me: why is water wet? Nobody knows."), (8, "Why is grass wet in the morning when no rain has come down on it at all"), (9, elise.replace("\u00c9lise", "\u00c5sa").replace("40", "70")), (10, "These two words stand in clean text."), (11, "1, 2, 3, 5, 8, 13 and 21 are told"), (12, "2, 3, 4, 6, 9, 14 and 22 are told"), (13, maria.replace("Maria ate", "Peter ate")),
+    ]
+    found = {(r.doc_id, r.item_id): r.changed for r in decontaminate.contaminated(table(spark, docs), table(spark, items, "item_id long, text string")).collect()}
+    assert set(found) == set(brute_contaminated(docs, items))
+    assert {k: v for k, v in found.items() if k[0] != 13} == {(1, 1): True, (2, 1): True, (3, 1): True, (4, 1): True, (5, 2): False, (7, 3): False, (9, 4): True, (11, 6): False}
+
+
 def test_rows_that_share_an_id_are_judged_one_by_one(spark):
     half = len(QUESTION) // 2
     rows = [(7, QUESTION[:half]), (7, QUESTION[half:]), (8, QUESTION), (None, QUESTION)]
