@@ -1,6 +1,7 @@
 """URL lists with dates: each capture is judged by the entries that were active when it was fetched.
 
-List events (kind, value, action, day) become validity intervals: an add opens one, the next event of the same kind and
+Entries are read as captures are: scheme, user, port, query and fragment go, the host is lower-cased and loses dots at its ends (and a leading "*."),
+empty path steps go; what then has no host of two labels is refused (refused() tells which). List events (kind, value, action, day) become validity intervals: an add opens one, the next event of the same kind and
 value closes it. A capture's keys are its URL without scheme, query and fragment, cut at each of its path steps (of those
 numbers of steps that entries have), and its host's suffixes of at least two labels. Keys and intervals meet in an as-of join: equal key and
 valid_from <= fetched < valid_to. Intervals and captures are also cut into spans of DAYS days, so an entry that changed often
@@ -29,6 +30,27 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
 
 
+def _host(url: Column) -> Column:
+    return F.regexp_replace(host_of(url), r"^(?:\*?\.)+|\.+$", "")
+
+
+def _steps(url: Column) -> Column:
+    return F.filter(F.split(F.regexp_extract(url, r"^[^:]+://[^/?#]+([^?#]*)", 1), "/"), lambda x: x != "")
+
+
+def entry_key(value: Column) -> Column:
+    """The key that a list entry names: its host, with its path steps if it has some; null if it names none."""
+    v = F.trim(value)
+    url = F.when(v.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), v).otherwise(F.concat(F.lit("x://"), v))
+    host, steps = _host(url), _steps(url)
+    return F.when(host.rlike(r"^[^.\s]+(\.[^.\s]+)+$"), F.when(F.size(steps) > 0, F.concat(host, F.lit("/"), F.array_join(steps, "/"))).otherwise(host))
+
+
+def refused(events: DataFrame) -> DataFrame:
+    """The list events that name no key or have no day."""
+    return events.filter(entry_key(F.col("value").cast("string")).isNull() | F.col("day").cast("date").isNull())
+
+
 def depths_of(values: DataFrame) -> list[int]:
     """The numbers of path steps that entries `value` have: distinct small numbers, none above the longest entry's steps."""
     return sorted(r[0] for r in values.select((F.size(F.split("value", "/")) - 1).alias("n")).filter("n > 0").distinct().collect())
@@ -37,11 +59,11 @@ def depths_of(values: DataFrame) -> list[int]:
 def keys(url: Column, depths: list[int] | None = None) -> Column:
     """array<string> of the keys that list entries may name: host suffixes of two labels or more, host/path prefixes;
     depths: only prefixes of so many steps."""
-    host = host_of(url)
+    host = _host(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
     suffixes = F.when((host != "") & (n >= 2), F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(labels, i, n), "."))).otherwise(F.array().cast("array<string>"))
-    steps = F.filter(F.split(F.regexp_extract(url, r"^[^:]+://[^/?#]+([^?#]*)", 1), "/"), lambda x: x != "")
+    steps = _steps(url)
     m = F.size(steps)
     wanted = F.sequence(F.lit(1), m) if depths is None else F.filter(F.array(*[F.lit(n) for n in depths]).cast("array<int>"), lambda i: i <= m)
     prefixes = F.when((host != "") & (m >= 1), F.transform(wanted, lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
@@ -50,7 +72,7 @@ def keys(url: Column, depths: list[int] | None = None) -> Column:
 
 def intervals(events: DataFrame) -> DataFrame:
     """(verdict, value, valid_from, valid_to) of events(verdict, value, action, day): action add or remove."""
-    events = with_columns(events, {"verdict": "string", "value": "string", "action": "string", "day": "date"}).filter("day is not null and value is not null").distinct()
+    events = with_columns(events, {"verdict": "string", "value": "string", "action": "string", "day": "date"}).withColumn("value", entry_key(F.col("value"))).filter("day is not null and value is not null").distinct()
     # one event a day for each entry: an add on the day of a remove reopens it
     days = events.groupBy("verdict", "value", "day").agg(F.max(F.col("action") == "add").alias("added"))
     after = F.lead("day").over(W.partitionBy("verdict", "value").orderBy("day"))
