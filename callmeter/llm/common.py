@@ -60,22 +60,26 @@ def with_columns(df: DataFrame, needed: dict[str, str]) -> DataFrame:
     return df.select(*[(F.col(f"`{have[c]}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in needed.items()])
 
 
+#: Columns of documents: no function uses these names for anything else.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
 def beside(*own: str) -> Callable:
-    """For a function (docs, ...) -> DataFrame that works on the columns `own` of docs: docs' other columns are one struct meanwhile, so whatever
-    they are called, they meet no name of the function's. They come back as they were, in docs' order, before columns that the function adds (which
+    """For a function (docs, ...) -> DataFrame that works on the columns `own` of docs: docs' other columns, but for DOCUMENT's, are one struct
+    meanwhile, so whatever they are called, they meet no name of the function's. They come back as they were, in docs' order, before columns that the function adds (which
     take the place of columns of the same name)."""
 
     def around(f: Callable) -> Callable:
         @wraps(f)
         def run(docs: DataFrame, *args, **named) -> DataFrame:
-            others = [c for c in docs.columns if c not in own]
+            others = [c for c in docs.columns if c not in own and c not in DOCUMENT]
             if not others:
                 return f(docs, *args, **named)
             quoted = lambda c: "`" + c.replace("`", "``") + "`"
-            held = docs.select(*[c for c in docs.columns if c in own], F.struct(*[F.col(quoted(c)) for c in others]).alias("_beside"))
+            held = docs.select(*[c for c in docs.columns if c not in others], F.struct(*[F.col(quoted(c)) for c in others]).alias("_beside"))
             out = f(held, *args, **named)
             new = [c for c in out.columns if c not in held.columns]
-            return out.select(*[F.col(c) if c in own else F.col("_beside")[c].alias(c) for c in docs.columns if c not in new], *new)
+            return out.select(*[F.col("_beside")[c].alias(c) if c in others else F.col(c) for c in docs.columns if c not in new], *new)
 
         return run
 
