@@ -18,8 +18,9 @@ a partition's. A version holds the last batch of each stream, so a batch that co
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -148,7 +149,9 @@ class Store:
         new = _measured(arrived).withColumn("bucket", self._bucket(state))
         old = self._known(state, new.select("dedup_key", "bucket")).select(*[F.col(c).alias(f"old_{c}") for c in StructType.fromDDL(KEYS).names])
         met = new.join(old, F.col("dedup_key") == F.col("old_dedup_key"), "left")
-        won = written(met.filter(F.col("old_strength").isNull() | (F.col("strength") > F.col("old_strength"))).withColumn("hidden", F.coalesce("old_hidden", F.lit(False)) | F.col("came_hidden")), "won")
+        won = met.filter(F.col("old_strength").isNull() | (F.col("strength") > F.col("old_strength"))).withColumn("hidden", F.coalesce("old_hidden", F.lit(False)) | F.col("came_hidden"))
+        newly, seen = F.expr("hidden and dedup_key is not null and (not coalesce(old_hidden, false) or not (day <=> old_day))"), Observation()
+        won = written(won.observe(seen, F.count_if(newly).alias("n")), "won")
         arrived = arrived.drop("shadowed")
         stored = arrived.join(won.select(F.col("dedup_key").alias("_key")).filter("_key is not null"), F.col("dedup_key") == F.col("_key"), "left_semi").unionByName(arrived.filter("dedup_key is null"))
         stored = stored.withColumns({"seq": F.lit(v).cast("long"), "gone": F.lit(False), "day": F.to_date("ts")})
@@ -159,16 +162,25 @@ class Store:
         index = won.filter("dedup_key is not null").withColumn("seq", F.lit(v).cast("long")).select("bucket", *StructType.fromDDL(KEYS).names)
         out = won.filter("old_strength is not null and not old_hidden").select(F.lit(-1).alias("sign"), F.col("old_dedup_key").alias("dedup_key"), *[F.col(f"old_{c}").alias(c) for c in ("ts", "provider", *MEASURES)])
         changes = out.unionByName(won.filter("not hidden").select(F.lit(1).alias("sign"), "dedup_key", "ts", "provider", *MEASURES))
-        hidden = won.filter("hidden and dedup_key is not null and (not coalesce(old_hidden, false) or not (day <=> old_day))").select("dedup_key", "day")
-        add = {"rows": self.versions.write(state, both.withColumn("part", _day_name(F.col("day"))), "rows", "part"), "keys": self.versions.write(state, index, "keys", "bucket"), "hidden": self.versions.write(state, hidden.withColumn("part", _day_name(F.col("day"))).drop("day"), "hidden", "part")}
-        self._commit(state, changes, add, streams, {"schema": schema, "buckets": state["values"].get("buckets", self._buckets)})
-
-    def _commit(self, state: dict, changes: DataFrame, add: dict, streams: dict[str, int], values: dict | None = None) -> None:
-        """Adds the changes and their sums by hour to what a version adds, and makes it."""
-        v = state["version"] + 1
-        told = self.versions.write(state, changes.withColumns({"version": F.lit(v).cast("long"), "part": F.lit(f"{v:012d}")}), "changes", "part")
-        seen = self.versions.read([f"{self.versions.folder}/{f}" for f in told.values()], CHANGES)
-        self.versions.commit(state, add=add | {"changes": told, "hours": self._hours(state, seen)}, streams=streams, values=values)
+        writes = {"rows": lambda: self.versions.write(state, both.withColumn("part", _day_name(F.col("day"))), "rows", "part"), "keys": lambda: self.versions.write(state, index, "keys", "bucket")}
+        if seen.get["n"]:
+            hidden = won.filter(newly).select("dedup_key", _day_name(F.col("day")).alias("part"))
+            writes["hidden"] = lambda: self.versions.write(state, hidden, "hidden", "part")
+        self._commit(state, changes, writes, streams, {"schema": schema, "buckets": state["values"].get("buckets", self._buckets)})
+
+    def _commit(self, state: dict, changes: DataFrame, writes: dict[str, Callable[[], dict]], streams: dict[str, int], values: dict | None = None) -> None:
+        """Writes the tables at once, and the changes with their sums by hour, and makes the version."""
+
+        def changed() -> dict:
+            v = state["version"] + 1
+            told = self.versions.write(state, changes.withColumns({"version": F.lit(v).cast("long"), "part": F.lit(f"{v:012d}")}), "changes", "part")
+            seen = self.versions.read([f"{self.versions.folder}/{f}" for f in told.values()], CHANGES)
+            return {"changes": told, "hours": self._hours(state, seen)}
+
+        with ThreadPoolExecutor(len(writes) + 1) as pool:  # Spark runs their jobs side by side
+            last, others = pool.submit(changed), {t: pool.submit(w) for t, w in writes.items()}
+            add = {t: f.result() for t, f in others.items()} | last.result()
+        self.versions.commit(state, add=add, streams=streams, values=values)
 
     def _hours(self, state: dict, changes: DataFrame) -> dict[str, str]:
         hours = changes.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "provider").agg(*_sums(changes)).filter(" or ".join(f"{c} <> 0" for c in SUMS))
@@ -188,8 +200,8 @@ class Store:
         known = self._known(state, asked)
         found = written(asked.join(known.select(F.col("dedup_key").alias("_key"), *[c for c in known.columns if c != "dedup_key"]), F.col("dedup_key") == F.col("_key"), "left").drop("_key").filter("not coalesce(hidden, false)"), "found")
         stored = found.filter("strength is not null")
-        add = {"keys": self.versions.write(state, found.withColumns({"hidden": F.lit(True), "seq": seq}), "keys", "bucket"), "hidden": self.versions.write(state, stored.select("dedup_key", _day_name(F.col("day")).alias("part")), "hidden", "part")}
-        self._commit(state, stored.select(F.lit(-1).alias("sign"), "dedup_key", "ts", "provider", *MEASURES), add, {stream: number} if stream else {}, {"buckets": state["values"].get("buckets", self._buckets)})
+        writes = {"keys": lambda: self.versions.write(state, found.withColumns({"hidden": F.lit(True), "seq": seq}), "keys", "bucket"), "hidden": lambda: self.versions.write(state, stored.select("dedup_key", _day_name(F.col("day")).alias("part")), "hidden", "part")}
+        self._commit(state, stored.select(F.lit(-1).alias("sign"), "dedup_key", "ts", "provider", *MEASURES), writes, {stream: number} if stream else {}, {"buckets": state["values"].get("buckets", self._buckets)})
 
     def hidden_among(self, keys: DataFrame) -> DataFrame:
         """Those of keys(dedup_key) that are hidden."""
