@@ -39,7 +39,7 @@ def folds(rows, period):
     return rows.groupBy(F.date_trunc(period, "ts").cast("timestamp_ntz"), "provider").agg(F.sum("input_tokens"), F.sum("output_tokens"), F.sum(F.col("cache_read") + F.col("cache_create")), F.sum("reasoning"), F.count("*"))
 
 
-@pytest.mark.parametrize(("seed", "splits", "buckets"), [(1, 1, 4), (2, 4, 64), (3, 7, 1)])
+@pytest.mark.parametrize(("seed", "splits", "buckets"), [(2, 3, 64), (3, 5, 1)])
 def test_any_split_gives_the_strongest_rows_and_their_sums(spark, tmp_path, seed, splits, buckets):
     observed, rnd = observations(spark, seed).cache(), random.Random(seed)
     store = Store(spark, str(tmp_path), buckets)
