@@ -151,6 +151,18 @@ def bar_tooltip(label: Column, include_cache: bool) -> Column:
     return F.concat(label, F.lit(": "), F.concat_ws(DOT, *parts), F.lit(" (incl. cache)" if include_cache else ""))
 
 
+def grid_tooltip(day: Column, total: Column, today: Column, include_cache: bool) -> Column:
+    """Of a day of the activity grid, from its provider columns; empty for days to come."""
+    parts = [F.concat(F.lit(f"{name} "), compact(F.col(p))) for p, name in NAMES.items()]
+    told = F.concat(slot_label(day, "month"), F.lit(": "), compact(total), F.lit(" tokens ("), F.concat_ws(DOT, *parts), F.lit(")" + (f"{DOT}incl. cache" if include_cache else "")))
+    return F.when(day > today, "").otherwise(told)
+
+
+def quota_tooltip(label: Column, utilization: Column, nearest: Column) -> Column:
+    """Of a limit cell: its share rounded to a whole percent, and whether it is the nearest to its limit."""
+    return F.concat(label, F.lit(": "), percent(utilization).cast("string"), F.lit("% used"), F.when(nearest, ", nearest limit").otherwise(""))
+
+
 def edge_labels(first: Column, last: Column, as_of: str, period: str) -> tuple[Column, Column]:
     """Labels of a chart's first and last slot."""
     if period == "today":

@@ -136,6 +136,16 @@ query("slot_texts", f"with {DAYS} select day, strftime(day, '%Y-%m-%d') as key,
 TOTAL = " + ".join(f'"{p}"' for p in PROVIDERS)
 
 
+GRID = "g as (select cast(date '2024-01-28' - cast(175 - i as integer) as date) as day from range(182) r(i)), b as (select g.day, " + ", ".join(f"cast(coalesce(sum(case when provider = '{p}' then input_tokens + output_tokens + cache_read + cache_create end), 0) as bigint) as \"{p}\"" for p in PROVIDERS) + " from g left join x on cast(x.ts as date) = g.day group by 1)"
+CELL = "concat(strftime(day, '%a %b %-d'), ': ', " + compact(f"({TOTAL})") + ", ' tokens (', " + ", ' · ', ".join(f"concat('{name} ', {compact(chr(34) + p + chr(34))})" for p, name in texts.NAMES.items()) + ", ') · incl. cache')"
+query("grid_texts", f"with {GRID} select day, case when day > date '2024-01-30' then '' else {CELL} end as tooltip from b")(
+    lambda s, d: usage.heatmap(x := usage_events(s, d), usage.day_fold(x.limit(0)), AS_OF).select("day", texts.grid_tooltip(F.col("day"), F.col("total"), F.to_date(F.lit(AS_OF)), True).alias("tooltip"))
+)
+query("quota_texts", f"select event_id, concat({WINDOW}, ': ', cast(cast(floor(utilization + 0.5) as bigint) as varchar), '% used', case when utilization > 90 then ', nearest limit' else '' end) as tooltip from ({READING})")(
+    lambda s, d: _readings(s, d).select("event_id", texts.quota_tooltip(fmt.window_label(F.col("minutes")), F.col("utilization"), F.col("utilization") > 90).alias("tooltip"))
+)
+
+
 def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = usage.daily(usage_events(spark, sf_dir), "month", AS_OF, True)
     total = sum((F.col(p) for p in PROVIDERS[1:]), F.col(PROVIDERS[0]))
