@@ -1,7 +1,8 @@
 """Lines with byte offsets, as a batch source and as a stream that tails growing files.
 
 `spark.read.format("offset_lines")` cuts large files into byte ranges; a range's reader starts at the first line that begins in
-it. Filters on mtime and path are pushed into the listing, so files that they leave out are no partitions.
+it. A task reads a run of ranges, one after the other: of small ranges or files as many as make TASKS tasks of all, at least BLOCK_BYTES and at most
+RANGE_BYTES. Filters on mtime and path are pushed into the listing, so files that they leave out are no partitions.
 
 `spark.readStream` takes what has been added to files, by sizes alone: no file is opened on the driver. A line belongs to the range that its end is in, and the
 range's task looks back for its beginning, so a partial last line waits. With the option `offsets` (a folder on shared storage) the stream's offset
@@ -23,7 +24,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 SCHEMA = "path string, byte_offset long, line string, mtime timestamp"
-RANGE_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
+RANGE_BYTES, BATCH_BYTES, BLOCK_BYTES = 64 << 20, 4 << 20, 1 << 20
+#: Tasks that small ranges are dealt into, as long as that makes none of less than BLOCK_BYTES or more than RANGE_BYTES.
+TASKS = 256
 #: What a micro-batch with `offsets` reads at most, and after how many numbers the table of all files is written anew.
 MAX_BYTES, MAX_FILES, TABLE_EVERY = 4 << 30, 10_000, 100
 
@@ -34,6 +37,34 @@ class RangePartition(InputPartition):
         self.path, self.start, self.end, self.mtime = path, start, end, mtime
 
 
+class RunPartition(InputPartition):
+    """Ranges that one task reads: (first start, end of the last, range_bytes, mtime) of each file; the ranges of a file follow each other."""
+
+    def __init__(self, files: list[tuple[str, int, int, float]], step: int) -> None:
+        super().__init__((files, step))
+        self.files, self.step = files, step
+
+    def ranges(self) -> Iterator[list[RangePartition]]:
+        """The ranges of each file."""
+        for path, start, end, mtime in self.files:
+            yield [RangePartition(path, at, min(at + self.step, end), mtime) for at in range(start, end, self.step)]
+
+
+def _runs(files: list[tuple[str, int, int, float]], step: int) -> list[RunPartition]:
+    """The ranges of step bytes of files (path, start, end, mtime), in their order, dealt into runs of at least one range."""
+    most = min(RANGE_BYTES, max(BLOCK_BYTES, -(-sum(end - start for _, start, end, _ in files) // TASKS)))
+    found, held, left = [], [], most
+    for path, at, end, mtime in files:
+        while at < end:
+            to = min(end, at + max(1, left // step) * step)  # cut where a range ends
+            held.append((path, at, to, mtime))
+            left, at = left - (to - at), to
+            if left < min(step, most):
+                found.append(RunPartition(held, step))
+                held, left = [], most
+    return [*found, RunPartition(held, step)] if held else found
+
+
 class _Files:
     """Listing and reading that both readers share. Options: path, glob (*.jsonl), modified_after (epoch seconds), range_bytes,
     max_line (bytes beyond which a line is skipped; none unless it is given)."""
@@ -48,28 +79,18 @@ class _Files:
         hidden = lambda p: any(x.startswith(".") for x in p[len(path) :].split("/"))
         return sorted((f for f in found if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, self.glob) and not hidden(f.path) and f.mtime.timestamp() >= self.after), key=lambda f: f.path)
 
-    def read(self, part: RangePartition) -> Iterator[pa.RecordBatch]:
-        """Lines that begin in [start, end); a line over max_line, if that is given, is skipped."""
-        system, _ = fs.FileSystem.from_uri(self.root)
-        rows: list[tuple[int, str]] = []
-        held = 0
-        with system.open_input_file(part.path) as f:
-            f.seek(max(0, part.start - 1))
-            stream = _Lines(f, max(0, part.start - 1), self.longest)
-            if part.start:
-                stream.next()  # what ends at or after start - 1 began before it, unless that byte is a line end
-            while stream.at < part.end:
-                at, line = stream.at, stream.next()
-                if line is None:
-                    break
-                if line.strip():
-                    rows.append((at, line.decode("utf-8", "replace")))
-                    held += len(line)
-                if held >= BATCH_BYTES:
-                    yield self._batch(part, rows)
-                    rows, held = [], 0
-        if rows:
-            yield self._batch(part, rows)
+    def lines(self, f: pa.NativeFile, part: RangePartition) -> Iterator[tuple[int, str]]:
+        """Lines that begin in [start, end), with their offsets; a line over max_line, if that is given, is skipped."""
+        f.seek(max(0, part.start - 1))
+        stream = _Lines(f, max(0, part.start - 1), self.longest, part.end - part.start)
+        if part.start:
+            stream.next()  # what ends at or after start - 1 began before it, unless that byte is a line end
+        while stream.at < part.end:
+            at, line = stream.at, stream.next()
+            if line is None:
+                break
+            if line.strip():
+                yield at, line.decode("utf-8", "replace")
 
     @staticmethod
     def _batch(part: RangePartition, rows: list[tuple[int, str]]) -> pa.RecordBatch:
@@ -79,10 +100,12 @@ class _Files:
 
 
 class _Lines:
-    """Lines of a file from an offset on; what is read beyond one is kept in pieces, so a long line is joined once."""
+    """Lines of a file from an offset on; what is read beyond one is kept in pieces, so a long line is joined once. It reads a block of about
+    `wanted` bytes first, and larger ones while lines go on."""
 
-    def __init__(self, f, at: int, longest: int | None) -> None:
+    def __init__(self, f, at: int, longest: int | None, wanted: int = BLOCK_BYTES) -> None:
         self.f, self.at, self.longest, self.held = f, at, longest, b""
+        self.block = min(BLOCK_BYTES, wanted + 256)
         self.ended = True  # whether the last line had an end
 
     def next(self) -> bytes | None:
@@ -93,7 +116,8 @@ class _Lines:
             parts.append(self.held)
             if self.longest and n > self.longest:
                 parts.clear()
-            self.held = self.f.read(1 << 20)
+            self.held = self.f.read(self.block)
+            self.block = min(BLOCK_BYTES, 2 * self.block)
             if not self.held:
                 self.at += n
                 self.ended = False
@@ -119,10 +143,24 @@ class OffsetLinesReader(DataSourceReader, _Files):
 
     def partitions(self) -> list[InputPartition]:
         chosen = [f for f in self.files() if all(test(f) for test in self.tests)]
-        return [RangePartition(f.path, at, min(at + self.range, f.size), f.mtime.timestamp()) for f in chosen for at in range(0, f.size, self.range)]
+        return _runs([(f.path, 0, f.size, f.mtime.timestamp()) for f in chosen], self.range)
 
-    def read(self, partition: RangePartition) -> Iterator[pa.RecordBatch]:
-        return _Files.read(self, partition) if isinstance(partition, RangePartition) else iter(())
+    def read(self, partition: RunPartition) -> Iterator[pa.RecordBatch]:
+        if not isinstance(partition, RunPartition):
+            return
+        system, _ = fs.FileSystem.from_uri(self.root)
+        for parts in partition.ranges():
+            rows, held = [], 0
+            with system.open_input_file(parts[0].path) as f:
+                for part in parts:
+                    for row in self.lines(f, part):
+                        rows.append(row)
+                        held += len(row[1])
+                        if held >= BATCH_BYTES:
+                            yield self._batch(part, rows)
+                            rows, held = [], 0
+            if rows:
+                yield self._batch(parts[0], rows)
 
 
 _COMPARE = {GreaterThan: lambda x, v: x > v, GreaterThanOrEqual: lambda x, v: x >= v, LessThan: lambda x, v: x < v, LessThanOrEqual: lambda x, v: x <= v, EqualTo: lambda x, v: x == v, In: lambda x, v: x in v, StringStartsWith: lambda x, v: x.startswith(v)}
