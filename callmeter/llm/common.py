@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import scratch, shared_folder
+from ..scratch import kept, passing, remove, scratch, shared_folder
 from ..scratch import written as cut
 
-__all__ = ["cut", "scratch", "shared_folder"]
+__all__ = ["cut", "kept", "passing", "scratch", "shared_folder"]
 
 #: Rows and bytes of values up to which a written side is broadcast; beyond either, joins shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
@@ -212,7 +212,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small_star = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        e = cut(small_star, "edges")
+        before, e = e, cut(small_star, "edges")
+        remove(before)
         # done when the edges are stars: each node has one root, and no root has one
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("n")).unionByName(e.select(F.col("v").alias("x"), F.lit(1 << 20).alias("n")).distinct())
         if ends.groupBy("x").agg(F.sum("n").alias("n")).filter(f"n > 1 and n <> {1 << 20}").isEmpty():

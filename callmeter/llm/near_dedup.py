@@ -22,6 +22,7 @@ doc_id takes part and is never a component's id unless the component has no othe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, log, log1p
 
 import numpy as np
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import beside, bit_set, components, counted, cut, in_bits, shingle_sets, small_cut, with_columns
+from .common import beside, bit_set, components, counted, cut, in_bits, kept, passing, shingle_sets, small_cut, with_columns
 
 ROWS, MISS = 4, 7.5e-6
 #: Members of a group that its centre is taken from; any number gives right results.
@@ -38,6 +39,8 @@ SAMPLE = 16
 #: Members of a group up to which its pairs of fitting size and different components are compared on full sets (120 pairs
 #: at most), and of a group around a centre up to which differences are compared in the join; larger ones are split.
 FEW, MANY = 16, 256
+#: Pairs that are compared on full sets at a time, and in how many parts at most: each part reads the written sets again, and shuffles its own.
+PART_PAIRS, PARTS = 10_000, 8
 
 
 def minmax_signature(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
@@ -148,7 +151,17 @@ def _pairs(groups: DataFrame, condition: str, *more: str) -> DataFrame:
 
 
 def _direct(pairs: DataFrame, sets: DataFrame, need: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) that full sets confirm. pairs: a written table."""
+    """The pairs (u, v) that full sets confirm. pairs: a written table. The sets are the largest rows that are shuffled, so many pairs are taken in parts,
+    and a part's shuffle files go before the next."""
+    n = pairs.count()
+    parts = max(1, min(PARTS, n // PART_PAIRS))
+    if parts == 1:
+        return _confirmed(pairs, sets, need)
+    found = [cut(_confirmed(pairs.filter(F.pmod(F.xxhash64("u"), F.lit(parts)) == i), sets, need), "confirmed") for i in range(parts)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, need: tuple[int, int]) -> DataFrame:
     p, q = need
     keys = small_cut(pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct(), "keys")
     held = sets.join(keys, "key", "left_semi")
@@ -200,15 +213,16 @@ def _found(docs: DataFrame, shingle: int, need: tuple[int, int]) -> DataFrame:
     bands = sig.filter("key is not null").select(F.explode("bands").alias("band"), "key")
     hubs = bands.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("top")).filter("hub <> top").select("band", "hub")
     pairs, n = counted(bands.join(hubs, "band").filter("key <> hub").select(F.col("key").alias("x"), "hub").distinct(), "pairs")
-    labels = None
-    if n:
-        members = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("hub").alias("key"))).distinct()
-        wanted = cut(sig.filter("key is not null").groupBy("key").agg(F.min("text_hash").alias("text_hash")).join(members, "key", "left_semi").select("text_hash").distinct(), "wanted")
-        sets = cut(full_sets(docs, wanted, shingle), "sets")
-        labels = linked(pairs, sets, need)
-    classes = sig.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    classes = classes.withColumn("root", F.col("key")) if labels is None else classes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    classes = cut(classes, "classes")
+    with passing():  # the sets and what links them are the largest tables by far
+        labels = None
+        if n:
+            members = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("hub").alias("key"))).distinct()
+            wanted = cut(sig.filter("key is not null").groupBy("key").agg(F.min("text_hash").alias("text_hash")).join(members, "key", "left_semi").select("text_hash").distinct(), "wanted")
+            sets = cut(full_sets(docs, wanted, shingle), "sets")
+            labels = linked(pairs, sets, need)
+        classes = sig.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
+        classes = classes.withColumn("root", F.col("key")) if labels is None else classes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        classes = kept(cut(classes, "classes"))
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(ids, "root").select("key", "root", "component_id")
     out = sig.select("doc_id", "text_hash", "n_shingles", "key").join(named, "key", "left")
@@ -225,7 +239,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, need: tuple[int, int] = (
 def one_of_each(docs: DataFrame, shingle: int = 5, need: tuple[int, int] = (80, 100)) -> DataFrame:
     """docs with one document of each component: of its smallest doc_id, there of the smallest text hash. Rows repeated whole
     (same doc_id, same text) become one. A document is known by its doc_id, which may be null or repeated, and its text's hash."""
-    found = cut(_found(docs, shingle, need), "near")
+    with passing():
+        found = kept(cut(_found(docs, shingle, need), "near"))
     same = F.col("doc_id").eqNullSafe(F.col("component_id"))
     first = found.filter(same & F.col("root").isNotNull())
     tied = small_cut(first.groupBy("root").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).filter("lo <> hi"), "tied")

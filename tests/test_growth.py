@@ -29,3 +29,37 @@ def test_runs_of_ranges_over_files(spark, tmp_path):
     assert found.rdd.getNumPartitions() < 20
     rows = [(r.path.rsplit("/", 1)[1], r.byte_offset, r.line) for r in found.collect()]
     assert len(rows) == len(want) and set(rows) == want
+
+
+def test_scratch_tables_of_a_scope_go(spark):
+    """What near-duplicates write on the way stood until the driver's end."""
+    from pathlib import Path
+
+    from callmeter.scratch import kept, passing, shared_folder, written
+
+    there = lambda: {p.name.split("-")[0] for p in Path(shared_folder(spark).removeprefix("file://"), "callmeter").iterdir()}
+    with passing():
+        with passing():
+            written(spark.range(3), "inner_gone")
+            two = kept(written(spark.range(3), "inner_kept"))
+        assert "inner_gone" not in there() and two.count() == 3
+        three = kept(written(two, "outer_kept"))
+    assert "inner_kept" not in there() and three.count() == 3
+
+
+def test_near_duplicates_leave_no_sets_and_parts_lose_no_link(spark, monkeypatch):
+    from pathlib import Path
+
+    from callmeter.llm import near_dedup
+    from callmeter.scratch import shared_folder
+
+    words = lambda i: [f"w{i}x{k}" for k in range(60)]
+    texts = [(10 * i + j, " ".join([*words(i), *[f"v{j}"] * (j > 0)])) for i in range(30) for j in range(3)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    folder = Path(shared_folder(spark).removeprefix("file://"), "callmeter")
+    count = lambda: len(list(folder.glob("sets-*")) + list(folder.glob("confirmed-*")) + list(folder.glob("edges-*")))
+    before = count() if folder.exists() else 0
+    monkeypatch.setattr(near_dedup, "PART_PAIRS", 8)
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert found == {d: d // 10 * 10 for d, _ in texts}
+    assert count() == before
