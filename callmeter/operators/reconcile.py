@@ -27,12 +27,16 @@ def strength() -> Column:
     return F.struct(_rank("token_accuracy", ACCURACY_RANK), _rank("status", TERMINAL_RANK), evidence, metrics, -F.col("arrival_seq"))
 
 
-def strongest_per_key(observations: DataFrame) -> DataFrame:
-    """One row for each dedup_key. Rows without a key are calls of their own."""
+def strongest_keyed(observations: DataFrame) -> DataFrame:
+    """One row for each dedup_key, dealt by it; rows without one are left out."""
     # rank 1 of a window: weaker rows go before the exchange, and whole rows cross it once
     first = F.row_number().over(W.partitionBy("dedup_key").orderBy(strength().desc()))
-    best = observations.filter("dedup_key is not null").withColumn("_rank", first).filter("_rank = 1").select(*observations.columns)
-    return best.unionByName(observations.filter("dedup_key is null"))
+    return observations.filter("dedup_key is not null").withColumn("_rank", first).filter("_rank = 1").select(*observations.columns)
+
+
+def strongest_per_key(observations: DataFrame) -> DataFrame:
+    """One row for each dedup_key. Rows without a key are calls of their own."""
+    return strongest_keyed(observations).unionByName(observations.filter("dedup_key is null"))
 
 
 def _micros(ts: str) -> Column:

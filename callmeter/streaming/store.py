@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import retention
-from ..operators.reconcile import strength, strongest_per_key
+from ..operators.reconcile import strength, strongest_keyed, strongest_per_key
 from ..operators.usage import day_fold
 from ..scratch import written
 from ..versions import NONE, Versions
@@ -48,12 +48,12 @@ def _day_name(day: Column) -> Column:
     return day.cast("string")  # a null day is the partition NONE
 
 
-def _measured(rows: DataFrame) -> DataFrame:
+def _measured(rows: DataFrame, *more: Column) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long"))
     s = strength()
     return rows.select(
         "dedup_key", F.to_date("ts").alias("day"), F.col("ts").cast("timestamp_ntz").alias("ts"), "provider", zero("input_tokens").alias("input_tokens"), zero("output_tokens").alias("output_tokens"),
-        (zero("cache_read") + zero("cache_create")).alias("cache"), zero("reasoning").alias("reasoning"), (F.coalesce("shadowed", F.lit(False)) if "shadowed" in rows.columns else F.lit(False)).alias("came_hidden"), F.struct(*[s.getField(f"col{i + 1}").cast(t).alias(n) for i, (n, t) in enumerate(STRENGTH)]).alias("strength"),
+        (zero("cache_read") + zero("cache_create")).alias("cache"), zero("reasoning").alias("reasoning"), (F.coalesce("shadowed", F.lit(False)) if "shadowed" in rows.columns else F.lit(False)).alias("came_hidden"), F.struct(*[s.getField(f"col{i + 1}").cast(t).alias(n) for i, (n, t) in enumerate(STRENGTH)]).alias("strength"), *more,
     )
 
 
@@ -142,18 +142,19 @@ class Store:
 
     def _add(self, state: dict, batch: DataFrame, streams: dict[str, int]) -> None:
         v = state["version"] + 1
-        rows = strongest_per_key(batch.drop("day"))
-        if live := state["values"].get("live_from"):
-            rows = rows.filter(F.col("ts").isNull() | (F.col("ts") >= F.lit(live).cast("date")))
-        arrived = written(rows, "arrived")
-        new = _measured(arrived).withColumn("bucket", self._bucket(state))
-        old = self._known(state, new.select("dedup_key", "bucket")).select(*[F.col(c).alias(f"old_{c}") for c in StructType.fromDDL(KEYS).names])
+        arrived = written(batch.drop("day"), "arrived")
+        live = state["values"].get("live_from")
+        inside = F.col("ts").isNull() | (F.col("ts") >= F.lit(live).cast("date")) if live else F.lit(True)
+        row = F.struct(*[c for c in arrived.columns if c != "shadowed"]).alias("row")
+        # whole rows cross one exchange by key, where the strongest is found and meets what is known of it
+        new = _measured(strongest_keyed(arrived).filter(inside), row)
+        old = self._known(state, arrived.select("dedup_key").withColumn("bucket", self._bucket(state))).select(*[F.col(c).alias(f"old_{c}") for c in StructType.fromDDL(KEYS).names])
         met = new.join(old, F.col("dedup_key") == F.col("old_dedup_key"), "left")
+        met = met.unionByName(_measured(arrived.filter("dedup_key is null").filter(inside), row), allowMissingColumns=True).withColumn("bucket", self._bucket(state))
         won = met.filter(F.col("old_strength").isNull() | (F.col("strength") > F.col("old_strength"))).withColumn("hidden", F.coalesce("old_hidden", F.lit(False)) | F.col("came_hidden"))
         newly, seen = F.expr("hidden and dedup_key is not null and (not coalesce(old_hidden, false) or not (day <=> old_day))"), Observation()
         won = written(won.observe(seen, F.count_if(newly).alias("n")), "won")
-        arrived = arrived.drop("shadowed")
-        stored = arrived.join(won.select(F.col("dedup_key").alias("_key")).filter("_key is not null"), F.col("dedup_key") == F.col("_key"), "left_semi").unionByName(arrived.filter("dedup_key is null"))
+        stored = won.select("row.*")
         stored = stored.withColumns({"seq": F.lit(v).cast("long"), "gone": F.lit(False), "day": F.to_date("ts")})
         moved = won.filter("old_strength is not null and not (day <=> old_day)")
         left = moved.select(F.col("old_dedup_key").alias("dedup_key"), F.col("old_day").alias("day"), F.lit(v).cast("long").alias("seq"), F.lit(True).alias("gone"))
@@ -173,7 +174,7 @@ class Store:
 
         def changed() -> dict:
             v = state["version"] + 1
-            told = self.versions.write(state, changes.withColumns({"version": F.lit(v).cast("long"), "part": F.lit(f"{v:012d}")}), "changes", "part")
+            told = self.versions.write(state, changes.withColumns({"version": F.lit(v).cast("long"), "part": F.lit(f"{v:012d}")}), "changes", "part", one=True)
             seen = self.versions.read([f"{self.versions.folder}/{f}" for f in told.values()], CHANGES)
             return {"changes": told, "hours": self._hours(state, seen)}
 

@@ -63,3 +63,24 @@ def test_near_duplicates_leave_no_sets_and_parts_lose_no_link(spark, monkeypatch
     found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
     assert found == {d: d // 10 * 10 for d, _ in texts}
     assert count() == before
+
+
+def test_stored_rows_come_from_the_exchange_by_key_and_changes_from_none(spark, tmp_path, monkeypatch):
+    """Whole rows were joined again with the winners' keys, and changes were dealt by a column of one value."""
+    from callmeter.sources.adapter import usage_events
+    from callmeter.streaming import store as stores
+
+    x = usage_events(spark, "/root/testdata/sf0.001")
+    plans = {}
+    store = stores.Store(spark, f"file://{tmp_path}/calls")
+    store.upsert()(x.filter("arrival_seq % 2 = 0"), 0)
+    write = store.versions.write
+
+    def seen(state, rows, table, by, **named):
+        plans[table] = (rows._jdf.queryExecution().optimizedPlan().toString(), named)
+        return write(state, rows, table, by, **named)
+
+    monkeypatch.setattr(store.versions, "write", seen)
+    store.upsert()(x, 1)
+    assert "Join" not in plans["rows"][0] and plans["changes"][1] == {"one": True}
+    assert store.rows().count() == x.count()
