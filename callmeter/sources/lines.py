@@ -101,30 +101,30 @@ class _Files:
 
 class _Lines:
     """Lines of a file from an offset on; what is read beyond one is kept in pieces, so a long line is joined once. It reads a block of about
-    `wanted` bytes first, and larger ones while lines go on."""
+    `wanted` bytes first, and larger ones while lines go on. Lines are cut out of a block by their place in it; the block itself is not copied."""
 
     def __init__(self, f, at: int, longest: int | None, wanted: int = BLOCK_BYTES) -> None:
-        self.f, self.at, self.longest, self.held = f, at, longest, b""
+        self.f, self.at, self.longest, self.held, self.place = f, at, longest, b"", 0
         self.block = min(BLOCK_BYTES, wanted + 256)
         self.ended = True  # whether the last line had an end
 
     def next(self) -> bytes | None:
         """The next line without its end; b"" for one over the limit; None at the end of the file."""
         parts, n = [], 0
-        while (end := self.held.find(b"\n")) < 0:
-            n += len(self.held)
-            parts.append(self.held)
+        while (end := self.held.find(b"\n", self.place)) < 0:
+            n += len(self.held) - self.place
+            parts.append(self.held[self.place :])
             if self.longest and n > self.longest:
                 parts.clear()
-            self.held = self.f.read(self.block)
+            self.held, self.place = self.f.read(self.block), 0
             self.block = min(BLOCK_BYTES, 2 * self.block)
             if not self.held:
                 self.at += n
                 self.ended = False
                 return None if not n else b"".join(parts)
-        n += end
-        parts.append(self.held[:end])
-        self.held = self.held[end + 1 :]
+        n += end - self.place
+        parts.append(self.held[self.place : end])
+        self.place = end + 1
         self.at += n + 1
         return b"" if self.longest and n > self.longest else b"".join(parts)
 
