@@ -47,7 +47,8 @@ def transcripts(lines: DataFrame) -> DataFrame:
     """Assistant calls; a message without an id is a call of its own, keyed by where it stands."""
     rows = _strict(lines.filter(F.col("line").contains('"assistant"')), ASSISTANT).filter("o.type = 'assistant' and o.message.usage is not null and o.message.model <> '<synthetic>'")
     place = F.concat_ws(":", "path", F.col("byte_offset").cast("string"))
-    key = F.when(F.col("o.message.id").isNull(), place).otherwise(F.concat("o.message.id", F.lit(":"), F.coalesce("o.requestId", F.lit(""))))
+    # concat_ws is never null, so Spark knows that no row is without a key, and does not read the lines again for such rows
+    key = F.when(F.col("o.message.id").isNull(), place).otherwise(F.concat_ws(":", "o.message.id", F.coalesce("o.requestId", F.lit(""))))
     u = "o.message.usage."
     return rows.select(key.alias("dedup_key"), _time(F.col("o.timestamp")).alias("ts"), provider_of_model(F.col("o.message.model")).alias("provider"), F.lit("transcript").alias("source"), F.col("o.message.model").alias("model"), F.coalesce("o.sessionId", stem(F.col("path"))).alias("session_id"), last_part(F.col("o.cwd")).alias("project"), _zero(u + "input_tokens").alias("input_tokens"), _zero(u + "output_tokens").alias("output_tokens"), _zero(u + "cache_read_input_tokens").alias("cache_read"), _zero(u + "cache_creation_input_tokens").alias("cache_create"), F.lit(0).cast("long").alias("reasoning"), F.lit("exact").alias("token_accuracy"), F.lit("succeeded").alias("status"), F.col("byte_offset").alias("arrival_seq"))
 

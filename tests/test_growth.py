@@ -97,3 +97,19 @@ def test_stored_rows_come_from_the_exchange_by_key_and_changes_from_none(spark,
     store.upsert()(x, 1)
     assert "Join" not in plans["rows"][0] and plans["changes"][1] == {"one": True}
     assert store.rows().count() == x.count()
+
+
+def test_collected_lines_are_read_once(spark, tmp_path):
+    """Rows without a key are taken beside the strongest of each key; lines whose parsers always give a key were read again for them."""
+    from callmeter.operators.reconcile import strongest_per_key
+    from callmeter.sources import collect, parse
+
+    (tmp_path / "a.jsonl").write_text("{}\n")
+    lines.register(spark)
+    read = spark.read.format("offset_lines").option("path", str(tmp_path)).load()
+    for found in (parse.transcripts(read), parse.lmstudio(read), parse.codex_sessions(read)):
+        events = collect.as_usage_events(found)
+        assert not events.schema["dedup_key"].nullable
+        assert " Union" not in strongest_per_key(events)._jdf.queryExecution().optimizedPlan().toString()
+    made = spark.createDataFrame([("p", 5, '{"type":"assistant","message":{"model":"m","usage":{"input_tokens":1}}}', None), ("p", 9, '{"type":"assistant","requestId":"r","message":{"id":"i","model":"m","usage":{}}}', None)], "path string, byte_offset long, line string, mtime timestamp")
+    assert sorted(r.dedup_key for r in parse.transcripts(made).collect()) == ["i:r", "p:5"]
