@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import performance, retention
-from .operators.reconcile import strongest_per_key
+from .operators.reconcile import strongest_keyed
 from .schema import USAGE_EVENT
 from .sources import parse
 from .versions import Versions
@@ -43,15 +43,15 @@ def _journal(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_journal(spark: SparkSession, folder: str, as_of: str) -> DataFrame:
-    """The strongest event of each key within the live window."""
-    return strongest_per_key(retention.live(_journal(spark, folder), as_of))
+    """The strongest event of each key within the live window. A journal line has a key, so the lines are read once."""
+    return strongest_keyed(retention.live(_journal(spark, folder), as_of))
 
 
 def compact_journal(spark: SparkSession, folder: str, into: str | None = None) -> None:
     """Writes the strongest event of each key, by time (ranges of time over files, sorted within each), in the place of all that is there, or as
     another folder's journal. Events of any age stay, so none is lost that history does not hold yet. The version before stays readable until the next
     compaction."""
-    best = journal_lines(strongest_per_key(_journal(spark, folder)).orderBy("ts", "arrival_seq"))
+    best = journal_lines(strongest_keyed(_journal(spark, folder)).orderBy("ts", "arrival_seq"))
     versions = Versions(spark, into or folder)
     state = versions.latest()
     versions.commit(state, put={"lines": {"all": versions.write_text(state, best, "lines")}})

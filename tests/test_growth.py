@@ -113,3 +113,22 @@ def test_collected_lines_are_read_once(spark, tmp_path):
         assert " Union" not in strongest_per_key(events)._jdf.queryExecution().optimizedPlan().toString()
     made = spark.createDataFrame([("p", 5, '{"type":"assistant","message":{"model":"m","usage":{"input_tokens":1}}}', None), ("p", 9, '{"type":"assistant","requestId":"r","message":{"id":"i","model":"m","usage":{}}}', None)], "path string, byte_offset long, line string, mtime timestamp")
     assert sorted(r.dedup_key for r in parse.transcripts(made).collect()) == ["i:r", "p:5"]
+
+
+def test_a_journal_is_compressed_in_bounded_files_and_read_once(spark, tmp_path, monkeypatch):
+    """Plain lines made 20 times the bytes of the rows' Parquet, and each load read them twice, once for rows without a key, of which there are none."""
+    from callmeter import sinks, versions
+    from callmeter.sources import collect
+    from callmeter.sources.adapter import usage_events
+
+    monkeypatch.setattr(versions, "FILE_LINES", 100)
+    rows, folder = collect.as_usage_events(usage_events(spark, "/root/testdata/sf0.001")).coalesce(1), str(tmp_path / "journal")
+    sinks.append_journal(rows, folder)
+    files = list((tmp_path / "journal").glob("lines/*/part-*"))
+    n = rows.count()
+    assert len(files) == -(-n // 100)
+    plain = sinks.journal_lines(rows).selectExpr("sum(octet_length(value)) as n").first().n
+    assert sum(f.stat().st_size for f in files) < plain / 3
+    loaded = sinks.load_journal(spark, folder, "2024-01-01 00:00:00")
+    assert loaded._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    assert sorted(map(tuple, loaded.select(*rows.columns).collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
