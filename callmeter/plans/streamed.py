@@ -21,9 +21,24 @@ from .kept import US
 from .registry import query
 
 
-def in_steps(made: DataFrame, step: str, n: int, start: Callable[[DataFrame], DataStreamWriter]) -> None:
-    """Writes the rows of each step (0 to n - 1) of made and takes them through the stream, which starts anew each time."""
+#: Whether a start ends with a micro-batch without rows, for what the watermark alone brings out.
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def in_steps(made: DataFrame, step: str, n: int, start: Callable[[DataFrame], DataStreamWriter], no_data: bool = True) -> None:
+    """Writes the rows of each step (0 to n - 1) of made and takes them through the stream, which starts anew each time. no_data: also through a micro-batch
+    without rows, where the watermark alone brings something out."""
     spark, folder = made.sparkSession, scratch(made.sparkSession, "stream")
+    before = spark.conf.get(NO_DATA)
+    try:
+        spark.conf.set(NO_DATA, str(no_data).lower())
+        _in_steps(made, step, n, start, folder)
+    finally:
+        spark.conf.set(NO_DATA, before)
+
+
+def _in_steps(made: DataFrame, step: str, n: int, start: Callable[[DataFrame], DataStreamWriter], folder: str) -> None:
+    spark = made.sparkSession
     made = written(made, "steps")
     for i in range(n):
         made.filter(F.col(step) == i).drop(step).write.mode("append").parquet(f"{folder}/in")
@@ -50,7 +65,7 @@ STEP = "cast(floor((day(ts) - 1) / 11.0) as int)"
 
 def _shadows(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, store = usage_events(spark, sf_dir, True).filter("provider = 'ollama'"), Store(spark, scratch(spark, "calls"))
-    in_steps(x.withColumn("step", F.expr(STEP)), "step", 3, lambda rows: shadows.pairs(rows, "1 hour").writeStream.foreachBatch(shadows.hide(store)))
+    in_steps(x.withColumn("step", F.expr(STEP)), "step", 3, lambda rows: shadows.pairs(rows, "1 hour").writeStream.foreachBatch(shadows.hide(store)), no_data=False)
     store.upsert()(x, 0)
     return store.rows().filter("shadowed").select("dedup_key")
 

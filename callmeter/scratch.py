@@ -39,9 +39,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to a scratch table and read again: lineage ends there and outlives executors."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+def written(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
+    """The rows written to a scratch table and read again: lineage ends there and outlives executors. spark: the session that reads them, if not that of
+    df; a micro-batch's own session plans without adaptive execution, so each exchange of what follows would be spark.sql.shuffle.partitions tasks."""
+    spark, path = spark or df.sparkSession, scratch(df.sparkSession, name)
     if not spark.conf.get(CLEANUP, None):
         spark.conf.set(CLEANUP, "true")
     df.write.parquet(path)

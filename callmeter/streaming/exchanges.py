@@ -70,7 +70,7 @@ def assemble(spark: SparkSession, folder: str, deliver: Callable[[DataFrame, int
         if state["streams"].get(stream, -1) >= number:
             return
         bucket = F.pmod(F.xxhash64("conn_id"), F.lit(BUCKETS)).alias("bucket")
-        new = written(frames.select("*", bucket), "new")
+        new = written(frames.select("*", bucket), "new", spark)
         touched = [str(r.bucket) for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
         if not touched:
             return

@@ -1,8 +1,9 @@
 """Calls that two collectors saw, found as the calls stream in.
 
-Two stream-stream joins over one stream of events, on time buckets and (for transcripts) output counts: proxy calls that an exact transcript row
-explains, and desktop rows that a proxy call explains. The time bands bound the join's state: a row goes once the watermark is past all that it could
-meet. Each row carries the time of its micro-batch, so a pair tells which of its two arrived first, and the rule of operators.arrival is applied to the
+One stream-stream join over one stream of events, on kind, time buckets and (for transcripts) output counts: proxy calls that an exact transcript row
+explains, and desktop rows that a proxy call explains. One join for both kinds is half the state stores that each micro-batch commits. The time band
+bounds the join's state: a row goes once the watermark is past all that it could meet. A micro-batch without rows finds no pair, so
+spark.sql.streaming.noDataMicroBatches.enabled may be false: state goes with the next rows then. Each row carries the time of its micro-batch, so a pair tells which of its two arrived first, and the rule of operators.arrival is applied to the
 pairs of a micro-batch: what arrives is shadowed by any row that is there or comes with it; what is there already is shadowed by a row that
 arrives only if it is the latest that this row explains. Then the store hides the keys; those it has not seen yet it hides when they come."""
 
@@ -25,7 +26,7 @@ def _bucket(at: str, seconds: int) -> Column:
 
 def _near(seconds: int) -> Column:
     apart = F.expr(f"interval {seconds} seconds")
-    return (F.col("bucket") == F.col("r_bucket")) & (F.col("r_at") > F.col("at") - apart) & (F.col("r_at") < F.col("at") + apart)
+    return (F.col("r_at") > F.col("at") - apart) & (F.col("r_at") < F.col("at") + apart)
 
 
 def _buckets(seconds: int) -> Column:
@@ -38,14 +39,14 @@ def pairs(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     more than `late` after later ones are left out."""
     e = events.filter("provider = 'ollama' and dedup_key is not null").withColumns({"at": F.col("ts").cast("timestamp"), "arrived": F.current_timestamp()}).withWatermark("at", late)
     proxies, seen, desktop = e.filter("source = 'proxy'"), e.filter("source = 'transcript' and token_accuracy = 'exact'"), e.filter("source = 'ollamaDesktop'")
-    left = lambda rows, seconds, *more: rows.select(F.col("dedup_key").alias("key"), "at", "arrived", _bucket("at", seconds).alias("bucket"), *more)
-    right = lambda rows, seconds, *more: rows.select(F.col("dedup_key").alias("by"), F.col("at").alias("r_at"), F.col("arrived").alias("by_arrived"), *more, _buckets(seconds))
-    counted = seen.withColumn("r_output_tokens", F.explode(F.sequence(F.col("output_tokens") - TOKENS, F.col("output_tokens") + TOKENS)))
-    met = left(proxies, SECONDS, "output_tokens").join(right(counted, SECONDS, "r_output_tokens"), _near(SECONDS) & (F.col("output_tokens") == F.col("r_output_tokens")))
-    started = right(proxies, DESKTOP_SECONDS, F.col("model").alias("r_model"), F.col("started_at").alias("r_started"))
-    on_desktop = left(desktop, DESKTOP_SECONDS, "model", "started_at").join(started, _near(DESKTOP_SECONDS) & overlap(DESKTOP_SECONDS))
-    shown = ("key", "at", "by", "arrived", "by_arrived")
-    return met.select(F.lit("proxy").alias("kind"), *shown).unionByName(on_desktop.select(F.lit("desktop").alias("kind"), *shown))
+    left = lambda kind, rows, seconds, tokens: rows.select(F.lit(kind).alias("kind"), F.col("dedup_key").alias("key"), "at", "arrived", _bucket("at", seconds).alias("bucket"), tokens.cast("long").alias("tokens"), "model", "started_at")
+    right = lambda kind, rows, seconds, tokens: rows.select(F.lit(kind).alias("r_kind"), F.col("dedup_key").alias("by"), F.col("at").alias("r_at"), F.col("arrived").alias("by_arrived"), tokens.cast("long").alias("r_tokens"), F.col("model").alias("r_model"), F.col("started_at").alias("r_started"), _buckets(seconds))
+    counted = seen.withColumn("about", F.explode(F.sequence(F.col("output_tokens") - TOKENS, F.col("output_tokens") + TOKENS)))
+    told = left("proxy", proxies, SECONDS, F.col("output_tokens")).unionByName(left("desktop", desktop, DESKTOP_SECONDS, F.lit(0)))
+    by = right("proxy", counted, SECONDS, F.col("about")).unionByName(right("desktop", proxies, DESKTOP_SECONDS, F.lit(0)))
+    same = (F.col("kind") == F.col("r_kind")) & (F.col("bucket") == F.col("r_bucket")) & (F.col("tokens") == F.col("r_tokens"))
+    met = told.join(by, same & _near(max(SECONDS, DESKTOP_SECONDS)) & (((F.col("kind") == "proxy") & _near(SECONDS)) | ((F.col("kind") == "desktop") & _near(DESKTOP_SECONDS) & overlap(DESKTOP_SECONDS))))
+    return met.select("kind", "key", "at", "by", "arrived", "by_arrived")
 
 
 def _decided(found: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def hide(store: Store, stream: str = "shadows") -> Callable[[DataFrame, int], No
     """A foreachBatch function over pairs(). Proxy calls come first: one that is shadowed explains no desktop row."""
 
     def run(found: DataFrame, number: int) -> None:
-        found = written(found, "pairs")
+        found = written(found, "pairs", store.spark)
         keys = lambda rows, c: rows.select(F.col(c).alias("dedup_key"))
         for kind in ("proxy", "desktop"):
             if store.versions.latest()["streams"].get(f"{stream}/{kind}", -1) >= number:

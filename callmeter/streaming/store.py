@@ -142,7 +142,7 @@ class Store:
 
     def _add(self, state: dict, batch: DataFrame, streams: dict[str, int]) -> None:
         v = state["version"] + 1
-        arrived = written(batch.drop("day"), "arrived")
+        arrived = written(batch.drop("day"), "arrived", self.spark)
         live = state["values"].get("live_from")
         inside = F.col("ts").isNull() | (F.col("ts") >= F.lit(live).cast("date")) if live else F.lit(True)
         row = F.struct(*[c for c in arrived.columns if c != "shadowed"]).alias("row")

@@ -132,3 +132,17 @@ def test_a_journal_is_compressed_in_bounded_files_and_read_once(spark, tmp_path,
     loaded = sinks.load_journal(spark, folder, "2024-01-01 00:00:00")
     assert loaded._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
     assert sorted(map(tuple, loaded.select(*rows.columns).collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+
+
+def test_shadows_are_one_stream_join_and_batches_are_planned_by_the_stores_session(spark, tmp_path):
+    """Two joins committed twice the state stores; a micro-batch's own session has no adaptive plans, so what followed was 200 tasks an exchange."""
+    from callmeter.scratch import written
+    from callmeter.sources.adapter import usage_events
+    from callmeter.streaming import shadows
+
+    x = spark.readStream.schema(usage_events(spark, "/root/testdata/sf0.001").schema).parquet(str(tmp_path))
+    assert shadows.pairs(x)._jdf.queryExecution().analyzed().toString().count("Join Inner") == 1
+    other = spark.newSession()
+    other.conf.set("spark.sql.adaptive.enabled", "false")
+    table = written(other.range(3), "own", spark)
+    assert table.sparkSession is spark and table.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true" and table.count() == 3
