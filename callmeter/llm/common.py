@@ -202,18 +202,67 @@ def shingled(words: np.ndarray, k: int) -> np.ndarray:
 # Graphs -----------------------------------------------------------------------------------------
 
 
+#: Edges that a task joins into a forest at a time.
+FOREST_EDGES = 1 << 18
+
+
+def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of the edges (u, v), sorted, and the smallest node that each reaches over them."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[root]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _forests(edges: DataFrame, most: int) -> DataFrame:
+    """Edges (u, v) that connect what the given ones connect: (node, root) of the components of runs of about `most` edges in a task, roots with themselves.
+    Up to `most` edges in one task are one run."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        us, vs, held = [], [], 0
+        told = lambda nodes, roots: pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["u", "v"])
+        for batch in batches:
+            us.append(batch.column("u").to_numpy())
+            vs.append(batch.column("v").to_numpy())
+            held += batch.num_rows
+            if held > most:
+                nodes, roots = _roots(np.concatenate(us), np.concatenate(vs))
+                us, vs, held = [nodes], [roots], len(nodes)
+                if held > most // 2:  # else the forest so far takes more edges
+                    yield told(nodes, roots)
+                    us, vs, held = [], [], 0
+        if held:
+            yield told(*_roots(np.concatenate(us), np.concatenate(vs)))
+
+    return edges.mapInArrow(join, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (u, v); root is the smallest node that it reaches.
-    Alternates large and small stars; every round's edges are a scratch table, and hubs are joins that Spark can split."""
-    e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    Each task first joins its edges into forests of bounded size. If that is more than one, large and small stars follow in turn;
+    every round's edges are a scratch table, and hubs are joins that Spark can split."""
+    given, n = counted(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v"), "edges")
+    table = cut(_forests(given.coalesce(1 + n // FOREST_EDGES), FOREST_EDGES), "edges")
+    remove(given)
+    if n <= FOREST_EDGES:
+        return table.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    e = table.filter("u <> v")
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small_star = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        before, e = e, cut(small_star, "edges")
+        before, table = table, cut(small_star, "edges")
         remove(before)
+        e = table
         # done when the edges are stars: each node has one root, and no root has one
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("n")).unionByName(e.select(F.col("v").alias("x"), F.lit(1 << 20).alias("n")).distinct())
         if ends.groupBy("x").agg(F.sum("n").alias("n")).filter(f"n > 1 and n <> {1 << 20}").isEmpty():

@@ -28,7 +28,7 @@ from math import ceil, log, log1p
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import beside, bit_set, components, counted, cut, in_bits, kept, passing, shingle_sets, small_cut, with_columns
@@ -117,9 +117,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 def _centres(groups: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
     """(g, c): the shingles of most of up to SAMPLE members of each group."""
     sample = groups.groupBy("g", F.pmod(F.xxhash64("x", F.lit(seed)), F.lit(SAMPLE)).alias("part")).agg(F.min("x").alias("key"))
-    held = sample.join(sets, "key").select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("n"))
-    sizes = sample.groupBy("g").agg(F.count("*").alias("of"))
-    return held.join(sizes, "g").filter("2 * n > of").groupBy("g").agg(F.collect_list("e").alias("c"))
+    sample = sample.withColumn("of", F.count("*").over(Window.partitionBy("g")))
+    held = sample.join(sets, "key").select("g", "of", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("n"), F.min("of").alias("of"))
+    return held.filter("2 * n > of").groupBy("g").agg(F.collect_list("e").alias("c"))
 
 
 def _compared(groups: DataFrame, sets: DataFrame, centres: DataFrame, need: tuple[int, int]) -> DataFrame:
@@ -150,38 +150,37 @@ def _pairs(groups: DataFrame, condition: str, *more: str) -> DataFrame:
     return one.join(two, "g").filter(f"x1 < x2 and root1 <> root2 and {condition}").select(F.col("x1").alias("u"), F.col("x2").alias("v")).distinct()
 
 
-def _direct(pairs: DataFrame, sets: DataFrame, need: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) that full sets confirm. pairs: a written table. The sets are the largest rows that are shuffled, so many pairs are taken in parts,
-    and a part's shuffle files go before the next."""
-    n = pairs.count()
+def _direct(pairs: DataFrame, n: int, sets: DataFrame, need: tuple[int, int], every: bool = False) -> DataFrame:
+    """The pairs (u, v) that full sets confirm. pairs: a written table of n rows; every: each of sets is in a pair. The sets are the largest rows that are
+    shuffled, so many pairs are taken in parts, and a part's shuffle files go before the next."""
     parts = max(1, min(PARTS, n // PART_PAIRS))
     if parts == 1:
-        return _confirmed(pairs, sets, need)
+        return _confirmed(pairs, sets, need, every)
     found = [cut(_confirmed(pairs.filter(F.pmod(F.xxhash64("u"), F.lit(parts)) == i), sets, need), "confirmed") for i in range(parts)]
     return reduce(DataFrame.unionByName, found)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, need: tuple[int, int]) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, need: tuple[int, int], every: bool = False) -> DataFrame:
     p, q = need
-    keys = small_cut(pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct(), "keys")
-    held = sets.join(keys, "key", "left_semi")
+    keys = lambda: pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
+    held = sets if every else sets.join(small_cut(keys(), "keys"), "key", "left_semi")
     inter = F.size(F.array_intersect("su", "sv"))
     both = pairs.join(held.select(F.col("key").alias("u"), F.col("s").alias("su")), "u").join(held.select(F.col("key").alias("v"), F.col("s").alias("sv")), "v")
     return both.filter(q * inter >= p * (F.size("su") + F.size("sv") - inter)).select("u", "v")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, need: tuple[int, int]) -> DataFrame:
-    """(node, root) of the components of all links among members of the same group; pairs (x, hub), sets (key, s)."""
+def linked(pairs: DataFrame, n_pairs: int, sets: DataFrame, need: tuple[int, int]) -> DataFrame:
+    """(node, root) of the components of all links among members of the same group; pairs (x, hub): a written table of n_pairs rows, sets (key, s): those of its members."""
     p, q = need
     as_edges = lambda labels: labels.select(F.col("node").alias("u"), F.col("root").alias("v"))
     sized = sets.select(F.col("key").alias("x"), F.size("s").cast("long").alias("n"))
-    labels = components(_direct(pairs.select(F.col("x").alias("u"), F.col("hub").alias("v")), sets, need))
+    labels = components(_direct(pairs.select(F.col("x").alias("u"), F.col("hub").alias("v")), n_pairs, sets, need, True))
     members = pairs.select(F.col("hub").alias("g"), "x").unionByName(pairs.select(F.col("hub").alias("g"), F.col("hub").alias("x"))).distinct().join(sized, "x")
     groups, n = counted(_open(cut(_rooted(members.withColumn("p", F.col("g")), labels), "members")), "groups")
     if not n:
         return labels
-    few = cut(_pairs(groups.filter(F.col("members") <= FEW), f"{q} * n1 >= {p} * n2 and {q} * n2 >= {p} * n1"), "few")
-    links = _direct(few, sets, need)
+    few, n_few = counted(_pairs(groups.filter(F.col("members") <= FEW), f"{q} * n1 >= {p} * n2 and {q} * n2 >= {p} * n1"), "few")
+    links = _direct(few, n_few, sets, need) if n_few else few
     (many, left), level = counted(groups.filter(F.col("members") > FEW).select("g", "x"), "many"), 0
     while left:
         level += 1
@@ -219,7 +218,7 @@ def _found(docs: DataFrame, shingle: int, need: tuple[int, int]) -> DataFrame:
             members = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("hub").alias("key"))).distinct()
             wanted = cut(sig.filter("key is not null").groupBy("key").agg(F.min("text_hash").alias("text_hash")).join(members, "key", "left_semi").select("text_hash").distinct(), "wanted")
             sets = cut(full_sets(docs, wanted, shingle), "sets")
-            labels = linked(pairs, sets, need)
+            labels = linked(pairs, n, sets, need)
         classes = sig.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
         classes = classes.withColumn("root", F.col("key")) if labels is None else classes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         classes = kept(cut(classes, "classes"))

@@ -78,6 +78,38 @@ def test_near_duplicates_leave_no_sets_and_parts_lose_no_link(spark, monkeypatch
     assert count() == before
 
 
+def test_components_take_few_jobs_and_forests_lose_no_link(spark, monkeypatch):
+    """Each round of stars was ten jobs, six exchanges and two broadcasts of the driver's, however few the edges were."""
+    import random
+
+    from callmeter.llm import common
+
+    rng = random.Random(3)
+    chain = list(range(-60, 60))
+    rng.shuffle(chain)
+    pairs = [*zip(chain, chain[1:]), *[(1000 + rng.randrange(150), 1000 + rng.randrange(150)) for _ in range(90)], (-(1 << 63), (1 << 63) - 1), (5, 5), (7000, 7000), (None, 3)]
+    want = {x: {x} for x in {x for u, v in pairs if u != v and u is not None for x in (u, v)}}
+    for u, v in pairs:
+        if u != v and u is not None and want[u] is not want[v]:
+            want[u] |= want[v]
+            want |= dict.fromkeys(want[v], want[u])
+    want = sorted((x, min(held)) for x, held in want.items())
+    edges = spark.createDataFrame(pairs * 2, "u long, v long").repartition(5)
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        found = sorted(map(tuple, common.components(edges).collect()))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == want and 0 < jobs < 8
+    assert common.components(edges.limit(0)).count() == 0
+    monkeypatch.setattr(common, "FOREST_EDGES", 9)
+    assert sorted(map(tuple, common.components(edges).collect())) == want
+    # a task with more edges than it joins at a time gives several forests
+    forests = common._forests(edges.filter("u <> v").coalesce(1), 9)
+    assert sorted(map(tuple, common.components(forests).collect())) == want
+
+
 def test_stored_rows_come_from_the_exchange_by_key_and_changes_from_none(spark, tmp_path, monkeypatch):
     """Whole rows were joined again with the winners' keys, and changes were dealt by a column of one value."""
     from callmeter.sources.adapter import usage_events
