@@ -10,9 +10,12 @@ full sets. Where that leaves more than one component, the members are compared w
 members of a bounded sample hold. With D(x) = x minus/plus centre (symmetric difference), two members x and y differ in
 |D(x)| + |D(y)| - 2 |D(x) n D(y)| shingles, exactly. So pairs that are near even if their differences are disjoint are
 all near the member with the smallest margin, and one star links them; any other near pair shares an element of
-D within a prefix of it. Members that share one and are still in different components are smaller groups (a centre leaves an
-element of D to a minority): a join on that element compares their differences, and gives only links; while such a group has
-more than MANY members, it gets a centre of its own. This loses no link, whatever the centre is.
+D within a prefix of it. In such a pair the member of the larger margin is not near the star, so it needs the more of the other's D: the
+other's prefix ("low") is the shorter the farther the star's reach, and in copies of one text it has only what their own edits
+brought, not what many of them lost of the text. The prefix of the larger margin ("high") is longer, but counts only where a low one has the
+element. Members that share one and are still in different components are smaller groups: a join on that element
+compares the differences of low with high, and gives only links; while such a group has more than MANY squared of these
+pairs, it gets a centre of its own. This loses no link, whatever the centre is.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; texts of fewer words than
 a shingle are one shingle; equal sets are one class; repeated rows each get their class's component; a null
@@ -37,7 +40,7 @@ ROWS, MISS = 4, 7.5e-6
 #: Members of a group that its centre is taken from; any number gives right results.
 SAMPLE = 16
 #: Members of a group up to which its pairs of fitting size and different components are compared on full sets (120 pairs
-#: at most), and of a group around a centre up to which differences are compared in the join; larger ones are split.
+#: at most), and of a group around a centre (the root of low times high) up to which differences are compared in the join; larger ones are split.
 FEW, MANY = 16, 256
 #: Pairs that are compared on full sets at a time, and in how many parts at most: each part reads the written sets again, and shuffles its own.
 PART_PAIRS, PARTS = 10_000, 8
@@ -138,16 +141,17 @@ def _rooted(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _open(rooted: DataFrame) -> DataFrame:
-    """Distinct groups (g, p, x, n, root, members) of groups (g, p, x, n, root) whose members are in more than one component;
-    p: the group that it is part of; g becomes a hash of p and the members. rooted is read twice: a written table."""
-    still = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.xxhash64(F.min("p"), F.bit_xor(F.xxhash64("x")), F.count("*")).alias("f"), F.count("*").alias("members")).filter("lo <> hi").select("g", "f", "members")
-    return rooted.join(still, "g").select(F.col("f").alias("g"), "p", "x", "n", "root", "members").distinct()
+    """Distinct groups (g, p, x, n, root, low, high, members) of groups (g, p, x, n, root, low, high) with members of each role and of more than one component;
+    p: the group that it is part of; g becomes a hash of p and the members; members: the root of how many are low times how many are high. rooted is read twice: a written table."""
+    of = F.sqrt(F.count_if("low") * F.count_if("high")).alias("members")
+    still = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.xxhash64(F.min("p"), F.bit_xor(F.xxhash64("x", "low", "high")), F.count("*")).alias("f"), of).filter("lo <> hi and members > 0").select("g", "f", "members")
+    return rooted.join(still, "g").select(F.col("f").alias("g"), "p", "x", "n", "root", "low", "high", "members").distinct()
 
 
 def _pairs(groups: DataFrame, condition: str, *more: str) -> DataFrame:
-    """Pairs (u, v) of members of the same group and of different components that meet the condition on n1, n2, ..."""
-    one, two = (groups.select("g", *[F.col(c).alias(f"{c}{i}") for c in ("x", "n", "root", *more)]) for i in (1, 2))
-    return one.join(two, "g").filter(f"x1 < x2 and root1 <> root2 and {condition}").select(F.col("x1").alias("u"), F.col("x2").alias("v")).distinct()
+    """Pairs (u, v) of a low and a high member of the same group and of different components that meet the condition on n1, n2, ..."""
+    one, two = (groups.filter(role).select("g", *[F.col(c).alias(f"{c}{i}") for c in ("x", "n", "root", *more)]) for i, role in ((1, "low"), (2, "high")))
+    return one.join(two, "g").filter(f"root1 <> root2 and {condition}").select(F.col("x1").alias("u"), F.col("x2").alias("v")).distinct()
 
 
 def _direct(pairs: DataFrame, n: int, sets: DataFrame, need: tuple[int, int], every: bool = False) -> DataFrame:
@@ -176,10 +180,11 @@ def linked(pairs: DataFrame, n_pairs: int, sets: DataFrame, need: tuple[int, int
     sized = sets.select(F.col("key").alias("x"), F.size("s").cast("long").alias("n"))
     labels = components(_direct(pairs.select(F.col("x").alias("u"), F.col("hub").alias("v")), n_pairs, sets, need, True))
     members = pairs.select(F.col("hub").alias("g"), "x").unionByName(pairs.select(F.col("hub").alias("g"), F.col("hub").alias("x"))).distinct().join(sized, "x")
-    groups, n = counted(_open(cut(_rooted(members.withColumn("p", F.col("g")), labels), "members")), "groups")
+    both = members.withColumns({"p": F.col("g"), "low": F.lit(True), "high": F.lit(True)})
+    groups, n = counted(_open(cut(_rooted(both, labels), "members")), "groups")
     if not n:
         return labels
-    few, n_few = counted(_pairs(groups.filter(F.col("members") <= FEW), f"{q} * n1 >= {p} * n2 and {q} * n2 >= {p} * n1"), "few")
+    few, n_few = counted(_pairs(groups.filter(F.col("members") <= FEW), f"x1 < x2 and {q} * n1 >= {p} * n2 and {q} * n2 >= {p} * n1"), "few")
     links = _direct(few, n_few, sets, need) if n_few else few
     (many, left), level = counted(groups.filter(F.col("members") > FEW).select("g", "x"), "many"), 0
     while left:
@@ -193,13 +198,16 @@ def linked(pairs: DataFrame, n_pairs: int, sets: DataFrame, need: tuple[int, int
         margins = _rooted(margins, labels)
         # a partner's D is at most (q - p) / (p + q) (n + n q / p) smaller, so it shares the rest of D(x) but for one element less
         slack = F.floor(F.lit((q - p) / (p + q) * (1 + q / p)) * F.col("n") + F.lit(1e-6)).cast("int") + 2
-        overlap = F.greatest(F.lit(1), F.ceil((F.col("a") + F.col("least")) / F.lit(2.0 * (p + q))).cast("int"))
-        prefix = F.slice("d", 1, F.greatest(F.least(slack, F.col("size") - overlap + 1), F.lit(0)))
-        shared = margins.select("x", "n", "root", F.col("g").alias("p"), F.explode(prefix).alias("e")).select("x", "n", "root", "p", F.xxhash64("p", "e").alias("g"))
+        shares = lambda least: F.greatest(F.lit(1), F.ceil((F.col("a") + least) / F.lit(2.0 * (p + q))).cast("int"))  # noqa: E731  with a partner of that margin or more
+        prefix = lambda least: F.greatest(F.least(slack, F.col("size") - shares(least) + 1), F.lit(0))
+        margins = margins.withColumn("high", F.col("a") + F.col("least") > 0).withColumn("first", prefix(F.greatest("a", 1 - F.col("least"))))
+        taken = F.slice("d", 1, F.when(F.col("high"), prefix(F.col("least"))).otherwise(F.col("first")))
+        shared = margins.select("x", "n", "root", F.col("g").alias("p"), "high", "first", F.posexplode(taken).alias("at", "e"))
+        shared = shared.select("x", "n", "root", "p", (F.col("at") < F.col("first")).alias("low"), "high", F.xxhash64("p", "e").alias("g"))
         groups = cut(_open(cut(shared, "shared")), "groups")
-        # |x1 minus/plus x2| = |D1| + |D2| - 2 |D1 n D2| decides at once, in groups of at most MANY members
-        near = groups.filter(F.col("members") <= MANY).join(seen.select(F.col("g").alias("p"), "x", "d", "size"), ["p", "x"])
-        links = cut(_pairs(near, f"{p + q} * (size1 + size2 - 2 * size(array_intersect(d1, d2))) <= {q - p} * (n1 + n2)", "d", "size"), "links")
+        # |x1 minus/plus x2| = |D1| + |D2| - 2 |D1 n D2| decides at once, in groups of bounded numbers of pairs
+        near = groups.filter(F.col("members") <= MANY).join(seen.select(F.col("g").alias("p"), "x", "a", "d", "size"), ["p", "x"])
+        links = cut(_pairs(near, f"a1 <= a2 and {p + q} * (size1 + size2 - 2 * size(array_intersect(d1, d2))) <= {q - p} * (n1 + n2)", "a", "d", "size"), "links")
         many, left = counted(groups.filter(F.col("members") > MANY).select("g", "x"), "many")
     return components(links.unionByName(as_edges(labels)))
 

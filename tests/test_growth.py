@@ -178,3 +178,44 @@ def test_shadows_are_one_stream_join_and_batches_are_planned_by_the_stores_sessi
     other.conf.set("spark.sql.adaptive.enabled", "false")
     table = written(other.range(3), "own", spark)
     assert table.sparkSession is spark and table.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true" and table.count() == 3
+
+
+def test_copies_of_one_text_are_not_compared_with_each_other(spark, monkeypatch):
+    """Copies that lost the same words of a text shared these, so the pairs that were compared grew with the square of the copies."""
+    import random
+
+    from callmeter.llm import near_dedup
+
+    r, base = random.Random(5), [f"w{k}" for k in range(300)]
+
+    def copy(i, n, own):
+        words = list(base)
+        for k in r.sample(range(300), n):
+            words[k] = f"{own}x{k}"
+        return i, " ".join(words)
+
+    # most are far from the text (the first row) and from each other; some are near it, and of the far ones a few have the same new words
+    rows = [(0, " ".join(base))] + [copy(i, 2 + i % 5 if i % 4 == 0 else r.randint(8, 16), f"v{i if i % 10 else i % 3}") for i in range(1, 160)]
+    rows += [(1000 + i, rows[i][1].replace("w7 ", "z7 ", 1).replace("w200 ", "z ", 1)) for i in range(1, 160, 9)]
+    sets = {d: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in rows)}
+    want = {d: d for d in sets}
+    for x in sets:
+        for y in sets:
+            if x < y and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]) and want[x] != want[y]:
+                least, gone = sorted((want[x], want[y]))
+                want = {d: least if c == gone else c for d, c in want.items()}
+    assert 20 < len(set(want.values())) < 150
+
+    compared, cut = [], near_dedup.cut
+
+    def seen(df, name, *more):
+        table = cut(df, name, *more)
+        if name == "groups":
+            compared.append(table.select("g", "members").distinct().selectExpr("coalesce(sum(members * members), 0)").first()[0])
+        return table
+
+    monkeypatch.setattr(near_dedup, "cut", seen)
+    monkeypatch.setattr(near_dedup, "FEW", 4)
+    found = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == want
+    assert compared and sum(compared) < 100_000
